@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same rule seen from the other side, for ``split``.
 BLANK = r"[\x20\x09-\x0D]+"
-#: Rows that one task of a chunked window handles.
-CHUNK_ROWS = 4096
+#: Rows of one chunk of a chunked window at least; above the square of this, a chunk has the square root of all rows.
+CHUNK_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,5 +83,5 @@ def ranked(df: DataFrame, key: list[str], spread: Column, order: list, chunks: i
 
 
 def chunks_for(rows: int) -> int:
-    """How many chunks keep ``ranked`` at ``CHUNK_ROWS`` rows a chunk."""
-    return max(1, -(-rows // CHUNK_ROWS))
+    """How many chunks leave few rows in a chunk and few chunks in a key."""
+    return max(1, -(-rows // max(CHUNK_ROWS, math.isqrt(rows))))
