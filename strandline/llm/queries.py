@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import langid, mixing, neardup, packing, quality, warc
+from strandline.llm import langid, linededup, mixing, neardup, packing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rule_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op4_minhash_near_dedup, op5_best_fit_packing, op6_warc, op7_language_id, op8_quality_rules]
+    found = [op1_mix_sources, op4_minhash_near_dedup, op5_best_fit_packing, op6_warc, op7_language_id, op8_quality_rules, op9_line_dedup]
     return {f.__name__: f for f in found}
 
 
