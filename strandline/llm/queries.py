@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import langid, licenses, linededup, mixing, neardup, orderminhash, packing, quality, warc
+from strandline.llm import langid, licenses, linededup, mixing, neardup, orderminhash, packing, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -50,7 +54,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_order_minhash, op4_minhash_near_dedup, op5_best_fit_packing, op6_warc, op7_language_id, op8_quality_rules, op9_line_dedup, op10_license_scan]
+    found = [op1_mix_sources, op2_order_minhash, op3_personal_data, op4_minhash_near_dedup, op5_best_fit_packing, op6_warc, op7_language_id, op8_quality_rules, op9_line_dedup, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
