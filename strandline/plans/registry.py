@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from strandline.plans import fold_queries, list_queries
+
+MODULES: list = [list_queries, fold_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
