@@ -32,7 +32,7 @@ END_ID = 1
 #: Pieces of at least this share of a sequence are large.
 LARGE = 1 / 6
 #: Sizes that large lengths are rounded up to.
-GROUPS = 24
+GROUPS = 48
 #: Rounds of column generation at most; the packing is valid after any number.
 ROUNDS = 400
 #: Entries that a worker's word cache holds before it starts anew.
@@ -153,23 +153,23 @@ def configurations(sizes: list[int], counts: list[int], sequence: int) -> list[t
             inverse = np.linalg.inv(basis)
         level = inverse @ need
         prices = inverse.sum(axis=0)
-        # best[c]: the dearest filling of c tokens; last[c]: the size put in last, -1 for an idle token.
-        best, last = np.zeros(sequence + 1), np.full(sequence + 1, -1)
-        unit = int(np.gcd.reduce([*sizes, sequence]))
-        for c in range(min(sizes), sequence + 1, unit) if unit > 1 else range(min(sizes), sequence + 1):
-            best[c], last[c] = best[c - unit], -1
-            for i, s in enumerate(sizes):
-                if s <= c and best[c - s] + prices[i] > best[c] + 1e-12:
-                    best[c], last[c] = best[c - s] + prices[i], i
+        # best[c]: the dearest filling of at most c tokens; each pass may add one more piece of its size.
+        best, passes = np.zeros(sequence + 1), []
+        for i, size in enumerate(sizes):
+            for _ in range(sequence // size if prices[i] > 1e-12 else 0):
+                more = best[: sequence + 1 - size] + prices[i]
+                better = more > best[size:] + 1e-12
+                if not better.any():
+                    break
+                best = np.concatenate((best[:size], np.where(better, more, best[size:])))
+                passes.append((i, better))
         if best[sequence] <= 1 + 1e-7:
             break
         column, c = np.zeros(k), sequence
-        while c >= min(sizes):
-            if last[c] < 0:
-                c -= unit
-            else:
-                column[last[c]] += 1
-                c -= sizes[last[c]]
+        for i, better in reversed(passes):
+            if c >= sizes[i] and better[c - sizes[i]]:
+                column[i] += 1
+                c -= sizes[i]
         direction = inverse @ column
         open_rows = np.where(direction > 1e-9)[0]
         if not len(open_rows):
@@ -197,18 +197,25 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int,
     large = [(length, n) for length, n in left.items() if LARGE * sequence <= length <= sequence]
     total = sum(n for _, n in large)
     if total:
-        share, sizes, counts, filled = -(-total // GROUPS), [], [], 0
+        # A length as frequent as a group is a group of its own, which rounds nothing.
+        share, sizes, counts, open_places = -(-total // GROUPS), [], [], 0
         members: list[list[list[int]]] = []
         for length, n in reversed(large):
+            if n >= share:
+                sizes.append(length)
+                counts.append(n)
+                members.append([[length, n]])
+                n = open_places = 0
             while n:
-                if filled % share == 0:
+                if not open_places:
                     sizes.append(length)
                     counts.append(0)
                     members.append([])
-                take = min(n, share - filled % share)
+                    open_places = share
+                take = min(n, open_places)
                 counts[-1] += take
                 members[-1].append([length, take])
-                filled, n = filled + take, n - take
+                open_places, n = open_places - take, n - take
         # Groups that begin at the same length are one size.
         for i in range(len(sizes) - 1, 0, -1):
             if sizes[i] == sizes[i - 1]:
