@@ -80,7 +80,8 @@ def candidate_texts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     candidates = keys.join(met, "half", "left_semi").select("h1", "h2").distinct()
     firsts = materialize(candidates.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "first.*"), "candidates")
     # The texts come from the documents that hold the first occurrences.
-    holders = firsts.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    # Merged at any size: few candidates must not be broadcast while they are few and shuffled once they are many.
+    holders = firsts.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct().hint("merge")
     held = docs.select("doc_id", "text").withColumn("_row", F.xxhash64("doc_id", "text"))
     texts = held.join(holders, held["doc_id"].eqNullSafe(holders["_id"]) & (held["_row"] == holders["_mark"]), "left_semi")
     g1, g2 = line_id(F.col("line"))
