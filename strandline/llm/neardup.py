@@ -1,17 +1,18 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-A document is the set of its word shingles, each hashed once. The sketch is the
-``SKETCH`` smallest hashes. Inverted lists hold documents under pairs of values
-that stand next to each other among their ``INDEXED`` smallest ones; documents
+A document is the set of its word shingles, each hashed once; its sketch is the
+smallest hashes. Inverted lists hold documents under retained values; documents
 that meet in a list are candidates, the bottom-k sketch of their union estimates
 the similarity, and the full sets confirm it.
 
-Why no link is lost: let two sets have Jaccard similarity J. Each of the
-smallest values of their union belongs to both sets with probability J, and two
-neighbours that both do form the same pair in both sketches. None of n
-neighbours does with probability about x**n, x = ((1-J) + sqrt((1-J)**2 + 4J(1-J)))/2:
-for J = 0.8 and 24 values 1e-7, for J = 0.85 3e-9. Sets of up to 24 shingles always
-share a pair. The estimate is cut 5.5 standard deviations below the threshold.
+Why no link is lost: of the ``INDEXED`` smallest values of two sets with Jaccard
+similarity t, at least ``shared_values(t)`` are in both, but for a chance below 1e-6
+(sets of at most ``INDEXED`` shingles are known whole, and for them it is certain).
+If both orders their values alike, one of the first ``INDEXED`` - shared + 1 of
+each is common. The order is by document frequency: values of one document
+alone come first and need no list, values of a line that very many documents
+have come last and are listed only for documents that hold little else. The
+estimate is cut 5.5 standard deviations below the threshold.
 
 Why lists of many documents are not expanded: equal sets are one class from the
 start; within a list, documents are compared with one centre first; only lists
@@ -31,7 +32,7 @@ from strandline.llm.components import components
 SHINGLE = 5
 PERCENT = 80
 SKETCH = 128
-INDEXED = 24
+INDEXED = 48
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,14 +49,33 @@ def shingle_set(text: Column, width: int) -> Column:
     return let(F.transform(word_list(F.translate(text, _UPPER, _LOWER)), lambda w: F.xxhash64(w)), of)
 
 
-def list_keys(values: Column) -> Column:
-    """One key for each two neighbours among the ``INDEXED`` smallest values."""
-    return let(F.slice(values, 1, INDEXED), lambda low: F.when(F.size(low) > 1, F.transform(F.sequence(F.lit(2), F.size(low)), lambda i: F.xxhash64(F.element_at(low, i - 1), F.element_at(low, i)))).otherwise(F.array().cast("array<bigint>")))
+def shared_values(percent: int) -> int:
+    """How many of ``INDEXED`` values two sets at the threshold share at least: 5.3 standard deviations below the mean."""
+    t = percent / 100
+    return math.floor(INDEXED * t - 5.3 * math.sqrt(INDEXED * t * (1 - t)))
 
 
 def summaries(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, and the list keys of every row."""
-    return docs.select("doc_id", let(shingle_set(F.col("text"), width), lambda s: F.struct(F.size(s).cast("long").alias("n_shingles"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit("second"), s).alias("h2"), list_keys(s).alias("keys"))).alias("p")).select("doc_id", "p.*")
+    """doc_id, n_shingles, two hashes of the whole set, and its ``INDEXED`` smallest values, of every row."""
+    parts = let(shingle_set(F.col("text"), width), lambda s: F.struct(F.size(s).cast("long").alias("n_shingles"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit("second"), s).alias("h2"), F.slice(s, 1, INDEXED).alias("low")))
+    return docs.select("doc_id", parts.alias("p")).select("doc_id", "p.*")
+
+
+def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Members of the lists (key, node, n) of classes (node, n, low): each under the rarest of its values that it may have to share.
+
+    Values are counted before they are joined back, so a value that a third of
+    all documents hold is never gathered.
+    """
+    listed = classes.select("node", "n", F.explode("low").alias("key"))
+    known = listed.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    met = listed.join(known, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("met"))
+    size = F.least("n", F.lit(INDEXED))
+    must = F.least(F.ceil(F.col("n") * percent / 100), F.lit(shared_values(percent)))
+    # Of the first size - must + 1 values, those that no other document has need no list.
+    places = (size - must + 1 - (size - F.size("met"))).cast("int")
+    kept = met.where(places > 0).select("node", "n", F.explode(F.slice("met", 1, places)).alias("m"))
+    return kept.select("node", "n", F.col("m.key").alias("key"))
 
 
 def estimate_floor(percent: int) -> float:
@@ -85,10 +105,10 @@ def linked_classes(docs: DataFrame, found: DataFrame, width: int, percent: int)
     A node is the struct (id, h1) of the class's smallest doc_id, so that
     repeated ids with different texts stay apart.
     """
-    classes = materialize(found.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("h1").alias("h1"))).alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = materialize(found.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("h1").alias("h1"))).alias("node"), F.first("n_shingles").alias("n"), F.first("low").alias("low")), "classes")
     # A set of n shingles has no similar different set if n / (n + 1) is below the threshold.
     least = math.ceil(percent / (100 - percent) - 1e-9)
-    listed = classes.where((F.col("n") >= least) & F.col("node.id").isNotNull()).select("node", "n", F.explode("keys").alias("key"))
+    listed = materialize(inverted_lists(classes.where((F.col("n") >= least) & F.col("node.id").isNotNull()), percent), "listed")
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre"), F.min_by("n", "node").alias("centre_n")).where("members > 1")
     lists = materialize(listed.join(shared, "key"), "lists")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
@@ -100,17 +120,37 @@ def linked_classes(docs: DataFrame, found: DataFrame, width: int, percent: int)
     sets = materialize(sets.groupBy("doc_id", "h1").agg(F.first("s").alias("s")).select(F.struct(F.col("doc_id").alias("id"), "h1").alias("node"), "s"), "sets")
     edges = materialize(confirmed(stars, sets, percent), "links")
     labels = components(edges)
-    # Lists that still hold several components: their members across components.
-    named = lists.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    # Lists of three and more that still hold several components: their members across components.
+    named = lists.where("members > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("key")
-    open_lists = materialize(named.join(several, "key", "left_semi"), "open")
-    other = open_lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = open_lists.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & fits(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b").distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    members = materialize(named.join(several, "key", "left_semi").select("node", "component").distinct(), "open")
+    rest = materialize(prefix_pairs(members, sets, percent).join(stars, ["a", "b"], "left_anti"), "rest")
     more = confirmed(rest, sets, percent)
     return classes, components(edges.unionByName(more))
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (node, component) from different components that may be similar enough.
+
+    With each set in the order of how many members hold a shingle, rarest first,
+    two similar sets share one of their first n - ceil(t * n) + 1 shingles, and from their
+    first common shingle on as many are left as the threshold asks for. So a
+    cloud of texts, each edited at random from one, whose pairs lie just below
+    the threshold, meets under common shingles, but only behind its own edits.
+    """
+    shingles = materialize(sets.join(members, "node").select("node", "component", F.explode("s").alias("h")), "shingles")
+    held = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("holders"))
+    ordered = shingles.join(held, "h").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("holders", "h"))).alias("o"))
+    n = F.size("o").cast("long")
+    first = F.slice("o", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    listed = ordered.select("node", "component", n.alias("n"), F.posexplode(first).alias("at", "x")).where("x.holders > 1").select("node", "component", "n", "at", F.col("x.h").alias("h"))
+    listed = materialize(listed, "prefixes")
+    other = listed.select("h", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("at").alias("bt"))
+    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
+    near = (100 + percent) * left >= percent * (F.col("n") + F.col("m"))
+    return listed.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & near).select(F.col("node").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Component of every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
