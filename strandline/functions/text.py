@@ -101,8 +101,11 @@ def snippet(text: Column, needle: str, radius: int = 90) -> Column:
     begin = F.greatest(at - radius, F.lit(1))
     end = F.least(at + len(needle) + radius - 1, F.length(text))
     cut = F.substring(text, begin, end - begin + 1)
-    cut = F.when(begin > 1, F.concat(F.lit("…"), F.regexp_replace(cut, r"^\S*\s", ""))).otherwise(cut)
-    cut = F.when(end < F.length(text), F.concat(F.regexp_replace(cut, r"\s\S*$", ""), F.lit("…"))).otherwise(cut)
+    # A word is cut only if the character beyond the border goes on with it.
+    head = F.when(F.substring(text, begin - 1, F.lit(1)).rlike(r"\s"), cut).otherwise(F.regexp_replace(cut, r"^\S*\s", ""))
+    cut = F.when(begin > 1, F.concat(F.lit("…"), F.ltrim(head))).otherwise(cut)
+    tail = F.when(F.substring(text, end + 1, F.lit(1)).rlike(r"\s"), cut).otherwise(F.regexp_replace(cut, r"\s\S*$", ""))
+    cut = F.when(end < F.length(text), F.concat(F.rtrim(tail), F.lit("…"))).otherwise(cut)
     return F.when(at > 0, cut)
 
 

@@ -56,8 +56,8 @@ def bucket_fold(rows: list[tuple[float, int]], burst: float, per_minute: float,
     return out, (tokens, at)
 
 
-def token_bucket(requests: DataFrame, burst: float, per_minute: float, idle: str = "10 minutes") -> DataFrame:
-    """Per key a bucket of tokens: (key, id, wait) for a stream of (key, id, ts), state kept between batches and dropped when idle."""
+def token_bucket(requests: DataFrame, burst: float, per_minute: float, idle: str | None = "10 minutes") -> DataFrame:
+    """Per key a bucket of tokens: (key, id, wait) for a stream of (key, id, ts), state kept between batches and dropped when idle (never, with ``idle`` None)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,9 +69,11 @@ def token_bucket(requests: DataFrame, burst: float, per_minute: float, idle: str
             out, after = bucket_fold(rows, burst, per_minute, before)
             state.update(after)
             yield pd.DataFrame({"key": [key[0]] * len(out), "id": [i for i, _ in out], "wait": [w for _, w in out]})
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        if idle is not None:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
 
-    return requests.groupBy("key").applyInPandasWithState(run, "key string, id long, wait long", "tokens double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return requests.groupBy("key").applyInPandasWithState(run, "key string, id long, wait long", "tokens double, at double", "append", kind)
 
 
 def token_bucket_batch(requests: DataFrame, burst: float, per_minute: float) -> DataFrame:

@@ -198,7 +198,7 @@ def test_token_bucket_stream_equals_batch(spark, tmp_path):
     df.where("id < 150").coalesce(1).write.parquet(str(tmp_path / "in" / "p1"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*"))
     at = str(tmp_path / "cp")
-    run = lambda: usage.token_bucket(stream, 2, 4).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    run = lambda: usage.token_bucket(stream, 2, 4, idle=None).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     run()
     df.where("id >= 150").coalesce(1).write.parquet(str(tmp_path / "in" / "p2"))
     run()
