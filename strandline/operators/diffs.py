@@ -151,3 +151,49 @@ def aligned_units(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     new = new.select(*[F.col(c).alias(c) for c in new.columns])
     return old.groupBy(*key).cogroup(new.groupBy(*key)).applyInPandas(run, f"{fields}, line long, old_pos long, new_pos long, kind string, old_text string, new_text string")
 
+
+
+#: The pairing rules in order: each pairs what is unique on both sides and still free.
+PAIRING = ["only", "similar title", "same name", "short title", "contained", "number", "address", "base"]
+
+
+def pair_articles(old: list[dict], new: list[dict], similar: float = 0.5, contained: float = 0.8) -> list[tuple[int, int, str]]:
+    """Articles (title, name, short, number, address, base) of two packages paired by rules in sequence: (old, new, rule)."""
+    out: list[tuple[int, int, str]] = []
+    left, right = set(range(len(old))), set(range(len(new)))
+    words = lambda u: set((u.get("title") or "").lower().split())
+
+    def take(i: int, j: int, rule: str) -> None:
+        out.append((i, j, rule))
+        left.discard(i)
+        right.discard(j)
+
+    def by_key(rule: str, key) -> None:
+        sides = []
+        for units, free in ((old, left), (new, right)):
+            seen: dict = {}
+            for i in free:
+                value = key(units[i])
+                if value:
+                    seen.setdefault(value, []).append(i)
+            sides.append({k: v[0] for k, v in seen.items() if len(v) == 1})
+        for value in sorted(sides[0].keys() & sides[1].keys(), key=str):
+            take(sides[0][value], sides[1][value], rule)
+
+    def by_score(rule: str, score, least: float) -> None:
+        scored = sorted((-score(words(old[i]), words(new[j])), i, j) for i in left for j in right if words(old[i]) and words(new[j]))
+        for minus, i, j in scored:
+            rivals = [s for s, a, b in scored if (a == i) != (b == j) and s == minus and a in left and b in right]
+            if -minus >= least and i in left and j in right and not rivals:
+                take(i, j, rule)
+
+    if len(old) == 1 and len(new) == 1:
+        return [(0, 0, "only")]
+    by_score("similar title", lambda a, b: len(a & b) / len(a | b), similar)
+    by_key("same name", lambda u: u.get("name"))
+    by_key("short title", lambda u: u.get("short"))
+    by_score("contained", lambda a, b: len(a & b) / min(len(a), len(b)), contained)
+    by_key("number", lambda u: u.get("number"))
+    by_key("address", lambda u: u.get("address"))
+    by_key("base", lambda u: u.get("base"))
+    return sorted(out)

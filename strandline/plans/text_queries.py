@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import dates, text
+from strandline.functions import arrow_text, dates, text
 from strandline.plans.base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -119,3 +119,17 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optional reads of a JSON column under a declared schema."""
     p = F.from_json("props", "k long, missing string")
     return table(spark, sf_dir, "events").select("event_id", p["k"].alias("k"), p["missing"].alias("missing"))
+
+
+@query()
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document, aware of abbreviations, and the one that holds a term."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(arrow_text.sentences(F.col("text"))).alias("sentences"), arrow_text.quote_around(F.col("text"), "license").alias("quote"))
+
+
+@query()
+def match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of all hits of a query in the original texts, by folded forms."""
+    d = table(spark, sf_dir, "documents").where(F.lower("text").contains("license"))
+    return d.select("doc_id", F.explode(arrow_text.match_ranges(F.col("text"), ["license", "licensed"])).alias("r")).select("doc_id", "r.*")

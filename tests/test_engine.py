@@ -220,3 +220,24 @@ def test_steps_resume(spark, tmp_path):
     assert sum(n for _, n in seen) == 6 and len(seen) == 3
     usage.stepwise(stream, lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "cp"))
     assert len(seen) == 3
+
+
+def test_arrow_text(spark):
+    from strandline.functions import arrow_text
+
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert one(arrow_text.nfc(F.lit("ä"))) == "ä" and one(arrow_text.without_marks(F.lit("Äé"))) == "Ae"
+    assert [(r.begin, r.finish) for r in one(arrow_text.match_ranges(F.lit("Gebühr GEBUHR x"), ["gebühr", "hr g"]))] == [(0, 13)]
+    assert one(arrow_text.sentences(F.lit("Nach Art. 5 gilt es. Dr. Huber sagt ja! Am 3. Mai? Ende"))) == ["Nach Art. 5 gilt es.", "Dr. Huber sagt ja!", "Am 3. Mai?", "Ende"]
+    assert one(arrow_text.quote_around(F.lit("Eins. Zwei drei. Vier."), "DREI")) == "Zwei drei." and one(arrow_text.quote_around(F.lit(None), "x")) is None
+    rows = one(arrow_text.xml_table(F.lit('<t><tr><td>a <b>b</b></td><td>c</td></tr><tr><td colspan="2">d</td></tr><tr><td>e</td></tr></t>')))
+    assert [(r.pos, r.current, r.proposed) for r in rows] == [(0, "a b", "c"), (1, "d", "d")] and one(arrow_text.xml_table(F.lit("<a"))) == []
+
+
+def test_pairing_rules():
+    old = [{"title": "law of water use"}, {"title": "x", "name": "N"}, {"title": "y", "number": "3"}, {"title": "same same"}, {"title": "z"}]
+    new = [{"title": "law of water supply use"}, {"title": "q", "number": "3"}, {"title": "w", "name": "N"}, {"title": "other"}]
+    assert diffs.pair_articles(old, new) == [(0, 0, "similar title"), (1, 2, "same name"), (2, 1, "number")]
+    assert diffs.pair_articles(old[:1], new[3:]) == [(0, 0, "only")] and diffs.pair_articles([], new) == []
+    # A tie is no answer.
+    assert diffs.pair_articles([{"title": "a b"}, {"title": "c"}], [{"title": "a b"}, {"title": "a b"}]) == []
