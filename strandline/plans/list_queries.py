@@ -57,15 +57,15 @@ def filter_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DRAFTS_SQL}, chain AS (
-  SELECT l_orderkey AS inr, min(CASE WHEN l_linestatus = 'F' THEN 'bgbl' ELSE 'parlament' END) AS station FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
-SELECT coalesce(station, 'begutachtung') AS station, count(*) AS n FROM d LEFT JOIN chain USING (inr)
-WHERE coalesce(station, 'begutachtung') IN ('begutachtung', 'bgbl') GROUP BY 1""")
+  SELECT l_orderkey AS inr, min(CASE WHEN l_linestatus = 'F' THEN 'gazette' ELSE 'parliament' END) AS station FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+SELECT coalesce(station, 'consultation') AS station, count(*) AS n FROM d LEFT JOIN chain USING (inr)
+WHERE coalesce(station, 'consultation') IN ('consultation', 'gazette') GROUP BY 1""")
 def filter_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts by station; a draft without a chain is in consultation."""
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
-    chain = lines.groupBy(F.col("l_orderkey").alias("inr")).agg(F.min(F.when(F.col("l_linestatus") == "F", "bgbl").otherwise("parlament")).alias("station"))
-    df = drafts(spark, sf_dir).join(chain, "inr", "left").withColumn("station", F.coalesce("station", F.lit("begutachtung")))
-    return df.where(F.col("station").isin("begutachtung", "bgbl")).groupBy("station").agg(F.count(F.lit(1)).alias("n"))
+    chain = lines.groupBy(F.col("l_orderkey").alias("inr")).agg(F.min(F.when(F.col("l_linestatus") == "F", "gazette").otherwise("parliament")).alias("station"))
+    df = drafts(spark, sf_dir).join(chain, "inr", "left").withColumn("station", F.coalesce("station", F.lit("consultation")))
+    return df.where(F.col("station").isin("consultation", "gazette")).groupBy("station").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH f AS (SELECT l_orderkey AS inr, min(l_suppkey) AS lead, list_sort(list(DISTINCT l_suppkey)) AS all_keys, min(l_linenumber) AS first_pos FROM lineitem GROUP BY 1)
