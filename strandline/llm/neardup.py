@@ -171,6 +171,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component: the rows of ``docs`` with its smallest doc_id."""
+    """One document of each component: the rows of ``docs`` with its smallest doc_id.
+
+    Rows that share a doc_id are one document and stay or go together; rows with
+    a null doc_id go, as nothing tells them apart.
+    """
     kept = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
