@@ -81,6 +81,27 @@ def test_one_to_one_is_greedy(spark):
     assert links.one_to_one(df.limit(0), "l", "r", [F.desc("s")]).count() == 0
 
 
+def greedy(rows):
+    want, left, right = set(), set(), set()
+    for i, j, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if i not in left and j not in right:
+            want.add((i, j))
+            left.add(i)
+            right.add(j)
+    return want
+
+
+def test_one_to_one_links_all_of_a_tied_group(spark):
+    rng = random.Random(7)
+    rows = [(i, j, 0.9) for i in range(60) for j in range(55)]  # every left ties with every right
+    rows += [(100 + i, 100 + j, rng.choice([0.8, 0.9])) for i in range(12) for j in range(12) if rng.random() < 0.6]  # ties with gaps
+    rows += [(200 + i, 200 + j, 0.9) for i in range(5) for j in range(5)] + [(204, 300, 0.95), (301, 203, 0.95)]  # better pairs of two members
+    rows += [(0, 0, 0.2)]  # a repeated pair
+    df = spark.createDataFrame(rows + [(None, 1, 0.9), (1, None, 0.9)], "l int, r int, s double")
+    got = [(x.l, x.r) for x in links.one_to_one(df, "l", "r", [F.desc("s"), F.col("l"), F.col("r")]).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(rows)
+
+
 def test_window_pairs_are_complete(spark):
     rng = random.Random(9)
     day = lambda: date.fromordinal(730000 + rng.randrange(200))
