@@ -46,11 +46,13 @@ def bag_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def unit_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of a conversation's first two turns aligned as units of two versions."""
+    """Sentences of each turn aligned with those of the conversation's turn before, as units of two versions."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"(?<=[.?!]) ")).alias("pos", "text"))
     units = c.select("conv_id", "turn", "pos", F.nullif(F.regexp_extract("text", r"^(\w+):", 1), F.lit("")).alias("heading"), F.col("pos").cast("string").alias("id"), "text")
-    found = diffs.aligned_units(units.where("turn = 0").drop("turn"), units.where("turn = 1").drop("turn"), ["conv_id"])
-    return found.groupBy("conv_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("unchanged", "changed", "inserted", "removed")])
+    turns = ordered.neighbours(table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct(), ["conv_id"], ["turn"], "turn").where("before IS NOT NULL").select("conv_id", "turn", "before")
+    old = units.withColumnRenamed("turn", "before").join(turns, ["conv_id", "before"]).drop("before")
+    found = diffs.aligned_units(old, units.join(turns, ["conv_id", "turn"]).drop("before"), ["conv_id", "turn"])
+    return found.groupBy("conv_id", "turn").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("unchanged", "changed", "inserted", "removed")])
 
 
 @query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN l.quality IS NULL THEN 'unread' WHEN regexp_replace(lower(d.text), '[^a-z]', '', 'g') = regexp_replace(lower(e.text), '[^a-z]', '', 'g') THEN CASE WHEN d.text = e.text THEN 'unchanged' ELSE 'editorial' END ELSE 'changed' END AS kind
@@ -149,7 +151,7 @@ def site_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS inr, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 100 = 7""")
 def positional_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a list document read by position under a checked header, then checked against the key that was asked for."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 100 <= 8)
+    o = table(spark, sf_dir, "orders")
     row = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_totalprice").cast("string"), (F.col("o_orderkey") % 100).cast("string"))
     header = F.array(*map(F.lit, ["inr", "status", "price", "slot", "more"]))
     pages = o.groupBy(F.floor(F.col("o_orderkey") / 1000)).agg(F.collect_list(row).alias("rows")).select(header.alias("header"), "rows")
@@ -161,7 +163,7 @@ def positional_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 1 AS many FROM events WHERE event_id % 10 = 0""")
 def drifting_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of JSON whose shape drifts, and a bare value read as an array of one."""
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", *scans.drifting(F.col("props"), {"k": ("$.k", "long")}), F.size(scans.one_or_many(F.col("props"), "$.k", "long")).alias("many"))
 
 

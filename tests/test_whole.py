@@ -5,13 +5,15 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from strandline.plans import registry
+from strandline.plans import document_queries, registry
 from tests.test_oracle import rows_of
 
 _PRICE = [" WHERE o_totalprice > 400000", " WHERE o_totalprice > 380000"]
 #: What confines the SQL of a query.
 CONFINED = {"scored_candidates": _PRICE, "best_match_with_refusal": _PRICE, "one_to_one_link": _PRICE}
+CONFINED |= {"version_in_force": [" WHERE l_partkey % 10 = 0", " WHERE p_partkey % 10 = 0"], "interval_overlap": [" WHERE l_partkey % 10 = 0"], "drifting_json": [" WHERE event_id % 10 = 0"]}
 
 
 @pytest.mark.parametrize("name", sorted(CONFINED))
@@ -26,3 +28,17 @@ def test_all_rows(spark, small, name):
     columns = [c[0] for c in wanted.description]
     found = registry.queries()[name](spark, small)
     assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == rows_of(columns, wanted.fetchall())
+
+
+def test_every_turn_is_aligned_with_the_one_before(spark, small):
+    turns = sorted((r.conv_id, r.turn) for r in spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn").distinct().collect())
+    got = {(r.conv_id, r.turn): r for r in registry.queries()["unit_alignment"](spark, small).collect()}
+    assert set(got) == {b for a, b in zip(turns, turns[1:]) if a[0] == b[0]}
+
+
+def test_list_rows_of_other_slots_are_read_and_refused(spark, small, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(document_queries.scans, "rechecked", lambda got, want: seen.setdefault("got", got))
+    registry.queries()["positional_list"](spark, small)
+    assert seen["got"].count() == spark.read.parquet(f"{small}/orders.parquet").count()
+    assert seen["got"].agg(F.count_distinct("slot")).first()[0] > 9
