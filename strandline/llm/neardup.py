@@ -102,22 +102,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_classes(docs: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (h1, h2, node, n_shingles) and the components of their nodes.
 
-    A node is the struct (id, h1) of the class's smallest doc_id, so that
-    repeated ids with different texts stay apart.
+    A node is the struct (nameless, id, h1) of the class's smallest doc_id, so that
+    repeated ids with different texts stay apart. Rows without an id count only
+    in classes where no row has one; these nodes come after all others.
     """
-    classes = materialize(found.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("h1").alias("h1"))).alias("node"), F.first("n_shingles").alias("n"), F.first("low").alias("low")), "classes")
+    node = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("h1").alias("h1"))
+    classes = materialize(found.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(node).alias("node"), F.first("n_shingles").alias("n"), F.first("low").alias("low")), "classes")
     # A set of n shingles has no similar different set if n / (n + 1) is below the threshold.
     least = math.ceil(percent / (100 - percent) - 1e-9)
-    listed = materialize(inverted_lists(classes.where((F.col("n") >= least) & F.col("node.id").isNotNull()), percent), "listed")
+    listed = materialize(inverted_lists(classes.where(F.col("n") >= least), percent), "listed")
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre"), F.min_by("n", "node").alias("centre_n")).where("members > 1")
     lists = materialize(listed.join(shared, "key"), "lists")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     stars = materialize(lists.where((F.col("node") != F.col("centre")) & fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     # Every member of a list may have to be compared, so its set is computed once.
     ids = lists.select(F.col("node.id").alias("doc_id"), F.col("node.h1").alias("h1")).distinct()
-    again = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingle_set(F.col("text"), width).alias("s"))
-    sets = again.withColumn("h1", F.xxhash64("s")).join(ids, ["doc_id", "h1"], "left_semi")
-    sets = materialize(sets.groupBy("doc_id", "h1").agg(F.first("s").alias("s")).select(F.struct(F.col("doc_id").alias("id"), "h1").alias("node"), "s"), "sets")
+    asked = ids.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"))
+    again = docs.join(asked.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", shingle_set(F.col("text"), width).alias("s"))
+    sets = again.withColumn("h1", F.xxhash64("s")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")), "left_semi")
+    sets = materialize(sets.groupBy("doc_id", "h1").agg(F.first("s").alias("s")).select(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "h1").alias("node"), "s"), "sets")
     edges = materialize(confirmed(stars, sets, percent), "links")
     labels = components(edges)
     # Lists of three and more that still hold several components: their members across components.
@@ -151,30 +154,51 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return listed.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & near).select(F.col("node").alias("a"), "b").distinct()
 
 
+def named_classes(docs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Classes (h1, h2) with component_id (null if no row of the component has an id) and ``stands``: the class stands for such a component."""
+    classes, labels = linked_classes(docs, found, width, percent)
+    component = F.coalesce("component", "node")
+    return classes.join(labels, "node", "left").select("h1", "h2", component["id"].alias("component_id"), (component["nameless"] & (component == F.col("node"))).alias("stands"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Component of every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their
     shingle sets; component_id is the smallest doc_id reachable. Null and blank
     texts have no shingles and are linked with nothing. Rows with a null doc_id
-    get the component of an equal text (null without one) and are not kept.
+    get the component of their text and are not kept if a row of it has an id.
+    In a component without any id, component_id is null and one row is kept;
+    blank texts with a null doc_id are each kept.
     Repeated rows are returned each; other columns of ``docs`` are ignored.
     """
     docs = docs.select("doc_id", "text")
     found = materialize(summaries(docs, width), "summaries")
-    classes, labels = linked_classes(docs, found, width, percent)
-    of_class = classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node")["id"].alias("component_id"))
+    of_class = materialize(named_classes(docs, found, width, percent), "components")
     full = found.where("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"])
-    blank = found.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id"]
-    return full.select(*columns).unionByName(blank.select(*columns)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    one = full.where("stands").groupBy("h1", "h2", "doc_id", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    one = one.select("doc_id", "n_shingles", "component_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("kept", F.col("i") == 1)
+    rest = full.where("NOT stands").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    blank = found.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("kept", F.lit(True))
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    return rest.select(*columns).unionByName(one.select(*columns)).unionByName(blank.select(*columns))
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the rows of ``docs`` with its smallest doc_id.
 
-    Rows that share a doc_id are one document and stay or go together; rows with
-    a null doc_id go, as nothing tells them apart.
+    Rows that share a doc_id are one document and stay or go together. A row with
+    a null doc_id is a document of its own: of a component without any id one
+    row stays, and blank texts stay.
     """
-    kept = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text")
+    found = materialize(summaries(texts, width), "summaries")
+    of_class = materialize(named_classes(texts, found, width, percent), "components")
+    full = found.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "h1", "h2").join(of_class, ["h1", "h2"]).where("doc_id = component_id")
+    kept = full.select("doc_id").unionByName(found.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id")).distinct()
+    # Rows without an id cannot be asked for by id, so their hashes are computed again.
+    s = let(shingle_set(F.col("text"), width), lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit("second"), s).alias("h2")))
+    nameless = docs.where("doc_id IS NULL").select(F.struct("*").alias("row"), s.alias("s")).select("row", "s.*")
+    standing = nameless.where("n > 0").join(of_class.where("stands").select("h1", "h2"), ["h1", "h2"])
+    one = standing.groupBy("h1", "h2").agg(F.min_by("row", "row.text").alias("row"))
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(one.select("row.*")).unionByName(nameless.where("n = 0").select("row.*"))

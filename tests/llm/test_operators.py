@@ -255,6 +255,21 @@ def test_near_duplicates(spark, rows, width, percent):
     assert all(r.kept == (k == r.component_id) for k, r in got.items())
 
 
+def test_rows_without_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other, lone = [*base[:59], "edit"], [f"o{i}" for i in range(60)], [f"l{i}" for i in range(60)]
+    table = [(None, base, "a"), (6, base, "b"), (9, base, "c"), (7, near, "d"), (None, other, "e"), (None, other, "f"), (None, [*other[:59], "edit"], "g"), (None, lone, "h"), (20, [], "i"), (None, [], "j"), (None, [], "k")]
+    df = spark.createDataFrame([(k, " ".join(t), s) for k, t, s in table], "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, 5, 80).collect())
+    assert got == Counter({(None, 6, False): 1, (6, 6, True): 1, (9, 6, False): 1, (7, 6, False): 1, (None, None, True): 4, (None, None, False): 2, (20, 20, True): 1})
+    kept = sorted(r.source for r in neardup.keep_first(df, 5, 80).collect())
+    assert len(kept) == 6 and [s for s in kept if s not in "efg"] == ["b", "h", "i", "j", "k"]
+    # A text without an id still links the two texts at its sides.
+    chain = [[f"c{i}" for i in range(k, 100 + k)] for k in (0, 8, 16)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in zip((1, None, 3), chain, strict=True)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, 5, 80).collect()} == {(1, 1, True), (None, 1, False), (3, 1, False)}
+
+
 # Packing.
 
 
