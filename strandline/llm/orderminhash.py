@@ -140,7 +140,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     # Both joins below read one exchange of (doc_id, text, sig) by doc_id: the hash is no join key.
     ask = after.select(F.col("next_id").alias("_id"), F.col("next_mark").alias("_mark"), F.col("doc_id").alias("prev_id"), "half")
     met = signed.join(ask, signed["doc_id"].eqNullSafe(ask["_id"])).where(F.xxhash64("text").bitwiseXOR(F.col("_mark")) == 0)
-    given = met.select("prev_id", F.expr("substring(text, 1, int(half))").alias("head"), F.col("sig").alias("next_sig"))
+    # Rows with the chosen hash are copies of one text: one of them is given on, however often it is repeated.
+    given = met.select("prev_id", F.expr("substring(text, 1, int(half))").alias("head"), F.col("sig").alias("next_sig")).dropDuplicates(["prev_id"])
     joined = signed.join(given, signed["doc_id"].eqNullSafe(given["prev_id"]))
     n = F.char_length("text").cast("long")
     joined = joined.select("doc_id", n.alias("n_chars"), "sig", "next_sig", F.expr("concat(substring(text, 1, char_length(text) - int(floor(char_length(text) / 2))), substring(head, 1, int(floor(char_length(text) / 2))))").alias("edited"))

@@ -142,6 +142,13 @@ def test_fingerprints(docs, rows):
     assert sum(r.near_edited for r in got.values()) > sum(r.near_next for r in got.values())
 
 
+def test_repeated_rows_get_one_row_each(spark):
+    table = [(1, "a b c d e f"), (2, "g h i j k l")] * 3 + [(None, "m n o p q r"), (2, "s t u v w x y z"), (2, "s t u v w x y z")]
+    got = orderminhash.fingerprint_documents(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _ in table)
+    assert len({r for r in got if r.doc_id == 1}) == 1 and len({r for r in got if r.doc_id == 2}) == 2
+
+
 def brute_signature(words):
     """The definition with plain lists, over any hash; only equality of entries is compared."""
     grams = [tuple(words[i : i + orderminhash.K]) for i in range(len(words) - orderminhash.K + 1)] or [tuple(words)]
