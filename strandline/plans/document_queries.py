@@ -223,18 +223,24 @@ def laws_without_consultation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT item_id, lower(left(text, 60)) AS core FROM benchmark WHERE length(text) >= 60)
 SELECT item_id, count(*) AS docs, min(doc_id) AS first_doc FROM c JOIN documents ON contains(lower(text), core) GROUP BY 1""")
 def title_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cores (here the first 60 characters of each passage) that occur in documents.
+    """Cores (here whole passages) that occur in documents.
 
-    The first three words of a core are looked up by equality among the documents' three-word runs, then the whole core is confirmed.
+    The longest run of three whole words of a core is looked up by equality among the documents' three-word runs, then the
+    whole core is confirmed. Cores of fewer than five words have no such run and are sought in every document.
     """
-    # A core may begin or end inside a word; its second to fourth words are whole.
-    cores = table(spark, sf_dir, "benchmark").where(F.length("text") >= 60).select("item_id", F.lower(F.substring("text", 1, 60)).alias("core"))
-    cores = cores.withColumn("run", F.array_join(F.slice(F.split("core", r"\s"), 2, 3), " "))
+    # A core may begin or end inside a word; the words between are whole.
+    cores = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.lower("text").alias("core")).withColumn("w", F.split("core", r"\s"))
+    long = cores.where(F.size("w") >= 5)
+    inner = F.transform(F.sequence(F.lit(2), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    run = F.array_max(F.transform(inner, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    keyed = long.select("item_id", "core", run.alias("run"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
     words = docs.select("doc_id", F.split("low", r"\s").alias("w"))
     runs = words.where(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("run"))
-    met = runs.join(cores, "run").join(docs, "doc_id").where(F.contains("low", F.col("core")))
-    return met.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+    asked = runs.join(keyed, "run").select(F.col("doc_id").alias("_id"), "item_id", "core").distinct()
+    met = asked.join(docs, F.col("doc_id").eqNullSafe(F.col("_id")) & F.contains("low", F.col("core"))).select("item_id", "doc_id")
+    short = docs.join(F.broadcast(cores.where(F.size("w") < 5)), F.contains("low", F.col("core"))).select("item_id", "doc_id")
+    return met.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""SELECT region, k, CAST(rank AS INTEGER) AS rank FROM (SELECT r_name AS region, o_orderkey AS k, row_number() OVER (PARTITION BY r_name ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) WHERE rank <= 5""")

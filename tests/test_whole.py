@@ -14,6 +14,8 @@ _PRICE = [" WHERE o_totalprice > 400000", " WHERE o_totalprice > 380000"]
 #: What confines the SQL of a query.
 CONFINED = {"scored_candidates": _PRICE, "best_match_with_refusal": _PRICE, "one_to_one_link": _PRICE}
 CONFINED |= {"version_in_force": [" WHERE l_partkey % 10 = 0", " WHERE p_partkey % 10 = 0"], "interval_overlap": [" WHERE l_partkey % 10 = 0"], "drifting_json": [" WHERE event_id % 10 = 0"]}
+#: Here the SQL cuts the passages and leaves short ones out.
+CONFINED["title_in_text"] = [" WHERE length(text) >= 60"]
 
 
 @pytest.mark.parametrize("name", sorted(CONFINED))
@@ -24,6 +26,7 @@ def test_all_rows(spark, small, name):
     sql = registry.oracle_sql()[name]
     for part in CONFINED[name]:
         sql = sql.replace(part, "")
+    sql = sql.replace("lower(left(text, 60)) AS core", "lower(text) AS core")
     wanted = duck.execute(sql)
     columns = [c[0] for c in wanted.description]
     found = registry.queries()[name](spark, small)
@@ -42,3 +45,13 @@ def test_list_rows_of_other_slots_are_read_and_refused(spark, small, monkeypatch
     registry.queries()["positional_list"](spark, small)
     assert seen["got"].count() == spark.read.parquet(f"{small}/orders.parquet").count()
     assert seen["got"].agg(F.count_distinct("slot")).first()[0] > 9
+
+
+def test_whole_passages_are_sought(spark, tmp_path):
+    long = "An opening that the documents share with others, of some length, then what only this passage says at its end"
+    items = [(1, long), (2, "Verfassungsgerichtshof Verwaltungsgerichtshof"), (3, "Short one"), (4, "nowhere to be found in any of them"), (5, None), (5, None)]
+    docs = [(1, "before " + long + "after"), (1, "before " + long + "after"), (None, "x" + long.upper()), (2, long[:70] + " and goes on"), (3, "a verfassungsgerichtshof verwaltungsgerichtshof."), (4, "no short oNe"), (5, None), (6, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.queries()["title_in_text"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 3, 1), (2, 1, 3), (3, 1, 4)}
