@@ -2,11 +2,13 @@
 
 The base rules are exact patterns. The field adds spans that they leave open
 (numbers without a country code, two card numbers side by side, dashed or dotted
-groups). It labels runs of words that hold a digit or an at sign; any other word
-is outside by definition, which cuts a text's chain into independent runs. Its
-features are word shapes and checks of the word and its neighbours, its weights
-are fitted to a small labelled table by maximum likelihood, and runs are decoded
-by Viterbi, all runs of a batch at once in numpy.
+groups). It labels every word that holds a digit or an at sign and the
+``CONTEXT`` words on either side; words further off are outside by definition,
+which cuts a text into independent chains. Its features are word shapes and
+checks of the word, and shapes and wording of its neighbours, so that a bare
+number after "call" and one after "order" differ. Its weights are fitted to a
+small labelled table by maximum likelihood, and chains are decoded by Viterbi,
+all chains of a batch at once in numpy.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Labelled rows that a fit takes at most.
 TABLE_ROWS = 2000
+#: Words on either side of a candidate that belong to its chain.
+CONTEXT = 3
+#: Words up to this length are remembered with their features.
+REMEMBERED = 64
 
 # Patterns as specified; lookbehinds and possessive repeats only save time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -76,24 +82,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # The field.
 
 
-@lru_cache(maxsize=200_000)
-def shapes(word: str) -> tuple[str, ...]:
-    """Shape features of one word: its pattern with run lengths, and checks on its digits."""
+def shapes_of(word: str) -> tuple[str, ...]:
+    """Shape features of one whole word: its pattern with run lengths, and checks on its digits; its lower-case form if it has none."""
     core = word.strip(".,;:!?\"'<>[]{}#*$%&|")
-    kinds = ["d" if c.isdigit() and c.isascii() else "X" if c.isupper() else "x" if c.isalpha() else c for c in core[:80]]
+    if not ("@" in core or _DIGIT.search(core)):
+        return (f"word={core.lower()}" if len(core) <= REMEMBERED else "word",)
     runs: list[list] = []
-    for k in kinds:
+    for c in core:
+        k = "d" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c
         if runs and runs[-1][0] == k and k in "dXx":
             runs[-1][1] += 1
         else:
             runs.append([k, 1])
     pattern = "".join(f"{k}{n if n < 20 else '+'}" if k == "d" else k for k, n in runs)
     digits = re.sub(r"[^0-9]", "", core)
-    out = [f"shape={pattern}", f"digits={min(len(digits), 20)}", f"kinds={''.join(sorted(set(kinds)))}"]
+    out = [f"shape={pattern}", f"digits={min(len(digits), 20)}", f"kinds={''.join(sorted({k for k, _ in runs}))}"]
     if "@" in core and not core.startswith("@") and "." in core.partition("@")[2]:
         out.append("mail")
     parts = core.split(".")
-    if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
         out.append("quad")
     if 12 <= len(digits) <= 19 and len(digits) == len(re.sub(r"[ -]", "", core)):
         out.append(f"luhn={luhn(digits)}")
@@ -102,34 +109,40 @@ def shapes(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def features(words: list[str], before: str, after: str) -> list[list[str]]:
-    """The features of each word of a run, given the words around the run."""
-    out = []
-    for i, word in enumerate(words):
-        left = words[i - 1] if i else before
-        right = words[i + 1] if i + 1 < len(words) else after
-        found = ["bias", *shapes(word)]
-        found += [f"left:{x}" for x in (shapes(left)[:1] if i else ("edge",))]
-        found += [f"right:{x}" for x in (shapes(right)[:1] if i + 1 < len(words) else ("edge",))]
-        out.append(found)
-    return out
+_remembered = lru_cache(maxsize=100_000)(shapes_of)
+
+
+def shapes(word: str) -> tuple[str, ...]:
+    """``shapes_of``; only words up to ``REMEMBERED`` characters are kept in memory."""
+    return _remembered(word) if len(word) <= REMEMBERED else shapes_of(word)
+
 
+def features(words: list[str]) -> list[list[str]]:
+    """The features of each word of a chain: its own, and the first one of up to two words before and one after."""
+    first = ["edge", "edge", *(shapes(w)[0] for w in words), "edge"]
+    return [["bias", *shapes(w), f"left2:{first[i]}", f"left:{first[i + 1]}", f"right:{first[i + 3]}"] for i, w in enumerate(words)]
 
-def runs_of(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring words that hold a digit or an at sign, as word ranges."""
+
+def chains_of(text: str) -> list[list[tuple[int, int]]]:
+    """The chains of a text as lists of word ranges: words with a digit or an at sign and ``CONTEXT`` words around, merged where they touch."""
     if "@" not in text and not _DIGIT.search(text):
         return []
     out: list[list[tuple[int, int]]] = []
-    open_run = False
+    before: list[tuple[int, int]] = []
+    wanted = 0
     for m in _WORD.finditer(text):
-        word = m[0]
-        if "@" in word or _DIGIT.search(word):
-            if not open_run:
-                out.append([])
+        if "@" in m[0] or _DIGIT.search(m[0]):
+            if not wanted:
+                # Up to CONTEXT words that stand before; those of the last chain stay with it.
+                out.append(before)
+                before = []
+            out[-1].append(m.span())
+            wanted = CONTEXT + 1
+        elif wanted:
             out[-1].append(m.span())
-            open_run = True
         else:
-            open_run = False
+            before = [*before[1 - CONTEXT :], m.span()] if CONTEXT > 1 else [m.span()]
+        wanted = max(0, wanted - 1)
     return out
 
 
@@ -186,43 +199,40 @@ FORBIDDEN = np.array([[-1e6 if b[0] == "I" and a[1:] != b[1:] else 0.0 for b in
 START = np.array([-1e6 if b[0] == "I" else 0.0 for b in LABELS])
 
 
-def fit(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 100, penalty: float = 0.02, rate: float = 0.2) -> Field:
-    """Maximum likelihood with an L2 penalty by full-batch Adam on the runs of the labelled rows; deterministic."""
-    runs, gold = [], []
-    for text, spans in rows[:TABLE_ROWS]:
-        for run in runs_of(text):
-            words = [text[a:b] for a, b in run]
-            labels, inside = [], None
-            for a, b in run:
-                span = next((s for s in spans if s[1] < b and a < s[2]), None)
-                labels.append(0 if span is None else LABELS.index(("I-" if span == inside else "B-") + span[0]))
-                inside = span
-            runs.append(features(words, "", ""))
-            gold.append(labels)
-    index = {name: i for i, name in enumerate(sorted({f for run in runs for t in run for f in t}))}
-    n, length, k = len(runs), max(map(len, runs), default=1), len(LABELS)
-    one = np.zeros((n, length, len(index)), np.float32)
-    y, size = np.zeros((n, length), int), np.array([len(r) for r in runs])
-    for i, run in enumerate(runs):
-        for t, names in enumerate(run):
-            one[i, t, [index[f] for f in names]] = 1
-            y[i, t] = gold[i][t]
-    inside = np.arange(length)[None] < size[:, None]
-    flat, targets = one[inside], np.eye(k)[y[inside]]
-    want_emit = flat.T @ targets
-    pairs = inside[:, 1:]
-    want_move = np.zeros((k, k))
-    np.add.at(want_move, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
-    emit, move = np.zeros((len(index), k)), np.zeros((k, k))
-    state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
-
-    def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-    for turn in range(1, rounds + 1):
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+class Examples:
+    """Labelled chains as arrays: feature numbers of each word (padded with the last number, which weighs nothing), labels, lengths."""
+
+    def __init__(self, chains: list[list[list[str]]], gold: list[list[int]]):
+        self.index = {name: i for i, name in enumerate(sorted({f for chain in chains for t in chain for f in t}))}
+        n, length = len(chains), max(map(len, chains), default=1)
+        most = max((len(t) for chain in chains for t in chain), default=1)
+        ids = np.full((n, length, most), len(self.index))
+        self.y, size = np.zeros((n, length), int), np.array([len(c) for c in chains], int)
+        for i, chain in enumerate(chains):
+            for t, names in enumerate(chain):
+                ids[i, t, : len(names)] = [self.index[f] for f in names]
+                self.y[i, t] = gold[i][t]
+        self.inside = np.arange(length)[None] < size[:, None]
+        self.ids = ids[self.inside]
+
+    def spread(self, weight: np.ndarray) -> np.ndarray:
+        """Sums of per-word label weights by feature."""
+        k = len(LABELS)
+        many = self.ids.shape[1]
+        return np.stack([np.bincount(self.ids.ravel(), np.repeat(weight[:, j], many), len(self.index) + 1)[:-1] for j in range(k)], axis=1)
+
+    def likelihood(self, emit: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood of all chains and its slopes, by the forward and backward recursions."""
+        n, length = self.inside.shape
+        k = len(LABELS)
+        inside, y = self.inside, self.y
         score = np.zeros((n, length, k))
-        score[inside] = flat @ emit
+        score[inside] = np.vstack([emit, np.zeros(k)])[self.ids].sum(axis=1)
         step = move + FORBIDDEN
         ahead = np.zeros((n, length, k))
         ahead[:, 0] = score[:, 0] + START
@@ -238,20 +248,50 @@ def fit(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 100, p
             p = np.exp(ahead[:, t][:, :, None] + step + following[:, None, :] - whole[:, None, None])
             got_move += p[there].sum(axis=0)
         chance = np.exp(ahead + behind - whole[:, None, None])
-        slopes = [want_emit - flat.T @ chance[inside] - penalty * emit, want_move - got_move - penalty * move]
-        for j, (weights, slope) in enumerate(zip((emit, move), slopes, strict=True)):
-            m, v = state[2 * j], state[2 * j + 1]
+        want = np.eye(k)[y[inside]]
+        want_move = np.zeros((k, k))
+        pairs = inside[:, 1:]
+        np.add.at(want_move, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
+        value = float((score[inside] * want).sum() + (step * want_move).sum() - whole.sum()) if n else 0.0
+        return value, self.spread(want - chance[inside]), want_move - got_move
+
+
+def examples(rows: list[tuple[str, list[tuple[str, int, int]]]]) -> Examples:
+    """The chains of labelled rows; a word takes the label of the first span that it touches."""
+    chains, gold = [], []
+    for text, spans in rows[:TABLE_ROWS]:
+        for chain in chains_of(text):
+            labels, inside = [], None
+            for a, b in chain:
+                span = next((s for s in spans if s[1] < b and a < s[2]), None)
+                labels.append(0 if span is None else LABELS.index(("I-" if span == inside else "B-") + span[0]))
+                inside = span
+            chains.append(features([text[a:b] for a, b in chain]))
+            gold.append(labels)
+    return Examples(chains, gold)
+
+
+def fit(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 80, penalty: float = 0.02, rate: float = 0.2) -> Field:
+    """Maximum likelihood with an L2 penalty by full-batch Adam on the chains of the labelled rows; deterministic."""
+    data = examples(rows)
+    weights = [np.zeros((len(data.index), len(LABELS))), np.zeros((len(LABELS), len(LABELS)))]
+    state = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
+    for turn in range(1, rounds + 1):
+        _, *slopes = data.likelihood(*weights)
+        for w, slope, (m, v) in zip(weights, slopes, state, strict=True):
+            slope = slope - penalty * w
             m += 0.1 * (slope - m)
             v += 0.01 * (slope * slope - v)
-            weights += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
-    return Field(index, emit, move)
+            w += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
+    return Field(data.index, *weights)
 
 
-def labelled_table(copies: int = 12, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_table(copies: int = 9, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """A small labelled table: sentences by template with invented values, and their spans (kind, start, end).
 
-    In a template, ``{kind:form}`` stands for a labelled value and ``{no:form}`` for a
-    number that is none; in a form, 9 is any digit, ``?`` any letter.
+    In a template, ``{kind}`` stands for a labelled value, ``{bare}`` for a phone
+    number of digits alone, ``{no}`` and ``{loose}`` for numbers that are none, ``{w}``
+    for an invented word; in a form, 9 is any digit, ``?`` any letters.
     """
     rng = np.random.default_rng(seed)
     forms = {
@@ -259,6 +299,9 @@ def labelled_table(copies: int = 12, seed: int = 11) -> list[tuple[str, list[tup
         "ip": ["A.A.A.A"],
         "card": ["L", "L4", "L-"],
         "email": ["??.??@??.example.com", "???99@??99.example.org", "??@???.net", "??-??@??-??.example"],
+        # The same bare digits mean a phone number after some words and nothing after others.
+        "bare": ["9999999999", "999999999", "99999999999"],
+        "loose": ["9999999999", "999999999", "99999999999"],
         "no": ["9", "99", "1999", "20999", "9.9", "v9.9.9", "9.9.9", "99%", "2099-09-09", "99:99", "$99.99", "99,999", "(9)", "[99]", "999999", "?9?99?999??9", "9th", "N", "§9", "9-9", "99/99/2099", "token=?9?9?9?9?9?9?9", "@????", "999-999", "99999-9999", "?????99", "9)", "99.", "N9", "999 999"],
     }
 
@@ -266,6 +309,8 @@ def labelled_table(copies: int = 12, seed: int = 11) -> list[tuple[str, list[tup
         return "".join(str(d) for d in rng.integers(0, 10, n))
 
     def value(kind: str) -> str:
+        if kind == "w":
+            return "".join(chr(97 + x) for x in rng.integers(0, 26, 2 + rng.integers(8))) + str(rng.choice(["", "", "", ",", "."]))
         form = forms[kind][rng.integers(len(forms[kind]))]
         if form[0] in "LN":
             n = int(rng.choice([13, 15, 16, 16, 16]))
@@ -279,7 +324,14 @@ def labelled_table(copies: int = 12, seed: int = 11) -> list[tuple[str, list[tup
             out.append(number(1) if c == "9" else str(rng.integers(0, 256)) if c == "A" else "".join(chr(97 + x) for x in rng.integers(0, 26, 1 + rng.integers(5))) if c == "?" else c)
         return "".join(out)
 
-    templates = ["call {phone} today", "{phone}", "tel. {phone}, or {phone}", "ring {no} or {phone}.", "from {ip} at {no}", "host {ip}", "{ip} {no}", "card {card} due {no}", "{card} {card}", "{card}", "pay with {card}.", "write to {email}, please", "{email}", "<{email}> wrote", "{email} {phone} {card}", "in {no} there were {no} of them", "{no} {no}", "see {no}", "{no} {no} {no}", "about {no}, {no} and", "id {no} from {ip}", "version {no} of {no}", "{no}", "{no} {card}", "{phone} {no}"]
+    templates = [
+        "please call {phone} today", "call {bare} now", "you can reach us on {phone}", "phone {bare}", "tel. {phone}, or {phone}", "mobile: {bare}", "ring {no} or {phone}.", "fax {phone} {w}", "{w} {w} {phone} {w} {w}", "{phone}",
+        "order {loose} of {w}", "invoice {loose} is due", "id {loose}", "no. {loose} {w}", "sku {loose} {w} {w}", "{w} {w} {loose} {w}", "{w} {loose}, {w}",
+        "from {ip} at {no}", "host {ip}", "{w} {ip} {no} {w}", "{w} {w} {ip}", "login from {ip} failed",
+        "card {card} due {no}", "{card} {card}", "{w} {w} {card} {w}", "pay with {card}.", "{w} {card} {phone} {w}", "the number {card} {w}",
+        "write to {email}, please", "{w} {email} {w}", "<{email}> wrote", "{email} {phone} {card}", "mail {email}",
+        "in {no} there were {no} of them", "{no} {no}", "see {no}", "{w} {no} {no} {w}", "about {no}, {no} and", "id {no} from {ip}", "version {no} of {no}", "{w} {w} {no} {w} {w}", "{no} {card}", "{phone} {no}", "token = {no} {w}",
+    ]
     rows = []
     for _ in range(copies):
         for template in templates:
@@ -287,8 +339,8 @@ def labelled_table(copies: int = 12, seed: int = 11) -> list[tuple[str, list[tup
             for piece in re.split(r"(\{[a-z]+\})", template):
                 if piece.startswith("{"):
                     kind, shown = piece[1:-1], value(piece[1:-1])
-                    if kind != "no":
-                        spans.append((kind, len(text), len(text) + len(shown)))
+                    if kind not in ("no", "loose", "w"):
+                        spans.append(("phone" if kind == "bare" else kind, len(text), len(text) + len(shown)))
                     text += shown
                 else:
                     text += piece
@@ -310,9 +362,9 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     """Spans the field finds that overlap no base span, by text."""
     where, runs = [], []
     for i, text in enumerate(texts):
-        for run in runs_of(text):
+        for run in chains_of(text):
             where.append((i, run))
-            runs.append(features([text[a:b] for a, b in run], "", ""))
+            runs.append(features([text[a:b] for a, b in run]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (i, run), path in zip(where, field.decode(runs), strict=True):
         t = 0
@@ -336,6 +388,11 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     return out
 
 
+@lru_cache(maxsize=1)
+def default_field() -> Field:
+    return fit(labelled_table())
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -346,10 +403,11 @@ def find_personal_data(docs: DataFrame, table: list[tuple[str, list[tuple[str, i
     Returns doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans
     (base and added, ``kind:start:end`` in code points), n_added. The field is
     fitted on the driver to ``table`` (``TABLE_ROWS`` rows at most; default
-    ``labelled_table()``). Added spans never overlap base ones. Repeated rows are
-    searched each; no documents give no rows.
+    ``labelled_table()``). Added spans never overlap base ones. Texts are searched
+    whole, however long; repeated rows are searched each; no documents give no
+    rows; other columns are ignored.
     """
-    field = docs.sparkSession.sparkContext.broadcast(fit(labelled_table() if table is None else table))
+    field = docs.sparkSession.sparkContext.broadcast(default_field() if table is None else fit(table))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
