@@ -5,15 +5,19 @@ checksum, location, offset and file name. Which form holds is declared by the
 archive's first record, the version block. The converter takes exactly the
 declared length of each record and makes up what WARC asks for: a record id
 derived from the record's content and place, an ISO timestamp, a record type
-and SHA-1 digests.
+and SHA-1 digests. Archives are rolled at ``ARCHIVE_BYTES``, so that neither a
+writer nor a reader holds more than that and a record.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +27,10 @@ from strandline.llm.common import shared_path
 
 #: Payloads below this many bytes are always stored.
 LEAST_BYTES = 1000
-#: Bytes of payload that one archive holds, about.
-ARCHIVE_BYTES = 16 << 20
+#: An archive takes no further record once its records have this many bytes.
+ARCHIVE_BYTES = 64 << 20
+#: Records that are put in a legacy archive, parsed and converted at a time, and rows that a reader returns at a time.
+RECORDS = 64
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "arc-to-warc")
 #: Field names of the two ARC header lines.
 ARC_FIELDS = {
@@ -41,7 +47,8 @@ class Record:
     block: bytes
     offset: int = 0
     version: int = 1
-    extra: dict[str, str] = field(default_factory=dict)
+    #: The version block that opens an archive.
+    opens: bool = False
 
 
 def arc_version_block(version: int, name: str, date: str) -> bytes:
@@ -51,22 +58,36 @@ def arc_version_block(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} {tail}\n".encode() + body + b"\n"
 
 
+def shown_url(url: str) -> str:
+    """A URL without white space, as header lines are split at spaces; an empty one is ``-``."""
+    return "".join(f"%{ord(c):02X}" if ord(c) <= 32 else c for c in url) or "-"
+
+
 def arc_record(version: int, url: str, date: str, block: bytes, mime: str = "text/html", ip: str = "0.0.0.0", name: str = "-") -> bytes:
-    """One ARC record. White space in the URL is escaped, as the header line is split at spaces."""
-    url = "".join(f"%{b:02X}" if b <= 32 else chr(b) for b in url.encode("utf-8")) if any(ord(c) <= 32 for c in url) else url
+    """One ARC record."""
     middle = f"{mime}" if version == 1 else f"{mime} 200 {hashlib.md5(block).hexdigest()} - 0 {name}"
-    return f"{url or '-'} {ip} {date} {middle} {len(block)}\n".encode() + block + b"\n"
+    return f"{shown_url(url)} {ip} {date} {middle} {len(block)}\n".encode() + block + b"\n"
+
+
+def is_version_block(head: bytes, block: bytes) -> bool:
+    """Whether a record inside an archive opens a further one: besides the address, its block must be that of a version block.
+
+    A page whose address begins with ``filedesc:`` is a page like any other.
+    """
+    lines = block.split(b"\n", 2)
+    return head.startswith(b"filedesc:") and len(lines) > 1 and lines[0].split(b" ", 1)[0].isdigit() and lines[1].startswith(b"URL IP-address Archive-date ")
 
 
 def read_arc(data: bytes) -> Iterator[Record]:
     """Parse an ARC archive by its header lines and declared lengths.
 
-    The version block decides how many fields a header line has; each further
-    ``filedesc:`` record decides anew (archives may be concatenated). Blank
-    lines between records are skipped. A line with another number of fields, a
-    bad length or a block cut short raises ValueError.
+    The first record is the version block, which decides how many fields a
+    header line has; where archives are concatenated, each further version
+    block decides anew. Blank lines between records are skipped. An archive
+    that does not begin with a version block, a line with another number of
+    fields, a bad length or a block cut short raises ValueError.
     """
-    at, version = 0, 1
+    at, version = 0, 0
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
@@ -75,21 +96,20 @@ def read_arc(data: bytes) -> Iterator[Record]:
         if end < 0:
             raise ValueError(f"header line at {at} has no end")
         parts = data[at:end].decode("utf-8").rstrip("\r").split(" ")
-        opens = parts[0].startswith("filedesc:")
+        begin, length = end + 1, int(parts[-1]) if parts[-1].isdecimal() and parts[-1].isascii() else -1
+        block = data[begin : begin + length] if length >= 0 else b""
+        opens = is_version_block(data[at:end], block)
+        if not version and not opens:
+            raise ValueError(f"no version block at {at}")
         if opens:
-            version = next((v for v, names in ARC_FIELDS.items() if len(names) == len(parts)), 0)
+            declared = int(block.split(b" ", 1)[0])
+            version = declared if declared in ARC_FIELDS else next((v for v, names in ARC_FIELDS.items() if len(names) == len(parts)), 0)
         names = ARC_FIELDS.get(version, [])
-        if len(parts) != len(names) or not parts[-1].isdigit():
+        if len(parts) != len(names) or length < 0:
             raise ValueError(f"header line at {at} is not of ARC {version}: {parts[:3]}")
-        begin, length = end + 1, int(parts[-1])
-        block = data[begin : begin + length]
         if len(block) != length:
             raise ValueError(f"record at {at} declares {length} bytes, {len(block)} are left")
-        if opens:
-            declared = block.split(b" ", 1)[0]
-            if declared.isdigit() and int(declared) in ARC_FIELDS:
-                version = int(declared)
-        yield Record(dict(zip(names, parts, strict=True)), block, at, version)
+        yield Record(dict(zip(names, parts, strict=True)), block, at, version, opens)
         at = begin + length
 
 
@@ -111,139 +131,175 @@ def iso(date: str) -> str:
     return f"{y}-{'01' if mo == '00' else mo}-{'01' if da == '00' else da}T{h}:{mi}:{s}Z"
 
 
-def record_id(record: Record, archive: str = "") -> str:
-    """An id that depends on the record alone: reruns give the same."""
+def record_id(record: Record, archive: str) -> str:
+    """An id made of the archive's name, the record's place in it and its content: unique, and the same when a task runs again."""
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, ' '.join([archive, str(record.offset), record.fields['URL'], record.fields['Archive-date'], hashlib.sha1(record.block).hexdigest()]))}>"
 
 
-def to_warc(record: Record, refers_to: str | None = None, extra: dict[str, str] | None = None) -> bytes:
+@dataclass
+class Original:
+    """The response that a revisit stands for."""
+
+    page: str
+    url: str
+    date: str
+
+
+def to_warc(record: Record, archive: str = "", original: Original | None = None) -> bytes:
     """The WARC record of an ARC record, without the closing two line ends.
 
     The version block becomes ``warcinfo``, HTTP answers ``response``, others
-    ``resource``; with ``refers_to`` an answer becomes a ``revisit`` whose block
-    is its HTTP head, while digest and length fields describe the full payload.
+    ``resource``; with ``original`` an answer becomes a ``revisit`` whose block
+    is its HTTP head, which names the original's address and date, while digest
+    and length fields describe the full payload.
     """
-    opens = record.fields["URL"].startswith("filedesc:")
     http, payload = http_split(record.block)
-    kind = "warcinfo" if opens else "revisit" if refers_to is not None else "response" if http or record.block.startswith(b"HTTP/") else "resource"
+    kind = "warcinfo" if record.opens else "revisit" if original is not None else "response" if http or record.block.startswith(b"HTTP/") else "resource"
     block = record.block[: len(record.block) - len(payload)] if kind == "revisit" else record.block
-    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(record)}", f"WARC-Date: {iso(record.fields['Archive-date'])}"]
-    if opens:
-        lines += [f"WARC-Filename: {record.fields['URL'].removeprefix('filedesc://')}", "Content-Type: application/warc-fields"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(record, archive)}", f"WARC-Date: {iso(record.fields['Archive-date'])}"]
+    if record.opens:
+        lines += [f"WARC-Filename: {archive or record.fields['URL'].removeprefix('filedesc://')}", "Content-Type: application/warc-fields"]
     else:
         lines += [f"WARC-Target-URI: {record.fields['URL']}", f"WARC-IP-Address: {record.fields['IP-address']}"]
         lines += [f"Content-Type: {'application/http;msgtype=response' if kind in ('response', 'revisit') else record.fields['Content-type']}"]
         lines += [f"WARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}", f"X-Payload-Length: {len(payload)}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
-    lines += [f"{k}: {v}" for k, v in (extra or {}).items()]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To-Target-URI: {shown_url(original.url)}", f"WARC-Refers-To-Date: {iso(original.date)}", f"X-Refers-To-Page: {original.page}"]
     lines += [f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + block
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record, by declared lengths; digests are checked."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+def read_warc(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record, by declared lengths; a record at a time, digests are checked."""
+    line = source.readline()
+    while line:
+        if line == b"\r\n":
+            line = source.readline()
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at {at}")
-        lines = data[at:end].decode("utf-8").split("\r\n")[1:]
-        fields = {k: v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        begin, length = end + 4, int(fields["Content-Length"])
-        block = data[begin : begin + length]
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:40]!r}")
+        fields: dict[str, str] = {}
+        while (line := source.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("a WARC header has no end")
+            name, _, value = line.decode("utf-8").partition(":")
+            fields[name] = value.strip()
+        length = int(fields["Content-Length"])
+        block = source.read(length)
         if len(block) != length or fields.get("WARC-Block-Digest", "sha1:").removeprefix("sha1:") not in ("", hashlib.sha1(block).hexdigest()):
-            raise ValueError(f"WARC record at {at} is damaged")
+            raise ValueError(f"WARC record {fields.get('WARC-Record-ID')} is damaged")
         yield fields, block
-        at = begin + length
+        line = source.readline()
 
 
-def decisions(pages: DataFrame, key: str, payload: Column) -> DataFrame:
-    """``key``, ``refers_to`` for the records to be stored as revisits: not the largest key of equal payloads of ``LEAST_BYTES`` bytes or more.
+def decisions(pages: DataFrame, key: str, payload: Column, url: str) -> DataFrame:
+    """key, digest, refers_to and refers_url of what is stored as revisits: not the largest key of equal payloads of ``LEAST_BYTES`` bytes or more.
 
     Digests alone are shuffled. A payload that a third of all pages share is
     reduced before its shuffle; joining back, the adaptive planner may split it.
     """
-    named = pages.select(key, F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")).where(f"bytes >= {LEAST_BYTES} AND {key} IS NOT NULL")
-    last = named.groupBy("digest").agg(F.max(key).alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return named.join(last, "digest").where(F.col(key) < F.col("refers_to")).select(key, "refers_to").distinct()
+    named = pages.select(key, F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"), url).where(f"bytes >= {LEAST_BYTES} AND {key} IS NOT NULL")
+    last = named.groupBy("digest").agg(F.max(F.struct(F.col(key).alias("refers_to"), F.col(url).alias("refers_url"))).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last.*")
+    return named.join(last, "digest").where(F.col(key) < F.col("refers_to")).select(key, "digest", "refers_to", "refers_url").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, arc_versions: tuple[int, ...] = (1, 2)) -> None:
-    """Write ``pages`` (page_id, url, html) as gzip-compressed WARC files below ``path``.
+def write_archives(pages: DataFrame, path: str, arc_versions: tuple[int, ...] = (1, 2), archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write ``pages`` (page_id, url, html) as gzip-compressed WARC files below ``path``, a folder per archive.
 
-    Each batch is put in a legacy ARC archive (the forms alternate), parsed and
-    converted record by record. Spark's text writer puts the bytes in the files,
-    each record closed by two line ends, so any file system Spark knows will do,
-    and lost tasks are rerun without leaving partial files.
+    Records go through legacy ARC archives (the forms alternate), which are
+    parsed and converted. A task begins a new archive once ``archive_bytes`` are
+    reached. Spark's text writer puts the bytes in the files, each record closed
+    by two line ends, so any file system Spark knows will do, and lost tasks are
+    rerun without leaving partial files.
     """
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    revisits = decisions(pages, "page_id", F.col("html"))
-    joined = pages.join(revisits, "page_id", "left").select(F.col("page_id").cast("string").alias("page"), "url", F.encode("html", "UTF-8").alias("payload"), F.col("refers_to").cast("string").alias("refers_to"))
+    pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    found = decisions(pages, "page_id", F.col("html"), "url")
+    # A page is its id and its payload: rows that repeat an id with another payload are judged by their own.
+    joined = pages.withColumn("digest", F.sha1("html")).join(found, ["page_id", "digest"], "left")
+    joined = joined.select(F.col("page_id").cast("string").alias("page"), "url", F.encode("html", "UTF-8").alias("payload"), F.col("refers_to").cast("string").alias("refers_to"), "refers_url")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, batch in enumerate(batches):
-            version = arc_versions[turn % len(arc_versions)]
-            refers = batch.column(3).to_pylist()
-            out = []
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                arc = [arc_version_block(version, "pages.arc", "20200101000000")]
-                for page, url, payload in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page: {page if page is not None else ''}\r\n\r\n".encode()
-                    arc.append(arc_record(version, url or "", "20200101000000", head + payload))
-                records = read_arc(b"".join(arc))
-                info = next(records)
-                if not k and not turn:
-                    out.append(to_warc(info))
-                out += [to_warc(record, refers[k + i]) for i, record in enumerate(records)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    warc = joined.mapInArrow(convert, "record binary").select(F.col("record").cast("string").alias("value"))
-    warc.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+        from pyspark import TaskContext
+
+        date, task = "20200101000000", TaskContext.get().partitionId()
+        roll, size, name = -1, archive_bytes, ""
+        for batch in batches:
+            for k in range(0, batch.num_rows, RECORDS):
+                names, out = [], []
+                rows = batch.slice(k, RECORDS).to_pylist()
+                while rows:
+                    if size >= archive_bytes:
+                        roll, size = roll + 1, 0
+                        name = f"{task:06d}-{roll:06d}"
+                    version = arc_versions[roll % len(arc_versions)]
+                    arc = [arc_version_block(version, name, date)]
+                    taken = 0
+                    while taken < len(rows) and (not taken or size + sum(map(len, arc)) < archive_bytes):
+                        row = rows[taken]
+                        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page: {row['page'] or ''}\r\n\r\n".encode()
+                        arc.append(arc_record(version, row["url"], date, head + row["payload"]))
+                        taken += 1
+                    records = read_arc(b"".join(arc))
+                    info = next(records)
+                    if not size:
+                        out.append(to_warc(info, name))
+                        names.append(name)
+                    for row, record in zip(rows[:taken], records, strict=True):
+                        record.offset += size
+                        out.append(to_warc(record, name, None if row["refers_to"] is None else Original(row["refers_to"], row["refers_url"], date)))
+                        names.append(name)
+                    size += sum(map(len, arc))
+                    rows = rows[taken:]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names, pa.string())], names=["record", "archive"])
+
+    warc = joined.mapInArrow(convert, "record binary, archive string").select(F.col("record").cast("string").alias("value"), "archive")
+    warc.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").partitionBy("archive").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files below ``path``, file by file: page_id, record_type, payload_bytes, payload_digest, refers_to."""
+    """The records of all WARC files below ``path``: page_id, record_type, payload_bytes, payload_digest, refers_to, record_id.
+
+    A task holds one compressed archive and decompresses it record by record.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+
+    def page_rows(content: bytes) -> Iterator[tuple]:
+        for fields, block in read_warc(gzip.open(io.BytesIO(content))):
+            if fields["WARC-Type"] not in ("response", "revisit"):
+                continue
+            http, payload = http_split(block)
+            digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
+            if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
+            page = http.get("x-page", "")
+            yield int(page) if page else None, size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if "X-Refers-To-Page" in fields else None, fields["WARC-Record-ID"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for fields, block in read_warc(gzip.decompress(content.as_py())):
-                    if fields["WARC-Type"] not in ("response", "revisit"):
-                        continue
-                    http, payload = http_split(block)
-                    digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
-                    if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                        raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-                    page = http.get("x-page", "")
-                    rows.append((int(page) if page else None, size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if "X-Refers-To-Page" in fields else None))
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+                rows = list(page_rows(content.as_py()))
+                columns = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return files.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write every row of ``pages`` to WARC archives in the shared folder and read them back, a row per record.
 
     Null html is an empty payload; a null url is written as ``-``. Rows with a
-    null page_id are responses always. Of repeated page_ids with equal payloads
-    the last id's rows are all responses. No pages give no rows.
+    null page_id are responses always. Rows that repeat a page_id are judged by
+    their own payloads; of equal rows with the largest id of their payload all
+    are responses. Payloads of any length are kept whole; columns besides
+    page_id, url and html are ignored. No pages give no rows.
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path)
-    return read_archives(spark, path)
+    return read_archives(spark, path).drop("record_id")
 
 
 ORACLE_SQL = f"""
