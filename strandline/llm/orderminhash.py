@@ -4,12 +4,19 @@ A text's k-mers (``K`` words in a row) are numbered by occurrence, so that
 repeats count. For each of ``SKETCHES`` orders of these numbered k-mers, the
 ``TUPLE`` least are kept, put back into text order and hashed; two texts agree
 in an entry if they share these k-mers and their order, which falls with the
-edit distance and not only with the overlap. The orders are one hash order
-rotated by equal steps: order b begins at hash b / ``SKETCHES`` and wraps round.
-
-Everything is built-in array arithmetic on one row: a sort of the k-mers, a
-pointer-doubling pass for the occurrence numbers, a second sort, and a walk over
-the ``SKETCHES`` starting points. The work is n log n in a text's words.
+edit distance and not only with the overlap.
+
+The orders are drawn independently of each other, but not by hashing every
+k-mer once for every order: a k-mer throws darts. Dart c of a k-mer falls on a
+hashed order with value c + a hashed fraction, so a k-mer's value in an order
+is that of its first dart there, and the least k-mers of an order are those
+with the least darts on it. Which k-mer is least depends on the k-mers alone;
+only how many darts must be looked at depends on a text's length: about
+``DARTS`` for each order in all, by fewer rounds and at last a threshold as
+texts get longer. The work is in proportion to a text's words and ``SKETCHES``
+* ``DARTS``, and a text of a few words has as many distinct orders as a long one.
+
+Everything is built-in array arithmetic on one row.
 """
 
 from __future__ import annotations
@@ -22,76 +29,97 @@ from strandline.llm.common import let, materialize, word_list
 K = 3
 TUPLE = 2
 SKETCHES = 64
-#: Bits of a packed value that hold the position (texts are below 2**28 words).
-PLACE_BITS = 28
-_PLACE = (1 << PLACE_BITS) - 1
-_BIN_SHIFT = 64 - SKETCHES.bit_length() + 1
-
-
-def _at(items: Column, i: Column) -> Column:
-    """Element ``i`` counted from 0."""
-    return F.get(items, i.cast("int"))
-
-
-def packed(identity: Column, place: Column) -> Column:
-    """The high bits of a hash and a place in one long: sorting it sorts by hash, then place."""
-    return identity.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(place.cast("long"))
+#: Darts on each order that are looked at, on average. An order with fewer than TUPLE k-mers among them (about
+#: one in 10**5) is hashed from those it has.
+DARTS = 15
+#: Bits of a dart: its order, its round, its fraction, and where its k-mer stands in the array.
+ORDER_BITS, ROUND_BITS, PART_BITS = 6, 10, 30
+_PART = (1 << PART_BITS) - 1
+_ORDER = ~((1 << (64 - ORDER_BITS)) - 1)
 
 
 def kmers(hashes: Column) -> Column:
-    """Packed (hash, place) of each k-mer; a text of fewer than ``K`` words is one k-mer."""
+    """The 64-bit hash of each k-mer in text order; a text of fewer than ``K`` words is one k-mer."""
     n = F.size(hashes)
-    runs = F.transform(F.sequence(F.lit(0), n - K), lambda i: packed(F.xxhash64(*[_at(hashes, i + k) for k in range(K)]), i))
-    whole = F.array(packed(F.xxhash64(F.lit("short"), hashes), F.lit(0)))
+    runs = F.transform(F.sequence(F.lit(1), n - K + 1), lambda i: F.xxhash64(*[F.get(hashes, i + k - 1) for k in range(K)]))
+    whole = F.array(F.xxhash64(F.lit("short"), hashes))
     return F.when(n >= K, runs).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def numbered(sorted_kmers: Column) -> Column:
-    """Hashes of (k-mer, occurrence number) packed with their places, sorted.
+def numbered(found: Column) -> Column:
+    """(id, place) of each k-mer, where ``id`` hashes the k-mer and its occurrence number.
 
-    Equal k-mers stand together in order of place. Each points to its
-    predecessor; doubling the pointers finds the first of each run, and the
-    distance to it is the occurrence number.
+    Without repeats all numbers are 0. Else k-mers are sorted by hash and place;
+    each points to its predecessor if that is equal; doubling the pointers finds
+    the first of each run, and the distance to it is the occurrence number.
     """
-    identity = lambda x: F.shiftright(x, PLACE_BITS)
-    pointers = F.transform(sorted_kmers, lambda x, j: F.when((j > 0) & (identity(x) == identity(F.get(sorted_kmers, F.greatest(j - 1, F.lit(0))))), j - 1).otherwise(j))
+    first = F.transform(found, lambda h, i: F.struct(F.xxhash64(h, F.lit(0)).alias("id"), i.alias("place")))
 
-    def doubled(p: Column) -> Column:
-        repeats = F.size(F.filter(p, lambda x, j: x < j))
-        rounds = F.ceil(F.log2(repeats + 1)).cast("int")
-        return F.when(repeats == 0, p).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), p, lambda q, _: F.transform(q, lambda x: F.get(q, x))))
+    def by_run(s: Column) -> Column:
+        pointers = F.transform(s, lambda x, j: F.when((j > 0) & (x["h"] == F.get(s, F.greatest(j - 1, F.lit(0)))["h"]), j - 1).otherwise(j))
+        repeats = lambda p: F.size(F.filter(p, lambda x, j: x < j))
+        doubled = lambda p: F.aggregate(F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(repeats(p) + 1)).cast("int"), F.lit(1))), p, lambda q, _: F.transform(q, lambda x: F.get(q, x)))
+        return let(let(pointers, doubled), lambda p: F.transform(s, lambda x, j: F.struct(F.xxhash64(x["h"], j - F.get(p, j)).alias("id"), x["place"].alias("place"))))
 
-    hashed = let(let(pointers, doubled), lambda p: F.transform(sorted_kmers, lambda x, j: packed(F.xxhash64(identity(x), j - F.get(p, j)), x.bitwiseAND(F.lit(_PLACE)))))
-    return F.sort_array(hashed)
+    repeated = let(F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("place")))), by_run)
+    return F.when(F.size(F.array_distinct(found)) == F.size(found), first).otherwise(repeated)
 
 
-def entries(s: Column) -> Column:
-    """One 32-bit entry per order, from the sorted numbered k-mers; no k-mers give no entries."""
+def darts(s: Column) -> Column:
+    """Packed (order, round, fraction, index into ``s``) of the darts to be looked at, sorted."""
     n = F.size(s)
-    shelf = lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), _BIN_SHIFT)
-    firsts = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (shelf(x) != shelf(F.get(s, F.greatest(j - 1, F.lit(0))))), F.struct(shelf(x).cast("int").alias("shelf"), j.alias("at")))), lambda x: x.isNotNull())
+    wanted = SKETCHES * DARTS
+    # With m k-mers, an order lacks a second one if all but one have no dart on it.
+    rounds = F.least(F.greatest(F.ceil(F.lit(float(wanted)) / F.greatest(n - 1, F.lit(1))), F.lit(1)), F.lit(1 << ROUND_BITS)).cast("int")
+    place = 64 - ORDER_BITS - PART_BITS
+    limit = F.when(n > wanted, (F.lit(float(wanted)) / n * (1 << PART_BITS)).cast("long")).otherwise(F.lit(1 << PART_BITS))
+
+    def thrown(c: Column) -> Column:
+        def dart(x: Column, j: Column) -> Column:
+            return let(F.xxhash64(x["id"], c), lambda r: r.bitwiseAND(F.lit(_ORDER)).bitwiseOR(F.shiftleft(r.bitwiseAND(F.lit(_PART)), place - ROUND_BITS)).bitwiseOR(F.shiftleft(c.cast("long"), place - ROUND_BITS + PART_BITS)).bitwiseOR(j.cast("long")))
+
+        return F.transform(s, dart)
+
+    # A long text has one round: its places need the bits of the round's number, and darts above the limit are left out at once.
+    single = F.transform(
+        F.filter(F.transform(s, lambda x, j: F.struct(F.xxhash64(x["id"], F.lit(0)).alias("r"), j.alias("j"))), lambda d: d["r"].bitwiseAND(F.lit(_PART)) < limit),
+        lambda d: d["r"].bitwiseAND(F.lit(_ORDER)).bitwiseOR(F.shiftleft(d["r"].bitwiseAND(F.lit(_PART)), place)).bitwiseOR(d["j"].cast("long")),
+    )
+    many = F.flatten(F.transform(F.sequence(F.lit(0), rounds - 1), thrown))
+    return F.sort_array(F.when(rounds == 1, single).otherwise(many))
+
+
+def entries(s: Column) -> Column:
+    """One 32-bit entry per order, from the numbered k-mers; no k-mers give no entries."""
+    bits = 64 - ORDER_BITS - PART_BITS
+    index = F.when(F.size(s) > SKETCHES * DARTS, F.lit((1 << bits) - 1)).otherwise(F.lit((1 << (bits - ROUND_BITS)) - 1))
+    order = lambda d: F.shiftright(d, 64 - ORDER_BITS)
 
-    def walk(f: Column) -> Column:
-        begin = F.struct(F.array().cast("array<int>").alias("out"), (F.size(f) - 1).alias("k"), F.get(f, F.lit(0))["at"].alias("at"))
+    def of(d: Column) -> Column:
+        changes = F.transform(d, lambda x, j: F.when((j == 0) | (order(x) != order(F.get(d, F.greatest(j - 1, F.lit(0))))), j))
 
-        def step(state: Column, b: Column) -> Column:
-            hit = (state["k"] >= 0) & (F.get(f, F.greatest(state["k"], F.lit(0)))["shelf"] == b)
-            at = F.when(hit, F.get(f, F.greatest(state["k"], F.lit(0)))["at"]).otherwise(state["at"])
-            return F.struct(F.concat(F.array(at), state["out"]).alias("out"), (state["k"] - hit.cast("int")).alias("k"), at.alias("at"))
+        def entry(least: Column) -> Column:
+            ids = F.transform(F.array_sort(F.transform(least, lambda i: F.struct(F.get(s, i)["place"].alias("place"), F.get(s, i)["id"].alias("id")))), lambda x: x["id"])
+            return F.shiftright(F.xxhash64(ids), 32).cast("int")
 
-        return F.aggregate(F.sequence(F.lit(SKETCHES - 1), F.lit(0), F.lit(-1)), begin, step)["out"]
+        def group(begin: Column, end: Column) -> Column:
+            # The first dart's k-mer, and the first other one.
+            mine = F.transform(F.slice(d, begin + 1, end - begin), lambda x: x.bitwiseAND(index).cast("int"))
+            least = let(mine, lambda m: F.slice(F.concat(F.slice(m, 1, 1), F.filter(m, lambda i: i != F.get(m, F.lit(0)))), 1, TUPLE))
+            return F.struct(order(F.get(d, begin)).cast("int").alias("order"), entry(least).alias("entry"))
 
-    def entry(at: Column) -> Column:
-        chosen = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(TUPLE)) - 1), lambda t: let(F.get(s, F.pmod(at + t, n)), lambda x: F.struct(x.bitwiseAND(F.lit(_PLACE)).alias("place"), x.bitwiseAND(F.lit(~_PLACE)).alias("id"))))
-        return F.shiftright(F.xxhash64(F.transform(F.array_sort(chosen), lambda c: c["id"])), 32).cast("int")
+        groups = let(F.filter(changes, lambda j: j.isNotNull()), lambda f: F.transform(f, lambda j, k: group(j, F.coalesce(F.get(f, k + 1), F.size(d)))))
+        by_order = lambda g, b: F.coalesce(F.get(F.filter(g, lambda x: x["order"] == b), F.lit(0))["entry"], F.lit(0))
+        every = F.sequence(F.lit(-SKETCHES // 2), F.lit(SKETCHES // 2 - 1))
+        return let(groups, lambda g: F.when(F.size(g) == SKETCHES, F.transform(g, lambda x: x["entry"])).otherwise(F.transform(every, lambda b: by_order(g, b))))
 
-    return F.when(n > 0, F.transform(let(firsts, walk), entry)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(s) > 0, let(darts(s), of)).otherwise(F.array().cast("array<int>"))
 
 
 def signature(text: Column) -> Column:
     """The text's ``SKETCHES`` entries as array<int>; a text without words (or null) has none."""
     hashes = F.transform(word_list(text), lambda w: F.xxhash64(w))
-    return let(let(F.sort_array(let(hashes, kmers)), numbered), entries)
+    return let(let(let(hashes, kmers), numbered), entries)
 
 
 def shown(sig: Column) -> Column:
