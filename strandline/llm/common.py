@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,9 +20,15 @@ CHUNK_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (local runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder is used in local mode only; a cluster
+    without the setting is an error, as its executors share no local folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
         found = spark.sparkContext.getCheckpointDir()
@@ -36,7 +44,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there and any executor may be lost."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -46,6 +56,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_table(written: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned and that nothing reads any more."""
+    drop_path(written.sparkSession, written.written_at)
+
+
+#: A key is hot if more than one in so many rows have it; so there are at most so many hot keys.
+HOT_KEYS = 1000
+
+
+def joined_spread(rows: DataFrame, table: DataFrame, keys: list[str], members: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per key and says in ``members`` how many rows have it.
+
+    Hot keys are at most ``HOT_KEYS`` whatever the data, so their rows of
+    ``table`` are broadcast. Rows that match them are dealt evenly over the
+    other join's tasks, so that no task gathers a key that a third of all rows
+    have. The keys are longs without nulls.
+    """
+    values = F.struct(*[c for c in table.columns if c not in keys])
+    hot = table.where(F.col(members) * HOT_KEYS > table.agg(F.sum(members)).scalar())
+    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], values.alias("_hot")))
+    rest = table.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], values.alias("_rest"))
+    every = lambda side: reduce(and_, [F.col(k) == F.col(f"_{side}{i}") for i, k in enumerate(keys)])
+    found = rows.join(hot, every("h"), "left")
+    found = found.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*rows.columns)))
+    same = reduce(and_, [F.col(k) == F.col(f"_t{i}") for i, k in enumerate(keys) if i], F.col("_at") == F.col("_t0"))
+    found = found.join(rest, same & F.col("_hot").isNull(), "left").withColumn("_met", F.coalesce("_hot", "_rest"))
+    return found.where(F.col("_met").isNotNull()).select(*rows.columns, "_met.*")
+
+
+def rewritten(docs: DataFrame, row: Column, text: Column) -> list[Column]:
+    """The columns of ``docs`` out of a struct ``row``, with ``text`` as text and its length as ``n_chars`` (if there)."""
+    def one(c: str) -> Column:
+        return text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else row.getField(c)
+
+    return [one(c).alias(c) for c in docs.columns]
+
+
 def word_list(text: Column) -> Column:
     """The words of a text in order; null or blank text gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import drop_table, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    written = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = step.join(jump, "label").select("node", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("moved"))
         step = materialize(step, "labels")
-        labels = step.select("node", "label")
+        drop_table(written)
+        labels, written = step.select("node", "label"), step
         if not step.where("moved").limit(1).count():
+            drop_table(both)
             return labels.select("node", F.col("label").alias("component"))
