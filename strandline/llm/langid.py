@@ -219,7 +219,12 @@ def held_out(doc_id) -> F.col:
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:
-    """Learn on the rows that are not held out and predict every row: doc_id, held_out, lang_pred, score."""
+    """Learn on the rows that are not held out and predict every row: doc_id, held_out, lang_pred, score.
+
+    Null texts and texts without a letter get ``und`` and 0, as all do where
+    nothing can be learned. Whole texts are read, however long; repeated rows
+    are predicted each; other columns are ignored; no documents give no rows.
+    """
     docs = docs.select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     found = identify(docs.select("doc_id", "text"), model)
@@ -227,6 +232,18 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in a language: those that get ``und`` go; columns stay as they are."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    """The documents in a language, with the columns they have: rows that get ``und`` (null texts, texts without a letter) go.
+
+    Repeated rows stay or go together; no documents give no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out(F.col("doc_id")))))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[bool] = []
+            for _, run in passes(batch.column(at).to_pylist()):
+                found += [lang != "und" for lang, _ in shared.value.decide(run)]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

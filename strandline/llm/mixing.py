@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import chunks_for, let, materialize, ranked, unit, word_count, word_list
+from strandline.llm.common import chunks_for, let, materialize, ranked, rewritten, unit, word_count, word_list
 
 BLOCK = 128
 SHARD = 4096
@@ -27,7 +27,8 @@ MOST = 2
 SEED = 17
 #: Intervals that the draw is looked up in.
 CELLS = 4096
-#: Steps of cycle walking. Walks of n indices leave the domain with probability below n**-0.5 a step.
+#: Steps of cycle walking. Walks of n indices leave the domain with probability below n**-0.5 a step, and with fewer
+#: than so many cells outside they must end; a walk that does not is an error, never a lost block.
 WALK = 24
 
 
@@ -51,7 +52,8 @@ def permuted(x: Column, n: Column, key: list[Column]) -> Column:
 
         return let(first(v), second).cast("long")
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(x), lambda at, _: F.when(at < n, at).otherwise(step(at)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(x), lambda at, _: F.when(at < n, at).otherwise(step(at)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("an index is still outside after all steps")))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
@@ -175,24 +177,23 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document taken whole keeps its text; of another, the runs of words taken
     stand in order, words joined by a space, runs by a line end. ``n_chars``
-    follows the text.
+    follows the text. Texts without words (null, empty) are never taken. Of
+    repeated rows each has its own place in the stream and its own runs. Columns
+    may have any names. No documents give no rows.
     """
     found, at, _ = fragments(docs)
-    runs = found.groupBy("source_no", "start", "pass").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
-    copies = Window.partitionBy("doc_id", "mark")
-    sizes = at.where("size > 0").select("doc_id", "mark", "source_no", "start", "size", F.row_number().over(copies.orderBy("start")).alias("copy"))
-    runs = runs.drop("doc_id", "mark").join(sizes, ["source_no", "start"])
-    texts = docs.withColumn("_mark", F.xxhash64("doc_id", "text")).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("_mark")))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("copy").alias("_copy"), F.col("size").alias("_size"), F.col("runs").alias("_runs"))
-    joined = texts.join(runs, texts["doc_id"].eqNullSafe(runs["_id"]) & (texts["_mark"] == runs["_mark"]) & (texts["_copy"] == runs["_copy"]))
-    taken = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["n_words"])
+    runs = found.groupBy("source_no", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
+    sizes = at.where("size > 0").select("doc_id", "mark", "source_no", "start", "size", F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("start")).alias("copy"))
+    runs = runs.join(sizes, ["source_no", "start"]).select("doc_id", "mark", "copy", "size", "runs")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("row_mark"))
+    rows = rows.withColumn("row_copy", F.row_number().over(Window.partitionBy("row.doc_id", "row_mark").orderBy("row_mark")))
+    joined = rows.join(runs, rows["row.doc_id"].eqNullSafe(runs["doc_id"]) & (rows["row_mark"] == runs["mark"]) & (rows["row_copy"] == runs["copy"]))
+    taken = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["n_words"])
 
     def parts(words: Column) -> Column:
         # A run that goes on where the last one ended joins it by a space.
-        texts = F.transform("_runs", lambda r, i: F.concat(F.when(i == 0, "").when(F.get(F.col("_runs"), i - 1)["first_word"] + F.get(F.col("_runs"), i - 1)["n_words"] == r["first_word"], " ").otherwise("\n"), F.array_join(F.slice(words, (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")), " ")))
+        texts = F.transform("runs", lambda r, i: F.concat(F.when(i == 0, "").when(F.get(F.col("runs"), i - 1)["first_word"] + F.get(F.col("runs"), i - 1)["n_words"] == r["first_word"], " ").otherwise("\n"), F.array_join(F.slice(words, (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")), " ")))
         return F.array_join(texts, "")
 
-    text = F.when(taken == F.col("_size"), F.col("text")).otherwise(let(word_list(F.col("text")), parts))
-    out = joined.withColumn("_text", text)
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    text = F.when(taken == F.col("size"), F.col("row.text")).otherwise(let(word_list(F.col("row.text")), parts))
+    return joined.select("row", text.alias("mixed")).select(*rewritten(docs, F.col("row"), F.col("mixed")))
