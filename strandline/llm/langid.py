@@ -56,13 +56,13 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = is_letter | ends
     keep[1:] |= is_letter[:-1]
     codes, text_no = codes[keep], text_no[keep]
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # One space between words; the separator itself serves as the space at the ends.
     codes = np.concatenate(([32], codes, [32]))
     text_no = np.concatenate((text_no[:1], text_no, text_no[-1:]))
     again = np.concatenate(([False], (codes[1:] == 32) & (codes[:-1] == 32)))
     codes, text_no = codes[~again], text_no[~again]
-    if len(codes) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
     # Trigrams whose middle is a space say nothing about words; those also are the only ones that span texts.
     inside = codes[1:-1] != 32
@@ -113,6 +113,7 @@ class Filter:
     def decide(self, texts: list[str]) -> list[tuple[str, float]]:
         n = len(texts)
         grams, text_no = trigrams(texts)
+        text_no = text_no.astype(np.int64)
         total = np.bincount(text_no, minlength=n).astype(float)
         if not self.languages:
             return [("und", 0.0)] * n
