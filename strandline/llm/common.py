@@ -85,6 +85,28 @@ def joined_spread(rows: DataFrame, table: DataFrame, keys: list[str], members: s
     return found.where(F.col("_met").isNotNull()).select(*rows.columns, "_met.*")
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The hot keys of ``rows`` (_key) and over how many copies each is to be dealt: at most 2 * ``HOT_KEYS`` in all."""
+    counted = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_n") * HOT_KEYS / rows.agg(F.count(F.lit(1))).scalar()
+    return counted.where(share > 1).select("_key", F.ceil(share).cast("int").alias("_copies"))
+
+
+def joined_salted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (one row per key) where a key may hold a third of ``rows`` and a row of ``table`` may be large.
+
+    The rows of a hot key are dealt over copies of its row of ``table``. Copies
+    are as many as the key's share asks for, so they are few in all.
+    """
+    hot = F.broadcast(hot_keys(rows, key))
+    values = [c for c in table.columns if c != key]
+    left = rows.join(hot, F.col(key) == F.col("_key"), "left")
+    left = left.select(*rows.columns, F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_copies"))).cast("int").alias("_salt"))
+    right = table.join(hot, F.col(key) == F.col("_key"), "left")
+    right = right.select(F.col(key).alias("_right"), *values, F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)).alias("_copy"))
+    return left.join(right, (F.col(key) == F.col("_right")) & (F.col("_salt") == F.col("_copy"))).select(*rows.columns, *values)
+
+
 def rewritten(docs: DataFrame, row: Column, text: Column) -> list[Column]:
     """The columns of ``docs`` out of a struct ``row``, with ``text`` as text and its length as ``n_chars`` (if there)."""
     def one(c: str) -> Column:

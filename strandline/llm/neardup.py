@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import let, materialize, word_list
+from strandline.llm.common import joined_salted, joined_spread, let, materialize, word_list
 from strandline.llm.components import components
 
 SHINGLE = 5
@@ -69,7 +69,7 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """
     listed = classes.select("node", "n", F.explode("low").alias("key"))
     known = listed.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = listed.join(known, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("met"))
+    met = joined_spread(listed, known, ["key"], "df").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("met"))
     size = F.least("n", F.lit(INDEXED))
     must = F.least(F.ceil(F.col("n") * percent / 100), F.lit(shared_values(percent)))
     # Of the first size - must + 1 values, those that no other document has need no list.
@@ -88,7 +88,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b: nodes) whose sets are similar enough: estimate by union sketch, then count exactly."""
     def joined(pairs: DataFrame, value: Column) -> DataFrame:
         side = sets.select("node", value.alias("v"))
-        one = pairs.join(side.select(F.col("node").alias("a"), F.col("v").alias("va")), "a")
+        # Pairs (a, b) of a centre are many: its set is dealt in copies. A b has few pairs.
+        one = joined_salted(pairs, side.select(F.col("node").alias("a"), F.col("v").alias("va")), "a")
         return one.join(side.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
 
     sketched = joined(pairs, F.slice("s", 1, SKETCH))
@@ -107,12 +108,12 @@ def linked_classes(docs: DataFrame, found: DataFrame, width: int, percent: int)
     in classes where no row has one; these nodes come after all others.
     """
     node = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("h1").alias("h1"))
-    classes = materialize(found.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(node).alias("node"), F.first("n_shingles").alias("n"), F.first("low").alias("low")), "classes")
+    classes = materialize(found.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(node).alias("node"), F.first("n_shingles").alias("n"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies")), "classes")
     # A set of n shingles has no similar different set if n / (n + 1) is below the threshold.
     least = math.ceil(percent / (100 - percent) - 1e-9)
     listed = materialize(inverted_lists(classes.where(F.col("n") >= least), percent), "listed")
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre"), F.min_by("n", "node").alias("centre_n")).where("members > 1")
-    lists = materialize(listed.join(shared, "key"), "lists")
+    lists = materialize(joined_spread(listed, shared, ["key"], "members"), "lists")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     stars = materialize(lists.where((F.col("node") != F.col("centre")) & fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     # Every member of a list may have to be compared, so its set is computed once.
@@ -125,8 +126,8 @@ def linked_classes(docs: DataFrame, found: DataFrame, width: int, percent: int)
     labels = components(edges)
     # Lists of three and more that still hold several components: their members across components.
     named = lists.where("members > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("key")
-    members = materialize(named.join(several, "key", "left_semi").select("node", "component").distinct(), "open")
+    several = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("held")).where("first <> last").select("key", "held")
+    members = materialize(joined_spread(named, several, ["key"], "held").select("node", "component").distinct(), "open")
     rest = materialize(prefix_pairs(members, sets, percent).join(stars, ["a", "b"], "left_anti"), "rest")
     more = confirmed(rest, sets, percent)
     return classes, components(edges.unionByName(more))
@@ -143,7 +144,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     shingles = materialize(sets.join(members, "node").select("node", "component", F.explode("s").alias("h")), "shingles")
     held = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("holders"))
-    ordered = shingles.join(held, "h").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("holders", "h"))).alias("o"))
+    ordered = joined_spread(shingles, held, ["h"], "holders").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("holders", "h"))).alias("o"))
     n = F.size("o").cast("long")
     first = F.slice("o", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     listed = ordered.select("node", "component", n.alias("n"), F.posexplode(first).alias("at", "x")).where("x.holders > 1").select("node", "component", "n", "at", F.col("x.h").alias("h"))
@@ -158,7 +159,7 @@ def named_classes(docs: DataFrame, found: DataFrame, width: int, percent: int) -
     """Classes (h1, h2) with component_id (null if no row of the component has an id) and ``stands``: the class stands for such a component."""
     classes, labels = linked_classes(docs, found, width, percent)
     component = F.coalesce("component", "node")
-    return classes.join(labels, "node", "left").select("h1", "h2", component["id"].alias("component_id"), (component["nameless"] & (component == F.col("node"))).alias("stands"))
+    return classes.join(labels, "node", "left").select("h1", "h2", "copies", component["id"].alias("component_id"), (component["nameless"] & (component == F.col("node"))).alias("stands"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -175,7 +176,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     docs = docs.select("doc_id", "text")
     found = materialize(summaries(docs, width), "summaries")
     of_class = materialize(named_classes(docs, found, width, percent), "components")
-    full = found.where("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"])
+    full = joined_spread(found.where("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2"), of_class, ["h1", "h2"], "copies").drop("copies")
     one = full.where("stands").groupBy("h1", "h2", "doc_id", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("n"))
     one = one.select("doc_id", "n_shingles", "component_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("kept", F.col("i") == 1)
     rest = full.where("NOT stands").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -194,7 +195,7 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
     texts = docs.select("doc_id", "text")
     found = materialize(summaries(texts, width), "summaries")
     of_class = materialize(named_classes(texts, found, width, percent), "components")
-    full = found.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "h1", "h2").join(of_class, ["h1", "h2"]).where("doc_id = component_id")
+    full = joined_spread(found.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "h1", "h2"), of_class, ["h1", "h2"], "copies").where("doc_id = component_id")
     kept = full.select("doc_id").unionByName(found.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id")).distinct()
     # Rows without an id cannot be asked for by id, so their hashes are computed again.
     s = let(shingle_set(F.col("text"), width), lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit("second"), s).alias("h2")))
