@@ -1,17 +1,19 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Every sentence of a file is compared with the templates; a file without a
-header of its own takes the licence of the nearest directory above it that
-holds a licence file. Term weights are the inverse document frequencies over
-the templates, term frequencies are binary, and a word no template has weighs
-as much as the rarest one. Everything is array arithmetic on a row, so the scan
-needs no shuffle; inheritance joins directories, not files, with their ancestors.
+Every sentence of a file is compared with short notices, and the whole file with
+whole licence texts; a file without a licence of its own takes that of the
+nearest directory above it that holds a licence file. A term weighs its count
+times its inverse document frequency over all templates; a term that no template
+has weighs as much as the rarest one. Everything is array arithmetic on a row, so
+the scan needs no shuffle; inheritance joins directories, not files, with their
+ancestors.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import WORD, let, materialize
 
-#: Cosine from which a sentence names a licence.
+#: Cosine from which a sentence, or a whole text, names a licence.
 LEAST = 0.6
 #: A file is a licence file if its matching sentences hold this share of its words, or its name says so.
 FILE_SHARE = 0.5
@@ -49,6 +51,31 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 ]
+_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Whole texts of licences that are short, and the whole notices that stand for long ones.
+FILE_TEMPLATES: list[tuple[str, str]] = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_HEAD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_TAIL),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."),
+]
 #: Names of licence files, without their extension.
 FILE_NAMES = ["license", "licence", "copying", "copyright", "unlicense", "notice"]
 
@@ -56,41 +83,50 @@ FILE_NAMES = ["license", "licence", "copying", "copyright", "unlicense", "notice
 FUNCTION_WORDS = ["a", "all", "an", "and", "any", "are", "as", "by", "can", "either", "for", "has", "in", "into", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "use", "with", "without", "you"]
 
 
-def terms_of(text: str) -> set[str]:
-    return set(re.findall(r"[a-z0-9]+", text.lower()))
+def counts_of(text: str) -> dict[str, int]:
+    return Counter(re.findall(r"[a-z0-9]+", text.lower()))
 
 
 @cache
 def weights() -> dict[str, float]:
     """Squared inverse document frequency of every template term."""
-    bags = [terms_of(text) for _, text in TEMPLATES]
+    bags = [set(counts_of(text)) for _, text in TEMPLATES + FILE_TEMPLATES]
     return {w: 1.0 if w in FUNCTION_WORDS else (math.log((1 + len(bags)) / (1 + sum(w in b for b in bags))) + 1) ** 2 for w in sorted(set().union(*bags))}
 
 
 def unknown() -> float:
     """What a term outside the templates weighs, squared."""
-    return (math.log(1 + len(TEMPLATES)) + 1) ** 2
+    return (math.log(1 + len(TEMPLATES) + len(FILE_TEMPLATES)) + 1) ** 2
+
+
+def vector(text: str) -> tuple[dict[str, float], float]:
+    """A template's count times squared frequency weight by term, and its length."""
+    w, found = weights(), counts_of(text)
+    return {t: n * w[t] for t, n in sorted(found.items())}, math.sqrt(sum(n * n * w[t] for t, n in found.items()))
 
 
 @cache
 def anchors() -> list[str]:
-    """Terms of which a sentence within ``LEAST`` of any template has at least one.
+    """Terms of which a text within ``LEAST`` of any template has at least one.
 
-    Without a template's anchors, the share of its weight that a sentence can
-    still have in common keeps the cosine below ``LEAST``.
+    Without a template's anchors, the share of its length that a text can still
+    have in common keeps the cosine below ``LEAST``.
     """
     found: set[str] = set()
     w = weights()
-    for _, text in TEMPLATES:
-        terms = sorted(terms_of(text), key=lambda t: (-w[t], t))
-        total = sum(w[t] for t in terms)
-        left = total - sum(w[t] for t in terms if t in found)
+    for _, text in TEMPLATES + FILE_TEMPLATES:
+        counts = counts_of(text)
+        size = {t: n * n * w[t] for t, n in counts.items()}
+        # The rarest terms first: function words would let every text through.
+        terms = sorted(size, key=lambda t: (-w[t], -size[t], t))
+        total = sum(size.values())
+        left = total - sum(size[t] for t in terms if t in found)
         for t in terms:
-            if math.sqrt(left / total) < LEAST - 1e-9:
+            if math.sqrt(max(left, 0) / total) < LEAST - 1e-9:
                 break
             if t not in found:
                 found.add(t)
-                left -= w[t]
+                left -= size[t]
     return sorted(found)
 
 
@@ -98,45 +134,61 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"\n|(?<=[.!?;:]) ")
 
 
-def terms(text: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")), "")
+def term_counts(text: Column) -> Column:
+    """(term, n) of a text's terms: sorted, then cut where the term changes."""
+    words = F.array_sort(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""))
+
+    def of(s: Column) -> Column:
+        changes = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (x != F.get(s, F.greatest(j - 1, F.lit(0)))), j)), lambda j: j.isNotNull())
+        return let(changes, lambda f: F.transform(f, lambda j, k: F.struct(F.get(s, j).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - j).alias("n"))))
 
+    return let(words, of)
 
-def best_match(sentence: Column) -> Column:
+
+def best_match(text: Column, templates: list[tuple[str, str]]) -> Column:
     """Struct (score, license) of the nearest template; equal scores go to the name that sorts last."""
-    w = weights()
-    idf = F.create_map(*[x for t, v in w.items() for x in (F.lit(t), F.lit(v))])
-    vocabulary = F.array(*map(F.lit, w))
-    templates = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, sorted(terms_of(text)))).alias("terms"), F.lit(math.sqrt(sum(w[t] for t in terms_of(text)))).alias("norm")) for name, text in TEMPLATES])
-    weight = lambda found: F.aggregate(found, F.lit(0.0), lambda s, t: s + F.element_at(idf, t))
+    of_map = lambda d: F.create_map(*[x for t, v in d.items() for x in (F.lit(t), F.lit(v))])
+    idf = of_map(weights())
+    forms = [(name, *vector(text)) for name, text in templates]
+    shelf = F.array(*[F.struct(F.lit(name).alias("license"), of_map(v).alias("v"), F.lit(norm).alias("norm")) for name, v, norm in forms])
 
     def scored(found: Column) -> Column:
+        known = F.filter(found, lambda c: F.map_contains_key(idf, c["term"]))
+        square = lambda cs, w: F.aggregate(cs, F.lit(0.0), lambda s, c: s + c["n"] * c["n"] * w(c))
+        nothing = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license"))
+
         def of(known: Column) -> Column:
-            norm = F.sqrt(weight(known) + (F.size(found) - F.size(known)) * F.lit(unknown()))
-            nothing = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license"))
-            # The cosine with any template is at most the share of the norm that known terms hold.
-            within = weight(known) >= (LEAST * LEAST - 1e-9) * norm * norm
-            return F.when(~within, nothing).otherwise(let(F.greatest(norm, F.lit(1e-9)), lambda n: F.array_max(F.transform(templates, lambda t: F.struct((weight(F.array_intersect(known, t["terms"])) / (n * t["norm"])).alias("score"), t["license"].alias("license"))))))
+            mine = square(known, lambda c: F.element_at(idf, c["term"]))
+            whole = square(found, lambda c: F.coalesce(F.try_element_at(idf, c["term"]), F.lit(unknown())))
+            # The cosine with any template is at most the share of the length that known terms hold.
+            near = let(F.greatest(F.sqrt(whole), F.lit(1e-9)), lambda n: F.array_max(F.transform(shelf, lambda t: F.struct((F.aggregate(known, F.lit(0.0), lambda s, c: s + c["n"] * F.coalesce(F.try_element_at(t["v"], c["term"]), F.lit(0.0))) / (n * t["norm"])).alias("score"), t["license"].alias("license")))))
+            return F.when(mine < (LEAST * LEAST - 1e-9) * whole, nothing).otherwise(near)
 
-        return let(F.array_intersect(found, vocabulary), of)
+        return let(known, of)
 
-    return let(terms(sentence), scored)
+    return let(term_counts(text), scored)
 
 
 def detect(files: DataFrame) -> DataFrame:
     """Add to every row of ``files`` (path, text): license, score, file_share.
 
-    ``license`` is that of the nearest template over all sentences (null if none
-    comes within ``LEAST``), ``score`` its cosine (0 if none), ``file_share`` the share of words in matching sentences.
+    ``license`` is that of the nearest template over all sentences and the whole
+    text (null if none comes within ``LEAST``), ``score`` its cosine (0 if none),
+    ``file_share`` the share of words in matching sentences, 1 if the whole text
+    is a licence. Null and empty texts have none; texts are read whole. Columns
+    of these names are replaced, others pass through.
     """
-    anchor = F.lit(r"\b(" + "|".join(anchors()) + r")\b")
-    hits = F.filter(sentences(F.col("text")), lambda x: F.lower(x).rlike(r"\b(" + "|".join(anchors()) + r")\b"))
-    hits = F.when(F.regexp_like(F.lower("text"), anchor), hits).otherwise(F.array().cast("array<string>"))
-    found = F.filter(F.transform(hits, lambda x: F.struct(best_match(x).alias("m"), F.regexp_count(x, F.lit(WORD)).alias("words"))), lambda x: x["m"]["score"] >= LEAST)
-    files = files.withColumn("_found", F.coalesce(found, F.array().cast(found_type())))
-    best = F.array_max(F.transform("_found", lambda x: x["m"]))
-    share = F.when(F.size("_found") == 0, F.lit(0.0)).otherwise(F.aggregate("_found", F.lit(0), lambda n, x: n + x["words"]) / F.greatest(F.regexp_count("text", F.lit(WORD)), F.lit(1)))
-    return files.withColumn("license", best["license"]).withColumn("score", F.coalesce(best["score"], F.lit(0.0))).withColumn("file_share", share).drop("_found")
+    anchor = r"\b(" + "|".join(anchors()) + r")\b"
+    hits = F.filter(sentences(F.col("text")), lambda x: F.lower(x).rlike(anchor))
+    named = F.regexp_like(F.lower("text"), F.lit(anchor))
+    hits = F.when(named, hits).otherwise(F.array().cast("array<string>"))
+    found = F.filter(F.transform(hits, lambda x: F.struct(best_match(x, TEMPLATES).alias("m"), F.regexp_count(x, F.lit(WORD)).alias("words"))), lambda x: x["m"]["score"] >= LEAST)
+    nothing = F.lit(None).cast("struct<score:double,license:string>")
+    whole = F.when(named, best_match(F.col("text"), FILE_TEMPLATES)).otherwise(nothing)
+    files = files.withColumn("_found", F.coalesce(found, F.array().cast(found_type()))).withColumn("_whole", F.when(whole["score"] >= LEAST, whole))
+    best = F.array_max(F.concat(F.transform("_found", lambda x: x["m"]), F.array_compact(F.array("_whole"))))
+    share = F.when(F.col("_whole").isNotNull(), F.lit(1.0)).when(F.size("_found") == 0, F.lit(0.0)).otherwise(F.aggregate("_found", F.lit(0), lambda n, x: n + x["words"]) / F.greatest(F.regexp_count("text", F.lit(WORD)), F.lit(1)))
+    return files.withColumn("license", best["license"]).withColumn("score", F.coalesce(best["score"], F.lit(0.0))).withColumn("file_share", share).drop("_found", "_whole")
 
 
 def found_type() -> str:
@@ -152,7 +204,8 @@ def inherit(found: DataFrame) -> DataFrame:
 
     ``found`` has path and what ``detect`` adds. Adds origin: header, file,
     inherited or none; and licensed_by, the directory inherited from. Of several
-    licence files in a directory the best score decides, then the name.
+    licence files in a directory the best score decides, then the name. Rows
+    with a null path neither give nor inherit; repeated rows are judged each.
     """
     name = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.[a-z]+$", "")
     found = found.withColumn("dir", directory(F.col("path"))).withColumn("is_file", F.col("license").isNotNull() & (name.isin(FILE_NAMES) | (F.col("file_share") >= FILE_SHARE)))
