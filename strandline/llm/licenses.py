@@ -172,8 +172,8 @@ def best_match(text: Column, templates: list[tuple[str, str]]) -> Column:
 def detect(files: DataFrame) -> DataFrame:
     """Add to every row of ``files`` (path, text): license, score, file_share.
 
-    ``license`` is that of the nearest template over all sentences and the whole
-    text (null if none comes within ``LEAST``), ``score`` its cosine (0 if none),
+    ``license`` is that of the licence nearest to the whole text or, if none is
+    within ``LEAST``, of the notice nearest to any sentence (null if none is), ``score`` its cosine (0 if none),
     ``file_share`` the share of words in matching sentences, 1 if the whole text
     is a licence. Null and empty texts have none; texts are read whole. Columns
     of these names are replaced, others pass through.
@@ -186,7 +186,8 @@ def detect(files: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("struct<score:double,license:string>")
     whole = F.when(named, best_match(F.col("text"), FILE_TEMPLATES)).otherwise(nothing)
     files = files.withColumn("_found", F.coalesce(found, F.array().cast(found_type()))).withColumn("_whole", F.when(whole["score"] >= LEAST, whole))
-    best = F.array_max(F.concat(F.transform("_found", lambda x: x["m"]), F.array_compact(F.array("_whole"))))
+    # A sentence may stand in several licences; the whole text tells them apart.
+    best = F.coalesce(F.col("_whole"), F.array_max(F.transform("_found", lambda x: x["m"])))
     share = F.when(F.col("_whole").isNotNull(), F.lit(1.0)).when(F.size("_found") == 0, F.lit(0.0)).otherwise(F.aggregate("_found", F.lit(0), lambda n, x: n + x["words"]) / F.greatest(F.regexp_count("text", F.lit(WORD)), F.lit(1)))
     return files.withColumn("license", best["license"]).withColumn("score", F.coalesce(best["score"], F.lit(0.0))).withColumn("file_share", share).drop("_found", "_whole")
 
