@@ -34,6 +34,8 @@ REMEMBERED = 64
 # Patterns as specified; lookbehinds and possessive repeats only save time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Characters that an added span begins and ends with.
+_ENDS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -378,9 +380,9 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
                 end += 1
             kind, text = label[2:], texts[i]
             a, b = run[t][0], run[end - 1][1]
-            while a < b and not (text[a].isalnum() or kind == "phone" and text[a] in "+("):
+            while a < b and not (text[a] in _ENDS or kind == "phone" and text[a] in "+("):
                 a += 1
-            while b > a and not text[b - 1].isalnum():
+            while b > a and text[b - 1] not in _ENDS:
                 b -= 1
             if a < b and plausible(kind, text[a:b]) and not any(s < b and a < e for s, _, e in base[i]):
                 out[i].append((a, KINDS.index(kind), b))
