@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import langid, linededup, mixing, neardup, packing
-from strandline.llm.common import materialize
+from strandline.llm.common import drop_table, materialize
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to the whole of ``documents``."""
+    """All stages applied to the whole of ``documents``. A stage's table is deleted once the next stage's stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: DataFrame | None = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            if before is not None:
+                drop_table(before)
+            before = docs
     return docs
