@@ -32,10 +32,13 @@ SKETCHES = 64
 #: Darts on each order that are looked at, on average. An order with fewer than TUPLE k-mers among them (about
 #: one in 10**5) is hashed from those it has.
 DARTS = 15
-#: Bits of a dart: its order, its round, its fraction, and where its k-mer stands in the array.
-ORDER_BITS, ROUND_BITS, PART_BITS = 6, 10, 30
-_PART = (1 << PART_BITS) - 1
+#: Bits of a dart from the top: its order, its round, its fraction, and the place of its k-mer.
+ORDER_BITS, ROUND_BITS, PART_BITS, PLACE_BITS = 6, 10, 30, 18
+_PART = ((1 << PART_BITS) - 1) << PLACE_BITS
 _ORDER = ~((1 << (64 - ORDER_BITS)) - 1)
+_ROUND = 1 << (PART_BITS + PLACE_BITS)
+#: Darts of an order among which the TUPLE least k-mers are sought (a text of few k-mers: all).
+LOOKED_AT = 8
 
 
 def kmers(hashes: Column) -> Column:
@@ -47,73 +50,69 @@ def kmers(hashes: Column) -> Column:
 
 
 def numbered(found: Column) -> Column:
-    """(id, place) of each k-mer, where ``id`` hashes the k-mer and its occurrence number.
+    """A hash of each k-mer and its occurrence number, in text order.
 
     Without repeats all numbers are 0. Else k-mers are sorted by hash and place;
     each points to its predecessor if that is equal; doubling the pointers finds
     the first of each run, and the distance to it is the occurrence number.
     """
-    first = F.transform(found, lambda h, i: F.struct(F.xxhash64(h, F.lit(0)).alias("id"), i.alias("place")))
+    first = F.transform(found, lambda h: F.xxhash64(h, F.lit(0)))
 
     def by_run(s: Column) -> Column:
         pointers = F.transform(s, lambda x, j: F.when((j > 0) & (x["h"] == F.get(s, F.greatest(j - 1, F.lit(0)))["h"]), j - 1).otherwise(j))
         repeats = lambda p: F.size(F.filter(p, lambda x, j: x < j))
         doubled = lambda p: F.aggregate(F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(repeats(p) + 1)).cast("int"), F.lit(1))), p, lambda q, _: F.transform(q, lambda x: F.get(q, x)))
-        return let(let(pointers, doubled), lambda p: F.transform(s, lambda x, j: F.struct(F.xxhash64(x["h"], j - F.get(p, j)).alias("id"), x["place"].alias("place"))))
+        return let(let(pointers, doubled), lambda p: F.transform(s, lambda x, j: F.struct(x["place"].alias("place"), F.xxhash64(x["h"], j - F.get(p, j)).alias("id"))))
 
     repeated = let(F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("place")))), by_run)
-    return F.when(F.size(F.array_distinct(found)) == F.size(found), first).otherwise(repeated)
+    return F.when(F.size(F.array_distinct(found)) == F.size(found), first).otherwise(F.transform(F.sort_array(repeated), lambda x: x["id"]))
 
 
-def darts(s: Column) -> Column:
-    """Packed (order, round, fraction, index into ``s``) of the darts to be looked at, sorted."""
-    n = F.size(s)
+def darts(ids: Column) -> Column:
+    """Packed (order, round, fraction, place) of the darts to be looked at, sorted.
+
+    A text of more than ``SKETCHES`` * ``DARTS`` k-mers has one round, of which
+    darts above a threshold are left out at once; its places take the round's bits.
+    """
+    n = F.size(ids)
     wanted = SKETCHES * DARTS
     # With m k-mers, an order lacks a second one if all but one have no dart on it.
-    rounds = F.least(F.greatest(F.ceil(F.lit(float(wanted)) / F.greatest(n - 1, F.lit(1))), F.lit(1)), F.lit(1 << ROUND_BITS)).cast("int")
-    place = 64 - ORDER_BITS - PART_BITS
-    limit = F.when(n > wanted, (F.lit(float(wanted)) / n * (1 << PART_BITS)).cast("long")).otherwise(F.lit(1 << PART_BITS))
-
-    def thrown(c: Column) -> Column:
-        def dart(x: Column, j: Column) -> Column:
-            return let(F.xxhash64(x["id"], c), lambda r: r.bitwiseAND(F.lit(_ORDER)).bitwiseOR(F.shiftleft(r.bitwiseAND(F.lit(_PART)), place - ROUND_BITS)).bitwiseOR(F.shiftleft(c.cast("long"), place - ROUND_BITS + PART_BITS)).bitwiseOR(j.cast("long")))
-
-        return F.transform(s, dart)
-
-    # A long text has one round: its places need the bits of the round's number, and darts above the limit are left out at once.
-    single = F.transform(
-        F.filter(F.transform(s, lambda x, j: F.struct(F.xxhash64(x["id"], F.lit(0)).alias("r"), j.alias("j"))), lambda d: d["r"].bitwiseAND(F.lit(_PART)) < limit),
-        lambda d: d["r"].bitwiseAND(F.lit(_ORDER)).bitwiseOR(F.shiftleft(d["r"].bitwiseAND(F.lit(_PART)), place)).bitwiseOR(d["j"].cast("long")),
-    )
-    many = F.flatten(F.transform(F.sequence(F.lit(0), rounds - 1), thrown))
-    return F.sort_array(F.when(rounds == 1, single).otherwise(many))
+    rounds = F.least(F.ceil(F.lit(float(wanted)) / F.greatest(n - 1, F.lit(1))), F.lit(1 << ROUND_BITS)).cast("long")
+    limit = (F.lit(float(wanted)) / n * (1 << PART_BITS)).cast("long") * F.lit(1 << PLACE_BITS)
+    hashed = lambda c: F.transform(ids, lambda x: F.xxhash64(x, c))
+    # The round's number, already in its place, is what is hashed with the k-mer.
+    many = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), (rounds - 1) * _ROUND, F.lit(_ROUND)), lambda c: F.transform(hashed(c), lambda r, j: r.bitwiseAND(F.lit(_ORDER | _PART)).bitwiseOR(c).bitwiseOR(j.cast("long")))))
+    near = F.filter(F.transform(hashed(F.lit(0).cast("long")), lambda r, j: F.struct(r.alias("r"), j.alias("j"))), lambda d: d["r"].bitwiseAND(F.lit(_PART)) < limit)
+    single = F.transform(near, lambda d: d["r"].bitwiseAND(F.lit(_ORDER)).bitwiseOR(F.shiftleft(d["r"].bitwiseAND(F.lit(_PART)), ROUND_BITS)).bitwiseOR(d["j"].cast("long")))
+    return F.sort_array(F.when(n > wanted, single).otherwise(many))
 
 
-def entries(s: Column) -> Column:
+def entries(ids: Column) -> Column:
     """One 32-bit entry per order, from the numbered k-mers; no k-mers give no entries."""
-    bits = 64 - ORDER_BITS - PART_BITS
-    index = F.when(F.size(s) > SKETCHES * DARTS, F.lit((1 << bits) - 1)).otherwise(F.lit((1 << (bits - ROUND_BITS)) - 1))
+    n = F.size(ids)
+    place = F.when(n > SKETCHES * DARTS, F.lit((1 << (PLACE_BITS + ROUND_BITS)) - 1)).otherwise(F.lit((1 << PLACE_BITS) - 1))
+    looked_at = F.when(n < LOOKED_AT, F.lit(SKETCHES * DARTS * 2)).otherwise(F.lit(LOOKED_AT))
     order = lambda d: F.shiftright(d, 64 - ORDER_BITS)
 
     def of(d: Column) -> Column:
-        changes = F.transform(d, lambda x, j: F.when((j == 0) | (order(x) != order(F.get(d, F.greatest(j - 1, F.lit(0))))), j))
+        begins = F.filter(F.transform(d, lambda x, j: F.when((j == 0) | (order(x) != order(F.get(d, F.greatest(j - 1, F.lit(0))))), j)), lambda j: j.isNotNull())
 
-        def entry(least: Column) -> Column:
-            ids = F.transform(F.array_sort(F.transform(least, lambda i: F.struct(F.get(s, i)["place"].alias("place"), F.get(s, i)["id"].alias("id")))), lambda x: x["id"])
-            return F.shiftright(F.xxhash64(ids), 32).cast("int")
+        def entry(m: Column) -> Column:
+            # The first dart's k-mer and the first other one, in text order.
+            a, b = F.get(m, F.lit(0)), F.get(F.filter(m, lambda i: i != F.get(m, F.lit(0))), F.lit(0))
+            pair = let(F.struct(a.alias("a"), F.coalesce(b, a).alias("b")), lambda p: F.when(p["a"] == p["b"], F.xxhash64(F.get(ids, p["a"]))).otherwise(F.xxhash64(F.get(ids, F.least(p["a"], p["b"])), F.get(ids, F.greatest(p["a"], p["b"])))))
+            return F.shiftright(pair, 32).cast("int")
 
         def group(begin: Column, end: Column) -> Column:
-            # The first dart's k-mer, and the first other one.
-            mine = F.transform(F.slice(d, begin + 1, end - begin), lambda x: x.bitwiseAND(index).cast("int"))
-            least = let(mine, lambda m: F.slice(F.concat(F.slice(m, 1, 1), F.filter(m, lambda i: i != F.get(m, F.lit(0)))), 1, TUPLE))
-            return F.struct(order(F.get(d, begin)).cast("int").alias("order"), entry(least).alias("entry"))
+            mine = F.transform(F.slice(d, begin + 1, F.least(end - begin, looked_at)), lambda x: x.bitwiseAND(place).cast("int"))
+            return F.struct(order(F.get(d, begin)).cast("int").alias("order"), let(mine, entry).alias("entry"))
 
-        groups = let(F.filter(changes, lambda j: j.isNotNull()), lambda f: F.transform(f, lambda j, k: group(j, F.coalesce(F.get(f, k + 1), F.size(d)))))
+        groups = let(begins, lambda f: F.transform(f, lambda j, k: group(j, F.coalesce(F.get(f, k + 1), F.size(d)))))
         by_order = lambda g, b: F.coalesce(F.get(F.filter(g, lambda x: x["order"] == b), F.lit(0))["entry"], F.lit(0))
         every = F.sequence(F.lit(-SKETCHES // 2), F.lit(SKETCHES // 2 - 1))
         return let(groups, lambda g: F.when(F.size(g) == SKETCHES, F.transform(g, lambda x: x["entry"])).otherwise(F.transform(every, lambda b: by_order(g, b))))
 
-    return F.when(F.size(s) > 0, let(darts(s), of)).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, let(darts(ids), of)).otherwise(F.array().cast("array<int>"))
 
 
 def signature(text: Column) -> Column:
