@@ -33,9 +33,10 @@ def title_components(a: Column, b: Column) -> Column:
     )
 
 
-def title_score(c: Column) -> Column:
-    """One score from the components, as the linking rule weighs them."""
-    return F.when((c["cont"] >= 0.99), 0.9 + 0.1 * F.greatest(c["jac"], c["lcp"])).otherwise(F.greatest(0.8 * c["cont"], c["jac"], 0.9 * c["lcp"], 0.9 * c["cov"]))
+def title_score(c: Column, a: Column, b: Column) -> Column:
+    """One score from the components of two token arrays, as the linking rule weighs them; a one-word title within a longer one says less."""
+    full = F.when(F.least(F.size(a), F.size(b)) >= 2, 0.9 + 0.1 * F.greatest(c["jac"], c["lcp"])).otherwise(F.greatest(F.lit(0.6), c["jac"], c["lcp"]))
+    return F.when(c["cont"] >= 0.99, full).otherwise(F.greatest(0.8 * c["cont"], c["jac"], 0.9 * c["lcp"], 0.9 * c["cov"]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

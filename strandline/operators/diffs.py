@@ -1,19 +1,20 @@
 """Text comparison: word differences, unit alignment, change classes.
 
 The longest common subsequence needs a dynamic programme per pair, so it runs in
-Arrow-batched Python; all pairing, counting and classing around it is native.
+Arrow-batched Python, a table row at a time in numpy; all counting and classing
+around it is native.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the dynamic programme that a comparison may take; beyond it similarity is that of the bags and there are no segments.
-MAX_CELLS = 2_500_000
 SEGMENTS = "array<struct<type: string, text: string>>"
 DIFF = f"struct<similarity: double, segments: {SEGMENTS}>"
 
@@ -24,8 +25,57 @@ def bag_similarity(a: list[str], b: list[str]) -> float:
     return 2 * sum((Counter(a) & Counter(b)).values()) / n if n else 1.0
 
 
-def word_diff(a: list[str], b: list[str], most: int = MAX_CELLS) -> tuple[float, list[tuple[str, str]] | None]:
-    """Similarity 2 * LCS / all words and the segments (equal, removed, inserted); on ties words are removed before others are inserted."""
+def row_above(below: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """One row of the table of longest common subsequences of suffixes, from the row below and where this row's word occurs.
+
+    A row never rises to the right, so the recurrence is a running maximum from the right end: numpy takes a row at once.
+    """
+    candidates = below.copy()
+    candidates[:-1] = np.where(same, below[1:] + 1, below[:-1])
+    return np.maximum.accumulate(candidates[::-1])[::-1]
+
+
+def common_path(x: np.ndarray, y: np.ndarray) -> tuple[int, list[str]]:
+    """Length of the longest common subsequence and the steps (equal, removed, inserted) of the path that removes before it inserts on ties.
+
+    Every square root of the rows is kept; the rows between are computed again
+    when the path comes through them, so memory is in proportion to a row times that root.
+    """
+    n, m = len(x), len(y)
+    stretch = max(1, math.isqrt(n))
+    kept = {n: np.zeros(m + 1, np.int32)}
+    row = kept[n]
+    for i in range(n - 1, -1, -1):
+        row = row_above(row, y == x[i])
+        if i % stretch == 0:
+            kept[i] = row
+    steps: list[str] = []
+    i = j = 0
+    for begin in range(0, n, stretch):
+        end = min(n, begin + stretch)
+        rows = {end: kept[end]}
+        for k in range(end - 1, begin - 1, -1):
+            rows[k] = row_above(rows[k + 1], y == x[k])
+        while i < end:
+            if j < m and x[i] == y[j]:
+                steps.append("equal")
+                i, j = i + 1, j + 1
+            elif j == m or rows[i + 1][j] >= rows[i][j + 1]:
+                steps.append("removed")
+                i += 1
+            else:
+                steps.append("inserted")
+                j += 1
+    return int(kept[0][0]), steps + ["inserted"] * (m - j)
+
+
+def word_diff(a: list[str], b: list[str], most: int | None = None) -> tuple[float, list[tuple[str, str]] | None]:
+    """Similarity 2 * LCS / all words and the segments (equal, removed, inserted); on ties words are removed before others are inserted.
+
+    With ``most``, a comparison of more cells (words that differ on one side times
+    those on the other) gets the similarity of the bags and no segments; without
+    it every pair is compared exactly.
+    """
     if not a and not b:
         return 1.0, []
     head = 0
@@ -35,31 +85,22 @@ def word_diff(a: list[str], b: list[str], most: int = MAX_CELLS) -> tuple[float,
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(x) * len(y) > most:
+    if most is not None and len(x) * len(y) > most:
         return bag_similarity(a, b), None
-    # rest[i][j]: longest common subsequence of x[i:] and y[j:].
-    rest = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = rest[i], rest[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in side], np.int32) for side in (x, y)]
+    same, steps = common_path(*ids)
     pieces: list[tuple[str, list[str]]] = [("equal", a[:head])]
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            kind, word, i, j = "equal", x[i], i + 1, j + 1
-        elif j == len(y) or i < len(x) and rest[i + 1][j] >= rest[i][j + 1]:
-            kind, word, i = "removed", x[i], i + 1
-        else:
-            kind, word, j = "inserted", y[j], j + 1
+    for kind in steps:
         if pieces[-1][0] != kind:
             pieces.append((kind, []))
-        pieces[-1][1].append(word)
+        pieces[-1][1].append(y[j] if kind == "inserted" else x[i])
+        i, j = i + (kind != "inserted"), j + (kind != "removed")
     if pieces[-1][0] != "equal":
         pieces.append(("equal", []))
     pieces[-1][1].extend(a[len(a) - tail :] if tail else [])
-    same = head + tail + rest[0][0]
-    return 2 * same / (len(a) + len(b)), [(kind, " ".join(words)) for kind, words in pieces if words]
+    return 2 * (head + tail + same) / (len(a) + len(b)), [(kind, " ".join(words)) for kind, words in pieces if words]
 
 
 def word_diffs(old: Column, new: Column) -> Column:
@@ -87,6 +128,34 @@ def counts_of(segments: Column) -> Column:
     return F.struct(n("equal").alias("equal"), n("removed").alias("removed"), n("inserted").alias("inserted"))
 
 
+def similar_units(old: list[Counter], new: list[Counter], least: float) -> list[tuple[float, int, int]]:
+    """(similarity, i, j) of all bags of words with 2 * common / all at ``least`` or more.
+
+    Pairs meet under one of their first words, rarest first: of n words at least
+    ``least`` * n / (2 - ``least``) are common, so the others are few enough to skip.
+    """
+    spread = Counter(w for bag in old + new for w in bag)
+
+    def first(bag: Counter) -> list[str]:
+        words = sorted(bag.elements(), key=lambda w: (spread[w], w))
+        return sorted(set(words[: len(words) - math.ceil(least * len(words) / (2 - least) - 1e-9) + 1]))
+
+    under: dict[str, list[int]] = {}
+    for j, bag in enumerate(new):
+        for w in first(bag):
+            under.setdefault(w, []).append(j)
+    sizes = [bag.total() for bag in new]
+    out = []
+    for i, bag in enumerate(old):
+        n = bag.total()
+        for j in {j for w in first(bag) for j in under.get(w, ())}:
+            if 2 * min(n, sizes[j]) >= least * (n + sizes[j]):
+                score = 2 * (bag & new[j]).total() / (n + sizes[j])
+                if score >= least:
+                    out.append((score, i, j))
+    return out
+
+
 def align(old: list[dict], new: list[dict], same_id: float = 0.5, greedy: float = 0.6) -> list[tuple[int | None, int | None]]:
     """Pairs of positions of units (heading, id, text): unique headings, then equal ids that are similar, then the most similar first.
 
@@ -94,6 +163,7 @@ def align(old: list[dict], new: list[dict], same_id: float = 0.5, greedy: float
     """
     pairs: dict[int, int] = {}
     free_old, free_new = set(range(len(old))), set(range(len(new)))
+    words = lambda u: (u["text"] or "").split()
 
     def take(i: int, j: int) -> None:
         pairs[i] = j
@@ -107,18 +177,18 @@ def align(old: list[dict], new: list[dict], same_id: float = 0.5, greedy: float
                 seen.setdefault(units[i][key], []).append(i)
         return {k: v[0] for k, v in seen.items() if len(v) == 1}
 
-    likeness = lambda i, j: bag_similarity((old[i]["text"] or "").split(), (new[j]["text"] or "").split())
     there = unique(new, free_new, "heading")
     for key, i in unique(old, free_old, "heading").items():
         if key in there:
             take(i, there[key])
     there = unique(new, free_new, "id")
     for key, i in unique(old, free_old, "id").items():
-        if key in there and not (old[i].get("heading") and new[there[key]].get("heading")) and likeness(i, there[key]) >= same_id:
+        if key in there and not (old[i].get("heading") and new[there[key]].get("heading")) and bag_similarity(words(old[i]), words(new[there[key]])) >= same_id:
             take(i, there[key])
-    scored = sorted(((-likeness(i, j), i, j) for i in free_old for j in free_new if (old[i]["text"] or "").strip()), key=lambda s: s)
-    for minus, i, j in scored:
-        if -minus >= greedy and i in free_old and j in free_new:
+    left, right = [i for i in sorted(free_old) if words(old[i])], [j for j in sorted(free_new) if words(new[j])]
+    scored = similar_units([Counter(words(old[i])) for i in left], [Counter(words(new[j])) for j in right], greedy)
+    for _, i, j in sorted((-score, left[i], right[j]) for score, i, j in scored):
+        if i in free_old and j in free_new:
             take(i, j)
     back = {j: i for i, j in pairs.items()}
     out: list[tuple[int | None, int | None]] = []
@@ -197,3 +267,19 @@ def pair_articles(old: list[dict], new: list[dict], similar: float = 0.5, contai
     by_key("address", lambda u: u.get("address"))
     by_key("base", lambda u: u.get("base"))
     return sorted(out)
+
+
+def paired_articles(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Articles (key, pos and the columns ``pair_articles`` reads) of two packages paired per key: key, old_pos, new_pos, rule.
+
+    A package's articles are one law's: a group is as small as that.
+    """
+    kind = old.schema[key].dataType.simpleString()
+
+    def run(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = (d.sort_values("pos").to_dict("records") if len(d) else [] for d in (a, b))
+        rows = [(group[0], x[i]["pos"], y[j]["pos"], rule) for i, j, rule in pair_articles(x, y)]
+        return pd.DataFrame(rows, columns=[key, "old_pos", "new_pos", "rule"])
+
+    new = new.select(*[F.col(c).alias(c) for c in new.columns])
+    return old.groupBy(key).cogroup(new.groupBy(key)).applyInPandas(run, f"{key} {kind}, old_pos long, new_pos long, rule string")

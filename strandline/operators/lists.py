@@ -71,3 +71,74 @@ def stale_keys(current: DataFrame, stored: DataFrame, key: list[str], now: Colum
     old = F.col("open") & (F.col("read_at") < now - F.expr(f"INTERVAL {most_hours} HOURS"))
     reason = F.when(F.col("_stored").isNull(), "new").when(F.col("_stored") != F.col("fingerprint"), "changed").when(old, "old")
     return joined.withColumn("reason", reason).where("reason IS NOT NULL").select(*key, "reason")
+
+
+def kept_cut(shown: DataFrame, again: DataFrame, key: str, rank: Column, visible: int) -> DataFrame:
+    """One row ``cut``: how many rows of the re-ordered list to show so that the rows of ``shown`` stay shown, at least ``visible``.
+
+    A greater ``rank`` stands earlier. The last of the shown rows decides; rows
+    before it are counted, the list is not ranked.
+    """
+    worst = again.join(F.broadcast(shown.select(key)), key, "left_semi").agg(F.min(rank))
+    return again.where(rank >= worst.scalar()).agg(F.greatest(F.lit(visible), F.count(F.lit(1))).cast("long").alias("cut"))
+
+
+def allotted(df: DataFrame, order: list[Column], budget: int) -> DataFrame:
+    """Every row with ``state`` read or skipped: the first ``budget`` rows are read, none is dropped unnamed. Only these are ranked."""
+    first = df.orderBy(*order).limit(budget).withColumn("state", F.lit("read"))
+    rest = df.join(first.select(*df.columns), df.columns, "left_anti").withColumn("state", F.lit("skipped"))
+    return first.unionByName(rest)
+
+
+def admitted(items: DataFrame, matrix: DataFrame, kind: str) -> DataFrame:
+    """Each option with the items it admits, by an (option, kind) table: the small matrix is joined, no rule runs per row."""
+    return items.join(matrix.select("option", F.col("kind").alias("_kind")), F.col(kind) == F.col("_kind")).drop("_kind")
+
+
+def tolerant_union(sources: dict, name: str = "source") -> tuple[DataFrame, list[tuple[str, str, str | None]]]:
+    """The rows of all sources that read, and (source, state, reason) of each: one that fails is reported, never fatal.
+
+    ``sources`` maps a name to a function that returns a DataFrame. Each is read
+    into a table of its own first, as a lazy source fails only when it is read.
+    All failing is an error: an empty answer would look like no rows.
+    """
+    from strandline.sources.shared import written
+
+    out: DataFrame | None = None
+    states: list[tuple[str, str, str | None]] = []
+    for label, read in sources.items():
+        try:
+            part = written(read().withColumn(name, F.lit(label)), f"source-{label}")
+        except Exception as failure:  # noqa: BLE001 - whatever a source raises, the others still count
+            states.append((label, "failed", type(failure).__name__))
+            continue
+        states.append((label, "read", None))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise RuntimeError(f"no source could be read: {states}")
+    return out, states
+
+
+def cache_state(age: Column, ttl: int, stale: int, running: Column) -> Column:
+    """fresh within ``ttl`` seconds, stale (served while it is read again) up to ``stale`` more, pending if a read is already running, else expired; null age: absent."""
+    return F.when(age.isNull(), F.when(running, "pending").otherwise("absent")).when(age <= ttl, "fresh").when(age <= ttl + stale, F.when(running, "stale").otherwise("revalidate")).otherwise(F.when(running, "pending").otherwise("expired"))
+
+
+def within_bytes(entries: DataFrame, used: str, size: str, budget: int, key: str) -> DataFrame:
+    """The entries a cache of ``budget`` bytes keeps, most recently used first. Sizes are summed by stretches of time before entries are, so no task ranks all."""
+    span = F.floor(F.unix_timestamp(used) / 3600)
+    by_span = entries.groupBy(span.alias("_span")).agg(F.sum(size).alias("_bytes"))
+    newer = by_span.withColumn("_before", F.coalesce(F.sum("_bytes").over(Window.orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy("_span").orderBy(F.desc(used), F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = entries.withColumn("_span", span).join(newer.where(F.col("_before") < budget).select("_span", "_before"), "_span")
+    return joined.withColumn("upto", F.col("_before") + F.sum(size).over(inside)).where(F.col("upto") <= budget).drop("_span", "_before")
+
+
+def retry_plan(tries: DataFrame, key: str, failed: str, at: str, wait_seconds: int = 60, most: int = 5) -> DataFrame:
+    """Per key that last failed: failures since the last success, and when to try next (doubling waits); given up after ``most``."""
+    last = Window.partitionBy(key).orderBy(at)
+    runs = tries.withColumn("_ok", F.sum((~F.col(failed)).cast("int")).over(last.rowsBetween(Window.unboundedPreceding, 0)))
+    tail = runs.withColumn("_run", F.max("_ok").over(Window.partitionBy(key))).where((F.col("_ok") == F.col("_run")) & F.col(failed))
+    counted = tail.groupBy(key).agg(F.count(F.lit(1)).alias("failures"), F.max(at).alias("last_try"))
+    wait = (F.lit(wait_seconds) * F.pow(F.lit(2.0), F.least("failures", F.lit(most)) - 1)).cast("long")
+    return counted.select(key, "failures", "last_try", F.when(F.col("failures") < most, wait).alias("wait_seconds"), (F.col("failures") >= most).alias("given_up"))

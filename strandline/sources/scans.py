@@ -30,9 +30,14 @@ def positional_rows(raw: DataFrame, expected: list[str], types: dict[str, str])
 
 
 def rechecked(rows: DataFrame, key: dict[str, object]) -> DataFrame:
-    """Rows that really have the key that was asked for: a source may ignore a filter it does not know."""
+    """The rows of a read that asked for ``key``; a row of another key fails the scan.
+
+    A source may ignore a filter it does not know: dropping such rows would make a broken read look empty.
+    """
     for column, value in key.items():
-        rows = rows.where(F.col(column) == F.lit(value))
+        same = F.coalesce(F.col(column) == F.lit(value), F.lit(False))
+        found = F.concat(F.lit(f"asked for {column} {value}, got "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+        rows = rows.withColumn(column, F.when(F.assert_true(same, found).isNull(), F.col(column)))
     return rows
 
 

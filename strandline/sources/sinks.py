@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
+from strandline.functions.citations import fnv1a64
 from strandline.functions.text import ics_escape, xml_escape
 
 
@@ -52,8 +55,21 @@ def sitemap(paths: DataFrame, base: str) -> DataFrame:
 
 
 def strong_tag(body: Column) -> Column:
-    """A tag that changes with the body."""
-    return F.concat(F.lit('"'), F.substring(F.sha2(body, 256), 1, 16), F.lit('"'))
+    """A strong tag of a body: its FNV-1a hash in 64 bits, quoted."""
+    return F.concat(F.lit('"'), fnv1a64(body), F.lit('"'))
+
+
+def feed_document(items: DataFrame, title: str, link: str) -> DataFrame:
+    """One row ``document``: the feed's envelope around its items (pos, day, item), dated by the newest; the items of a feed are few."""
+    stamp = F.concat(F.date_format(F.max("day"), "EEE, dd MMM yyyy"), F.lit(" 00:00:00 GMT"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "")
+    head = F.lit(f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{title}</title><link>{link}</link><lastBuildDate>')
+    return items.agg(F.concat(head, stamp, F.lit("</lastBuildDate>"), listed, F.lit("</channel></rss>")).alias("document"))
+
+
+def calendar_document(event: Column) -> Column:
+    """A calendar of one event: what a subscriber to a draft's deadline gets."""
+    return F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//strandline//EN\r\n"), event, F.lit("\r\nEND:VCALENDAR\r\n"))
 
 
 def upsert(stored: DataFrame | None, fresh: DataFrame, key: list[str], version: int) -> DataFrame:
@@ -66,13 +82,22 @@ def upsert(stored: DataFrame | None, fresh: DataFrame, key: list[str], version:
 
 
 def last_good(spark: SparkSession, path: str, fresh) -> tuple[DataFrame, bool]:
-    """What ``fresh()`` reads, or the last good snapshot at ``path`` where it fails; and whether it is stale."""
+    """What ``fresh()`` reads, or the last good snapshot below ``path`` where it fails in any way; and whether it is stale.
+
+    A snapshot is written to a folder of its own first; only then a small table
+    of names is appended that says it is the newest. A failed or half-written
+    read leaves the one before untouched.
+    """
+    names = f"{path}/names"
     try:
-        df = fresh()
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path), False
-    except AnalysisException:
-        return spark.read.parquet(path), True
+        folder = f"snapshot-{uuid.uuid4().hex}"
+        fresh().write.parquet(f"{path}/{folder}")
+        spark.createDataFrame([(time.time_ns(), folder)], "at long, folder string").write.mode("append").parquet(names)
+        stale = False
+    except Exception:  # noqa: BLE001 - whatever the source raises, the last good snapshot is the answer
+        stale = True
+    newest = spark.read.schema("at long, folder string").parquet(names).agg(F.max_by("folder", "at")).first()[0]
+    return spark.read.parquet(f"{path}/{newest}"), stale
 
 
 def merged_days(stored: DataFrame, delta: DataFrame, key: list[str], value: str, stamp: str) -> DataFrame:
