@@ -133,3 +133,19 @@ def match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of all hits of a query in the original texts, by folded forms."""
     d = table(spark, sf_dir, "documents").where(F.lower("text").contains("license"))
     return d.select("doc_id", F.explode(arrow_text.match_ranges(F.col("text"), ["license", "licensed"])).alias("r")).select("doc_id", "r.*")
+
+
+@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('„' || text || '“ –  § ' || turn || 'b.', '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]', '', 'g'), '[„“”«»]', '"', 'g'), '[‚‘’]', chr(39), 'g'), '[–—−]', '-', 'g'), '[\\s\\x{00A0}]+', ' ', 'g')) AS form, turn || 'b' AS designation FROM conversations WHERE text IS NOT NULL AND NOT contains(text, '§')""")
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One typographic form of quotes, dashes, blanks and invisible characters, and the designation that a text holds."""
+    c = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("§")))
+    written = F.concat(F.lit("„"), "text", F.lit("“ –\u00a0 § "), F.col("turn").cast("string"), F.lit("b."))
+    return c.select("conv_id", "turn", text.typographic(written).alias("form"), text.designation(written).alias("designation"))
+
+
+@query("""SELECT doc_id, strlen(text) AS n, text IS NOT NULL AND contains(lower(source || ' ' || lang || ' ' || coalesce(text, '')), 'en ') AS hit FROM documents""")
+def haystacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searchable text of each document out of several columns, and whether it holds a term."""
+    d = table(spark, sf_dir, "documents")
+    hay = F.lower(text.haystack(F.col("source"), F.col("lang"), F.col("text")))
+    return d.select("doc_id", F.octet_length("text").cast("long").alias("n"), (F.col("text").isNotNull() & F.contains(hay, F.lit("en "))).alias("hit"))
