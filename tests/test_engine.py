@@ -157,7 +157,7 @@ def test_text_functions(spark):
     assert one(text.designation(F.lit("§ 285b. Text"))) == "285b" and one(text.designation(F.lit("none"))) is None
     assert one(text.fingerprint(F.array(F.lit("b"), F.lit("a"), F.lit("a")))) == one(text.fingerprint(F.array(F.lit("a"), F.lit("b"))))
     assert one(text.decoded(F.lit(b"\xe4"), "ISO-8859-1")) == "ä" and one(text.decoded(F.lit("ä".encode()), "ISO-8859-1")) == "ä"
-    assert one(text.ics_escape(F.lit("a;b,c\\d\n"))) == "a\;b\\,c\\\\d\\n"
+    assert one(text.ics_escape(F.lit("a;b,c\\d\n"))) == "a\\;b\\,c\\\\d\\n"
     order = [r.v for r in spark.createDataFrame([(v,) for v in ["197", "22", "285c", "285b", "x"]], "v string").orderBy(*text.natural_order(F.col("v"))).collect()]
     assert order == ["x", "22", "197", "285b", "285c"]
     assert [one(dates.parse_day(F.lit(x))) for x in ("5.1.2024", "2024-01-05T00:00:00", "20240105", "31.02.2024", "soon")] == [date(2024, 1, 5)] * 3 + [None, None]
@@ -170,6 +170,110 @@ def test_title_components(spark):
     assert set(c.e.asDict().values()) == {0.0}
 
 
+def test_title_scores(spark):
+    arr = lambda words: F.array(*map(F.lit, words.split())) if words else F.array().cast("array<string>")
+
+    def score(a, b):
+        a, b = arr(a), arr(b)
+        return spark.range(1).select(F.round(similarity.title_score(similarity.title_components(a, b), a, b), 3).alias("v")).first().v
+
+    assert score("water law", "new water law") >= 0.9
+    # One word within a longer title is little evidence.
+    assert score("law", "new water law") == 0.6 and score("law", "law") == 1.0 and score("", "law") == 0.0
+    assert 0 < score("water use law", "water law of old") < 0.9
+
+
+def test_citations(spark):
+    from strandline.functions import citations
+
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    rules = {"exact": citations.same_exact, "stored": citations.same_stored, "cited": citations.same_cited}
+    cases = [
+        ("BGBl. I Nr.", "165/1999", "BGBl. Nr.", "165/1999", {"stored", "cited"}), ("BGBl. Nr.", "532/1993", "BGBl. I Nr.", "532/1993", {"stored", "cited"}),
+        ("BGBl. II Nr.", "104/2006", "BGBl. Nr.", "104/2006", {"cited"}), ("BGBl. I Nr.", "1/2000", "BGBl. III", "1/2000", set()), ("BGBl. I Nr.", "1/2000", "BGBl. I", "1/2000", {"exact", "stored", "cited"}), ("BGBl. I", "1/2000", "BGBl. I", "2/2000", set()),
+    ]
+    for a, m, b, n, want in cases:
+        assert {k for k, rule in rules.items() if one(rule(F.lit(a), F.lit(m), F.lit(b), F.lit(n)))} == want, (a, b)
+    spans = {"5 bis 8": ["5", "6", "7", "8"], "7a bis 7c": ["7a", "7b", "7c"], "3 und 9": ["3", "9"], "9 bis 4": ["9 bis 4"], "5 bis 7a": ["5 bis 7a"], "12": ["12"]}
+    for span, want in spans.items():
+        assert one(citations.expanded(F.lit(span))) == want
+    terms = one(citations.search_terms(F.lit(' „Klima"  Schutz* x klima KLIMA* a b c dd ee ff gg hh')))
+    assert [(t.text, t.prefix) for t in terms] == [("klima", False), ("schutz", True), ("dd", False), ("ee", False), ("ff", False), ("gg", False)]
+    assert one(citations.within_caps(F.lit("a " * 100))) and not one(citations.within_caps(F.lit("a " * 101))) and not one(citations.within_caps(F.lit("x" * 1001)))
+    assert [one(citations.percent_of(F.lit(a), F.lit(b))) for a, b in ((1, 300), (299, 300), (1, 2), (300, 300), (0, 3), (1, 0))] == [1, 99, 50, 100, 0, None]
+    assert one(citations.short_title(F.lit("Klimagesetz 2024, Änderung"))) == "Klimagesetz" and one(citations.counted_label(F.lit(1234), "draft", "drafts")) == "1.234 drafts"
+    assert [one(citations.record_class(F.lit(t))) for t in ("Steuergesetz", "Verordnung zum Steuergesetz", "Leitfaden")] == ["gesetz", "verordnung", "other"]
+
+
+def test_gazette_refusals(spark):
+    row = lambda lid, rid, offset, score, named=False: (lid, rid, offset, score, named)
+    rows = [
+        row(1, 1, 10, 900), row(1, 2, 20, 850), row(2, 1, 10, 900), row(2, 2, 300, 850), row(3, 1, 10, 700), row(4, 1, 300, 800, True), row(4, 2, 10, 900),
+        row(5, 1, 100, 900), row(5, 2, 300, 895), row(5, 3, -5, 890), row(6, 1, 300, 900), row(6, 2, 10, 850),
+    ]
+    got = {r.lid: (r.rid, r.verdict) for r in links.gazette_verdicts(spark.createDataFrame(rows, "lid int, rid int, offset int, score int, named boolean"), "lid", "rid").collect()}
+    # 5: the third ranks behind in time but is close in neither days nor rank; 6: a rival that is earlier.
+    assert got == {1: (1, "undecided"), 2: (1, "promulgated"), 3: (1, "none"), 4: (1, "promulgated"), 5: (1, "promulgated"), 6: (1, "undecided")}
+
+
+def test_sources_settle_alone(spark):
+    good = lambda: spark.range(3)
+    broken = lambda: spark.range(3).where(F.assert_true(F.col("id") < 1, F.lit("no")).isNull())
+    rows, states = lists.tolerant_union({"a": good, "b": broken, "c": lambda: spark.read.parquet("/nowhere/at/all"), "d": good})
+    assert [(n, s) for n, s, _ in states] == [("a", "read"), ("b", "failed"), ("c", "failed"), ("d", "read")] and rows.count() == 6
+    with pytest.raises(RuntimeError, match="no source"):
+        lists.tolerant_union({"b": broken})
+
+
+def test_cache_rules(spark):
+    rows = [(None, False), (None, True), (5, False), (15, False), (15, True), (99, False), (99, True)]
+    df = spark.createDataFrame(rows, "age int, running boolean")
+    assert [r.s for r in df.select(lists.cache_state(F.col("age"), 10, 20, F.col("running")).alias("s")).collect()] == ["absent", "pending", "fresh", "revalidate", "stale", "expired", "pending"]
+    rng = random.Random(3)
+    entries = [(i, datetime(2024, 1, 1) + (datetime(2024, 1, 2) - datetime(2024, 1, 1)) * rng.random(), rng.randint(1, 50)) for i in range(200)]
+    kept, total = set(), 0
+    for i, _, size in sorted(entries, key=lambda e: (-e[1].timestamp(), e[0])):
+        total += size
+        if total > 1500:
+            break
+        kept.add(i)
+    got = lists.within_bytes(spark.createDataFrame(entries, "k int, used timestamp, size int"), "used", "size", 1500, "k")
+    assert {r.k for r in got.collect()} == kept
+
+
+def test_windows_on_streams(spark, tmp_path):
+    at = lambda minutes: datetime(2024, 1, 1, 0, 0) + (datetime(2024, 1, 1, 0, 1) - datetime(2024, 1, 1, 0, 0)) * minutes
+    rows = [("a", at(m), "x") for m in (0, 3, 4, 30, 31, 90)] + [("b", at(m), "x") for m in (1, 20)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, class string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+
+    def run(frame, name):
+        frame.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    sliding = {(r.start, r.n) for r in run(usage.sliding_usage(stream, "10 minutes", "5 minutes", "1 hour"), "sliding")}
+    want = {}
+    for _, ts, _ in rows:
+        for k in (0, 5):
+            begin = at((ts - at(0)).total_seconds() // 60 // 5 * 5 - k)
+            want[begin] = want.get(begin, 0) + 1
+    assert sliding == set(want.items())
+    sessions = {(r.k, r.start, r.ends, r.n) for r in run(usage.sessions(stream, "k", "10 minutes", "1 hour"), "sessions")}
+    assert sessions == {("a", at(0), at(14), 3), ("a", at(30), at(41), 2), ("a", at(90), at(100), 1), ("b", at(1), at(11), 1), ("b", at(20), at(30), 1)}
+    # Late rows behind the watermark are left out of what is appended.
+    assert {r.n for r in usage.sliding_usage(df, "10 minutes", "10 minutes", "1 hour").collect()} == {1, 2, 4}
+
+
+def test_small_rules(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert one(similarity.coverage(F.array(F.lit("a"), F.lit("a"), F.lit("b")), F.array(F.lit("a")))) == pytest.approx(2 / 3)
+    assert one(similarity.coverage(F.array().cast("array<string>"), F.array(F.lit("a")))) is None
+    assert one(dates.local_day(F.lit(datetime(2024, 6, 30, 22, 30)))) == date(2024, 7, 1)
+    assert one(text.same_wording_key(F.lit("A  b."))) == one(text.same_wording_key(F.lit("a b")))
+    assert [one(dates.divergence(F.lit(date(2024, 1, 2)), F.lit(d))) for d in (date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 3), None)] == ["earlier", "same", "later", None]
+
+
 def test_privacy(spark):
     rows = [(1, "Verein X", True), (2, "A Person", True), (3, "Kammer Y", False), (4, None, None), (5, "Ver​ein Z", None)]
     got = {r.i: (r.submitter_class, r.organisation) for r in privacy.without_persons(spark.createDataFrame(rows, "i int, name string, public boolean"), "name", "public", ["i"]).collect()}
@@ -201,6 +305,16 @@ def test_sinks(spark, tmp_path):
     assert sinks.last_good(spark, path, lambda: stored)[1] is False
     again, stale = sinks.last_good(spark, path, lambda: spark.read.parquet(str(tmp_path / "missing")))
     assert stale and again.count() == 3
+    # A read that fails while it runs leaves the snapshot as it was.
+    broken = lambda: stored.where(F.assert_true(F.col("k") < 2, F.lit("shape changed")).isNull())
+    again, stale = sinks.last_good(spark, path, broken)
+    assert stale and again.count() == 3
+    again, stale = sinks.last_good(spark, path, lambda: stored.where("k = 1"))
+    assert not stale and again.count() == 1
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    for body, tag in (("", "cbf29ce484222325"), ("a", "af63dc4c8601ec8c"), ("foobar", "85944171f73967e8")):
+        assert one(sinks.strong_tag(F.lit(body))) == f'"{tag}"'
+    assert one(sinks.calendar_document(F.lit("X"))).startswith("BEGIN:VCALENDAR") and one(sinks.calendar_document(F.lit("X"))).endswith("END:VCALENDAR\r\n")
 
 
 def test_usage_stream_equals_batch(spark, small, tmp_path):
