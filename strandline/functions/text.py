@@ -64,6 +64,13 @@ def shingles(text: Column, width: int = 5) -> Column:
     return _let(words, lambda ws: F.when(F.size(ws) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ws) - (width - 1)), lambda i: F.array_join(F.slice(ws, i, width), " ")))).otherwise(F.array().cast("array<string>")))
 
 
+def run_hashes(text: Column, width: int = 5) -> Column:
+    """64-bit hashes of the distinct ``shingles`` of a text: the words are hashed, no run is ever put together."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}§]+"), lambda w: w != "")
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return _let(hashed, lambda h: F.when(F.size(h) >= width, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)])))).otherwise(F.array().cast("array<bigint>")))
+
+
 def html_text(html: Column) -> Column:
     """Text of an HTML page: comments, scripts and styles out, tags to spaces, entities decoded, white space collapsed."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")

@@ -117,10 +117,9 @@ def publishers_without_act(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per act the publishers (a fixed set of a few) that name it nowhere; acts named everywhere are absent."""
     region = table(spark, sf_dir, "region")
     every = F.array_sort(F.collect_list("r_name"))
-    names = region.agg(every.alias("every"))
     have = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     have = have.groupBy("l_partkey").agg(F.collect_set("r_name").alias("have"))
-    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("act")).join(have, F.col("act") == F.col("l_partkey"), "left").join(F.broadcast(names))
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("act")).join(have, F.col("act") == F.col("l_partkey"), "left").withColumn("every", region.agg(every).scalar())
     missing = F.array_except("every", F.coalesce("have", F.array().cast("array<string>")))
     return df.where(F.size(missing) > 0).select("act", F.array_join(missing, ",").alias("missing"))
 
