@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.shared import written
+
 
 def furthest_wins(df: DataFrame, key: list[str], rank: str, pos: str) -> DataFrame:
     """The row of the greatest rank per key, the first position on ties."""
@@ -90,3 +92,49 @@ def merge_groups(df: DataFrame, name: str, size: str, key: Column) -> DataFrame:
     merged = keyed.groupBy("_k").agg(F.max_by(F.col(name), F.struct(F.col(size))).alias("_any"), F.sum(size).alias(f"{size}_sum"), F.max(size).alias("_top"))
     lead = keyed.join(merged, "_k").where(F.col(size) == F.col("_top")).groupBy("_k").agg(F.min(name).alias(name))
     return lead.join(merged, "_k").select(name, F.col(f"{size}_sum").alias(size))
+
+
+def name_key(name: Column) -> Column:
+    """Lower case, umlauts folded, everything but letters and digits to single spaces."""
+    folded = F.lower(name)
+    for letter, plain in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
+
+
+def merge_near_groups(df: DataFrame, name: str, size: str, least_key: int = 25, least_word: int = 13) -> DataFrame:
+    """Groups (name, size) whose keys are equal or one typed letter apart become one, under the name of the largest (then the first key).
+
+    One letter is a slip only in keys of ``least_key`` characters and inside a word
+    of ``least_word``; digits never are. Keys emit their variants with a character
+    less, and equal variants meet: no pair of groups is compared that does not.
+    """
+    whole = df.groupBy(name_key(F.col(name)).alias("key")).agg(F.max_by(name, F.struct(size)).alias("name"), F.sum(size).alias("n"))
+    at = F.explode(F.sequence(F.lit(1), F.length("key"))).alias("i")
+    word = F.length(F.regexp_extract(F.expr("left(key, i)"), "[^ ]*$", 0)) + F.length(F.regexp_extract(F.expr("substring(key, i + 1)"), "^[^ ]*", 0))
+    slips = whole.where(F.length("key") >= least_key).select("key", at).where(F.expr("substring(key, i, 1)").rlike(r"\p{L}") & (word >= least_word))
+    cut = slips.select("key", "i", F.expr("concat(left(key, i - 1), substring(key, i + 1))").alias("v"))
+    swapped = cut.join(cut.select(F.col("key").alias("other"), "i", "v"), ["i", "v"]).where("key <> other").select("key", "other")
+    shorter = cut.join(whole.select(F.col("key").alias("v"), F.col("key").alias("other")), "v").select("key", "other")
+    pairs = swapped.unionByName(shorter).unionByName(shorter.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
+    rank = whole.select(F.col("key").alias("other"), F.col("n").alias("m"))
+    best = pairs.join(rank, "other").groupBy("key").agg(F.max(F.struct("m", "other")).alias("near"))
+    joined = whole.join(best, "key", "left")
+    larger = (F.col("near.m") > F.col("n")) | ((F.col("near.m") == F.col("n")) & (F.col("near.other") < F.col("key")))
+    led = written(joined.select(F.when(larger, F.col("near.other")).otherwise(F.col("key")).alias("lead"), "key", "name", "n"), "leads")
+    # A lead may follow a larger one in turn: pointers are doubled until none moves.
+    while True:
+        above = led.select(F.col("key").alias("lead"), F.col("lead").alias("top"))
+        moved = written(led.join(above, "lead"), "leads")
+        led = moved.select(F.col("top").alias("lead"), "key", "name", "n")
+        if moved.where("top <> lead").isEmpty():
+            break
+    return led.groupBy("lead").agg(F.max_by("name", F.col("key") == F.col("lead")).alias(name), F.sum("n").alias(size)).select(name, size)
+
+
+def usage_summary(counts: DataFrame, day: str, group: str, value: str, other: str, least: int, most: int) -> DataFrame:
+    """The ``most`` groups of at least ``least`` over all days but the first stored one, by count and then name; ``other`` is a bucket and not ranked."""
+    first = counts.agg(F.min(day)).scalar()
+    totals = counts.where((F.col(day) > first) & (F.col(group) != other)).groupBy(group).agg(F.sum(value).alias(value)).where(F.col(value) >= least)
+    top = totals.orderBy(F.desc(value), group).limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), group)))

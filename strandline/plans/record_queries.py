@@ -164,3 +164,39 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
     found = acts.join(v, "part", "left").groupBy("part").agg(F.count(F.lit(1)).alias("versions"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.max("gap").cast("long").alias("longest"))
     return found
+
+
+@query(f"""WITH {_CHAIN_SQL}, s AS (SELECT l_orderkey AS inr, count(*) AS stages, CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) AS first_stage, count(DISTINCT l_suppkey) AS bodies FROM lineitem GROUP BY 1)
+SELECT d.inr, d.title, d.ministry, CAST(d.deadline AS VARCHAR) AS deadline, c.station, c.bill, coalesce(s.stages, 0) AS stages, s.first_stage, coalesce(s.bodies, 0) AS bodies,
+  count(*) OVER (PARTITION BY d.title) - 1 AS siblings FROM d JOIN c USING (inr) LEFT JOIN s USING (inr)""")
+def draft_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detail view of every draft: its row, chain, stages, bodies that took part, and how many drafts share its title."""
+    d = drafts(spark, sf_dir).select("inr", "title", "ministry", F.col("deadline").cast("string").alias("deadline"))
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("inr")).agg(F.count(F.lit(1)).alias("stages"), F.min(F.to_date("l_shipdate")).cast("string").alias("first_stage"), F.count_distinct("l_suppkey").alias("bodies"))
+    siblings = d.groupBy("title").agg((F.count(F.lit(1)) - 1).alias("siblings"))
+    joined = d.join(_chains(spark, sf_dir).select("inr", "station", "bill"), "inr").join(s, "inr", "left").join(siblings, "title")
+    return joined.select("inr", "title", "ministry", "deadline", "station", "bill", F.coalesce("stages", F.lit(0)).alias("stages"), "first_stage", F.coalesce("bodies", F.lit(0)).alias("bodies"), "siblings")
+
+
+@query("""SELECT c_custkey AS record, c_name AS title, 'begutachtung' AS station FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_acctbal > 0""")
+def record_only_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that no draft is linked to, as rows of their own with the default station."""
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    linked = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(linked, "c_custkey", "left_anti").select(F.col("c_custkey").alias("record"), F.col("c_name").alias("title"), F.lit("begutachtung").alias("station"))
+
+
+@query("""WITH u AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, n, n >= 2 AS deleted, n >= 3 AS moved FROM u)
+SELECT doc_id, 2 + CAST(n >= 3 AS INTEGER) AS touched, 1 + CAST(n >= 2 AS INTEGER) + CAST(n >= 3 AS INTEGER) AS shown, 1 - CAST(n >= 2 AS INTEGER) AS withheld FROM v""")
+def consolidated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions applied to every document's units: the units they touch are shown, or withheld where refused, and the balance holds."""
+    from strandline.operators import amend
+
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    trees = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("string").alias("path"), "text")
+    lines = F.when(F.size(F.split("text", "\n")) >= 3, F.array(F.lit('In 1 replace the text by "New wording".'), F.lit("Delete 2."), F.lit("Delete 3."))).otherwise(F.array(F.lit('In 1 replace the text by "New wording".'), F.lit("Delete 2.")))
+    todo = d.select("doc_id", F.posexplode(lines).alias("pos", "line"))
+    verdicts = amend.apply_instructions(trees, todo, "doc_id").where("state = 'refused'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("withheld"))
+    touched = todo.groupBy("doc_id").agg(F.count(F.lit(1)).alias("touched"))
+    joined = touched.join(verdicts, "doc_id", "left").withColumn("withheld", F.coalesce("withheld", F.lit(0)))
+    return joined.select("doc_id", "touched", (F.col("touched") - F.col("withheld")).alias("shown"), "withheld")
