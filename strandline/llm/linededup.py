@@ -218,3 +218,27 @@ def line_report(docs: DataFrame) -> DataFrame:
     gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     joined = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["mark"] == gone["_mark"]), "left")
     return joined.select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+
+
+#: ``line_report`` of ``documents``, whose ids are distinct.
+ORACLE_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL
+), t AS (
+  SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l
+), o AS (
+  SELECT * FROM t WHERE line <> ''
+), d AS (
+  SELECT line, min((doc_id, line_no)) AS place FROM o GROUP BY line
+), v AS (
+  SELECT line, place, i, hash(left(line, i - 1) || substring(line, i + 1)) AS h FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM d)
+), near AS (
+  SELECT a.line, b.place AS other FROM v a JOIN (SELECT i, h, min(place) AS place FROM v GROUP BY i, h) b ON a.i = b.i AND a.h = b.h WHERE b.place < a.place
+  UNION ALL SELECT v.line, d.place FROM v JOIN d ON v.h = hash(d.line) WHERE d.place < v.place
+  UNION ALL SELECT d.line, v.place FROM v JOIN d ON v.h = hash(d.line) WHERE v.place < d.place
+), gone AS (
+  SELECT o.doc_id, o.line_no FROM o JOIN d USING (line) WHERE (o.doc_id, o.line_no) <> d.place OR o.line IN (SELECT line FROM near)
+)
+SELECT k.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.dropped, []) AS dropped FROM documents k
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM o GROUP BY 1) n USING (doc_id) LEFT JOIN (SELECT doc_id, list(CAST(line_no AS INTEGER) ORDER BY line_no) AS dropped FROM gone GROUP BY 1) g USING (doc_id)
+"""

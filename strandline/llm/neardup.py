@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import joined_salted, joined_spread, let, materialize, word_list
+from strandline.llm.common import BLANK, joined_salted, joined_spread, let, materialize, word_list
 from strandline.llm.components import components
 
 SHINGLE = 5
@@ -203,3 +203,27 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
     standing = nameless.where("n > 0").join(of_class.where("stands").select("h1", "h2"), ["h1", "h2"])
     one = standing.groupBy("h1", "h2").agg(F.min_by("row", "row.text").alias("row"))
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(one.select("row.*")).unionByName(nameless.where("n = 0").select("row.*"))
+
+
+#: ``near_duplicates`` of ``documents`` with three-word shingles and 85 percent.
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{BLANK}'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) END AS sh FROM w
+), c AS (
+  SELECT min(doc_id) AS rep, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh
+), x AS (
+  SELECT rep, n, unnest(sh) AS k FROM c
+), p AS (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.k = b.k AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION SELECT b, a FROM p
+), r AS (
+  SELECT rep AS node, rep AS seen FROM c UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen
+), m AS (
+  SELECT node, min(seen) AS component FROM r GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, coalesce(m.component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.node = c.rep
+"""

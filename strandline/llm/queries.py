@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE_SQL}
+    return {"op4_minhash_near_dedup": neardup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL}

@@ -558,14 +558,18 @@ def test_pages_that_repeat_an_id_are_judged_by_their_payload(spark, tmp_path):
     assert sum(h.count(b"WARC-Type: warcinfo") for h in heads) == len(heads) and any(b"WARC-Refers-To-Target-URI: http://a%20b" in h for h in heads)
 
 
-def test_archive_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, small, name):
+    from tests.test_oracle import rows_of
+
     duck = duckdb.connect()
-    for path in glob.glob(f"{small}/pages.parquet"):
+    for path in glob.glob(f"{small}/*.parquet"):
         duck.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    want = duck.execute(warc.ORACLE_SQL)
+    want = duck.execute(queries.oracle_sql()[name])
     names = [c[0] for c in want.description]
-    got = warc.archive_pages(spark.read.parquet(f"{small}/pages.parquet"))
-    assert sorted(map(str, ([r[n] for n in names] for r in got.collect()))) == sorted(map(str, map(list, want.fetchall())))
+    got = queries.queries()[name](spark, small)
+    assert sorted(got.columns) == sorted(names)
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, want.fetchall())
 
 
 # Languages.
