@@ -2,11 +2,11 @@
 
 Every sentence of a file is compared with short notices, and the whole file with
 whole licence texts; a file without a licence of its own takes that of the
-nearest directory above it that holds a licence file. A term weighs its count
-times its inverse document frequency over all templates; a term that no template
-has weighs as much as the rarest one. Everything is array arithmetic on a row, so
-the scan needs no shuffle; inheritance joins directories, not files, with their
-ancestors.
+nearest directory above it that holds a licence file. A term weighs one and
+the logarithm of its count, times its inverse document frequency over all
+templates; a term that no template has weighs as much as the rarest one.
+Everything is array arithmetic on a row, so the scan needs no shuffle;
+inheritance joins directories, not files, with their ancestors.
 """
 
 from __future__ import annotations
@@ -80,7 +80,12 @@ FILE_TEMPLATES: list[tuple[str, str]] = [
 FILE_NAMES = ["license", "licence", "copying", "copyright", "unlicense", "notice"]
 
 #: Function words; they weigh as if every template held them.
-FUNCTION_WORDS = ["a", "all", "an", "and", "any", "are", "as", "by", "can", "either", "for", "has", "in", "into", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "use", "with", "without", "you"]
+FUNCTION_WORDS = [
+    "a", "all", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "do", "either", "even", "for", "from", "has", "have", "how", "if", "in", "into", "is", "it", "its", "may", "more", "no", "non", "nor", "not", "of", "on", "or",
+    "other", "our", "out", "shall", "should", "so", "such", "that", "the", "these", "this", "to", "under", "use", "was", "we", "were", "what", "whether", "which", "whom", "will", "with", "without", "would", "you", "your",
+]
+#: Anchors of whole licences that a text within reach of one holds at least.
+FILE_ANCHORS = 2
 
 
 def counts_of(text: str) -> dict[str, int]:
@@ -99,48 +104,64 @@ def unknown() -> float:
     return (math.log(1 + len(TEMPLATES) + len(FILE_TEMPLATES)) + 1) ** 2
 
 
+def damped(n: int) -> float:
+    """What a count weighs: many a word that a long text repeats says no more than a few."""
+    return 1 + math.log(n)
+
+
 def vector(text: str) -> tuple[dict[str, float], float]:
-    """A template's count times squared frequency weight by term, and its length."""
+    """A template's damped count times squared frequency weight by term, and its length."""
     w, found = weights(), counts_of(text)
-    return {t: n * w[t] for t, n in sorted(found.items())}, math.sqrt(sum(n * n * w[t] for t, n in found.items()))
+    return {t: damped(n) * w[t] for t, n in sorted(found.items())}, math.sqrt(sum(damped(n) ** 2 * w[t] for t, n in found.items()))
 
 
-@cache
-def anchors() -> list[str]:
-    """Terms of which a text within ``LEAST`` of any template has at least one.
+def anchors_of(templates: list[tuple[str, str]], hits: int) -> list[str]:
+    """Terms of which a text within ``LEAST`` of any of the templates has at least ``hits``.
 
-    Without a template's anchors, the share of its length that a text can still
-    have in common keeps the cosine below ``LEAST``.
+    With fewer of a template's anchors, be they its heaviest, the share of its
+    length that a text can still have in common keeps the cosine below ``LEAST``.
     """
     found: set[str] = set()
     w = weights()
-    for _, text in TEMPLATES + FILE_TEMPLATES:
-        counts = counts_of(text)
-        size = {t: n * n * w[t] for t, n in counts.items()}
-        # The rarest terms first: function words would let every text through.
-        terms = sorted(size, key=lambda t: (-w[t], -size[t], t))
+    for _, text in templates:
+        size = {t: damped(n) ** 2 * w[t] for t, n in counts_of(text).items()}
         total = sum(size.values())
-        left = total - sum(size[t] for t in terms if t in found)
-        for t in terms:
-            if math.sqrt(max(left, 0) / total) < LEAST - 1e-9:
+
+        def open_share(found: set[str]) -> float:
+            mine = sorted((size[t] for t in size if t in found), reverse=True)
+            return (total - sum(mine[hits - 1 :])) / total
+
+        # The rarest terms first: function words would let every text through.
+        for t in sorted(size, key=lambda t: (-w[t], -size[t], t)):
+            if math.sqrt(open_share(found)) < LEAST - 1e-9:
                 break
-            if t not in found:
-                found.add(t)
-                left -= size[t]
+            found.add(t)
     return sorted(found)
 
 
+@cache
+def anchors(whole: bool = False) -> list[str]:
+    """Anchors of the notices, or of the whole licences."""
+    return anchors_of(FILE_TEMPLATES, FILE_ANCHORS) if whole else anchors_of(TEMPLATES, 1)
+
+
+def pattern(words: list[str]) -> str:
+    """A pattern of any of the words, by first letter: most words of a text fail after one comparison."""
+    initials = sorted({w[0] for w in words})
+    return r"\b(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in initials) + r")\b"
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"\n|(?<=[.!?;:]) ")
 
 
 def term_counts(text: Column) -> Column:
-    """(term, n) of a text's terms: sorted, then cut where the term changes."""
+    """(term, n) of a text's terms with their damped counts: sorted, then cut where the term changes."""
     words = F.array_sort(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""))
 
     def of(s: Column) -> Column:
         changes = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (x != F.get(s, F.greatest(j - 1, F.lit(0)))), j)), lambda j: j.isNotNull())
-        return let(changes, lambda f: F.transform(f, lambda j, k: F.struct(F.get(s, j).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - j).alias("n"))))
+        return let(changes, lambda f: F.transform(f, lambda j, k: F.struct(F.get(s, j).alias("term"), (1 + F.log((F.coalesce(F.get(f, k + 1), F.size(s)) - j).cast("double"))).alias("n"))))
 
     return let(words, of)
 
@@ -178,11 +199,11 @@ def detect(files: DataFrame) -> DataFrame:
     is a licence. Null and empty texts have none; texts are read whole. Columns
     of these names are replaced, others pass through.
     """
-    anchor = r"\b(" + "|".join(anchors()) + r")\b"
+    anchor = pattern(anchors())
     hits = F.filter(sentences(F.col("text")), lambda x: F.lower(x).rlike(anchor))
-    named = F.regexp_like(F.lower("text"), F.lit(anchor))
-    hits = F.when(named, hits).otherwise(F.array().cast("array<string>"))
+    hits = F.when(F.lower("text").rlike(anchor), hits).otherwise(F.array().cast("array<string>"))
     found = F.filter(F.transform(hits, lambda x: F.struct(best_match(x, TEMPLATES).alias("m"), F.regexp_count(x, F.lit(WORD)).alias("words"))), lambda x: x["m"]["score"] >= LEAST)
+    named = F.regexp_count(F.lower("text"), F.lit(pattern(anchors(whole=True)))) >= FILE_ANCHORS
     nothing = F.lit(None).cast("struct<score:double,license:string>")
     whole = F.when(named, best_match(F.col("text"), FILE_TEMPLATES)).otherwise(nothing)
     files = files.withColumn("_found", F.coalesce(found, F.array().cast(found_type()))).withColumn("_whole", F.when(whole["score"] >= LEAST, whole))
