@@ -83,11 +83,14 @@ def kept_cut(shown: DataFrame, again: DataFrame, key: str, rank: Column, visible
     return again.where(rank >= worst.scalar()).agg(F.greatest(F.lit(visible), F.count(F.lit(1))).cast("long").alias("cut"))
 
 
-def allotted(df: DataFrame, order: list[Column], budget: int) -> DataFrame:
-    """Every row with ``state`` read or skipped: the first ``budget`` rows are read, none is dropped unnamed. Only these are ranked."""
-    first = df.orderBy(*order).limit(budget).withColumn("state", F.lit("read"))
-    rest = df.join(first.select(*df.columns), df.columns, "left_anti").withColumn("state", F.lit("skipped"))
-    return first.unionByName(rest)
+def allotted(df: DataFrame, key: str, order: list[Column], budget: int) -> DataFrame:
+    """Every row with ``state`` read or skipped: the first ``budget`` rows by ``order`` are read, none is dropped unnamed.
+
+    ``key`` tells rows apart. Only the first rows are ordered; the others are told by not being among them.
+    """
+    first = F.broadcast(df.orderBy(*order).limit(budget).select(F.col(key).alias("_read")))
+    joined = df.join(first, F.col(key).eqNullSafe(F.col("_read")) & F.col("_read").isNotNull(), "left")
+    return joined.withColumn("state", F.when(F.col("_read").isNotNull(), "read").otherwise("skipped")).drop("_read")
 
 
 def admitted(items: DataFrame, matrix: DataFrame, kind: str) -> DataFrame:

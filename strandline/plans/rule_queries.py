@@ -173,7 +173,7 @@ def list_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DRAFTS_SQL} SELECT inr, CASE WHEN row_number() OVER (ORDER BY arrived, inr) <= 500 THEN 'read' ELSE 'skipped' END AS state FROM d""")
 def allotted_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five hundred units are read, the others named as skipped."""
-    return lists.allotted(drafts(spark, sf_dir).select("inr", "arrived"), [F.col("arrived"), F.col("inr")], 500).select("inr", "state")
+    return lists.allotted(drafts(spark, sf_dir).select("inr", "arrived"), "inr", [F.col("arrived"), F.col("inr")], 500).select("inr", "state")
 
 
 @query("""SELECT source, state, n FROM (VALUES ('orders', 'read', (SELECT count(*) FROM orders)), ('supplier', 'read', (SELECT count(*) FROM supplier)), ('broken', 'failed', 0), ('missing', 'failed', 0)) t(source, state, n)""")
