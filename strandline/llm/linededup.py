@@ -159,8 +159,9 @@ def earlier_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Substitutions: lines of one length whose parts lost the character at one position.
     equal = frames.where("NOT longer")
     lost = equal.select("h1", "h2", "place", "frame", F.explode(shortened(F.col("part"))).alias("v")).select("h1", "h2", "place", "frame", "v.*")
-    least = lost.groupBy("frame", "key", "position").agg(F.min("place").alias("other"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    swaps = joined_spread(lost, least, ["frame", "key", "position"], "members").select("h1", "h2", "place", "other")
+    # They differ in that character alone, so a group has no more lines than there are characters: no key is hot.
+    least = lost.groupBy("frame", "key", "position").agg(F.min("place").alias("other"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    swaps = lost.join(least, ["frame", "key", "position"]).select("h1", "h2", "place", "other")
     # Insertions: a variant of the longer line's part is the shorter line's part.
     whole = equal.select("frame", F.xxhash64("part").alias("key"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("place").alias("short_place"))
     longer = frames.where("longer").select("h1", "h2", "place", "frame", F.explode(F.array_distinct(F.transform(shortened(F.col("part")), lambda v: v["key"]))).alias("key"))
