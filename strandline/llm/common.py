@@ -92,7 +92,7 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return counted.where(share > 1).select("_key", F.ceil(share).cast("int").alias("_copies"))
 
 
-def joined_salted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def joined_salted(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per key) where a key may hold a third of ``rows`` and a row of ``table`` may be large.
 
     The rows of a hot key are dealt over copies of its row of ``table``. Copies

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import drop_table, joined_salted, materialize
+from strandline.llm.common import drop_table, hot_keys, joined_salted, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     written = labels
+    hubs = materialize(hot_keys(both, "b"), "hubs")
     while True:
-        near = joined_salted(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        near = joined_salted(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = joined_salted(step, jump, "label").select("node", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("moved"))
@@ -32,4 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
         labels, written = step.select("node", "label"), step
         if not step.where("moved").limit(1).count():
             drop_table(both)
+            drop_table(hubs)
             return labels.select("node", F.col("label").alias("component"))
