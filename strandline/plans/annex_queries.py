@@ -25,7 +25,7 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("standing IS NOT NULL AND column_text IS NOT NULL").select("law", "unit", annex.coverage(F.col("column_text"), F.col("standing")).alias("c")).select("law", "unit", "c.*")
 
 
-@query(f"WITH {_COVER_SQL} SELECT law, unit, comparable, missing, CASE WHEN comparable = 0 THEN 1 ELSE 1 - missing / comparable END AS ratio, comparable >= 5 AS prose FROM v")
+@query(f"WITH {_COVER_SQL} SELECT law, unit, CAST(comparable AS INTEGER) AS comparable, CAST(missing AS INTEGER) AS missing, CASE WHEN comparable = 0 THEN 1 ELSE 1 - missing / comparable END AS ratio, comparable >= 5 AS prose FROM v")
 def standing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of what a unit prints the standing text accounts for."""
     return _covered(spark, sf_dir)
@@ -95,7 +95,7 @@ def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annex.best_ranked(p, ["record"], citations.name_rank(F.col("name"), "textgegenüberstellung", "TGÜ", "erläuterung")).select("record", "id", "rank")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_size % 6 < 4 THEN p_size % 6 * 5 END AS number FROM part""")
+@query("""SELECT p_partkey AS id, CAST(CASE WHEN p_size % 6 < 4 THEN p_size % 6 * 5 END AS BIGINT) AS number FROM part""")
 def roman_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roman numerals as numbers over a whole column; forms that are none are null."""
     numeral = F.element_at(F.array(*map(F.lit, ["", "V", "X", "XV", "IC", "VX"])), (F.col("p_size") % 6 + 1).cast("int"))

@@ -68,7 +68,7 @@ def row_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n FROM documents)
-SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE n - CAST(n >= 2 AS INTEGER) - CAST(n >= 99 AS INTEGER) + 1 END AS rows_after, CASE WHEN n = 0 THEN 6 ELSE CAST(n < 2 AS INTEGER) + CAST(n < 99 AS INTEGER) + CAST(n < 3 AS INTEGER) + 1 END AS refused FROM n""")
+SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE n - CAST(n >= 2 AS INTEGER) - CAST(n >= 99 AS INTEGER) + 1 END AS rows_after, CAST(CASE WHEN n = 0 THEN 6 ELSE CAST(n < 2 AS INTEGER) + CAST(n < 99 AS INTEGER) + CAST(n < 3 AS INTEGER) + 1 END AS BIGINT) AS refused FROM n""")
 def amended_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions applied to the line trees of all documents: applied rows and refusals per document."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
@@ -87,7 +87,7 @@ def gate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH d AS (SELECT text FROM documents WHERE length(text) > 20) SELECT fault, count(*) AS tried, CASE fault WHEN 'word dropped' THEN count_if(regexp_matches(text, '^\\S+\\s+')) WHEN 'word doubled' THEN count_if(regexp_matches(text, '^\\S')) ELSE 0 END AS caught
+@query("""WITH d AS (SELECT text FROM documents WHERE length(text) > 20) SELECT fault, count(*) AS tried, CAST(CASE fault WHEN 'word dropped' THEN count_if(regexp_matches(text, '^\\S+\\s+')) WHEN 'word doubled' THEN count_if(regexp_matches(text, '^\\S')) ELSE 0 END AS BIGINT) AS caught
 FROM d, (VALUES ('word dropped'), ('word doubled'), ('blank added'), ('none')) f(fault) GROUP BY 1""")
 def fault_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults put into confirmed rows and the share the check catches, per kind of fault."""

@@ -220,7 +220,7 @@ def merged_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN user_id % 9 = 0 THEN 'andere' ELSE 'h' || user_id END AS host, count(*) AS n FROM events GROUP BY 1, 2),
 t AS (SELECT host, sum(n) AS n FROM c WHERE day > (SELECT min(day) FROM c) AND host <> 'andere' GROUP BY 1 HAVING sum(n) >= 5)
-SELECT host, CAST(n AS BIGINT) AS n, rank FROM (SELECT host, n, row_number() OVER (ORDER BY n DESC, host) AS rank FROM t) WHERE rank <= 20""")
+SELECT host, CAST(n AS BIGINT) AS n, CAST(rank AS INTEGER) AS rank FROM (SELECT host, n, row_number() OVER (ORDER BY n DESC, host) AS rank FROM t) WHERE rank <= 20""")
 def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty hosts that sent most readers, from five on, without the first stored day and the bucket of others."""
     host = F.when(F.col("user_id") % 9 == 0, "andere").otherwise(F.concat(F.lit("h"), F.col("user_id").cast("string")))

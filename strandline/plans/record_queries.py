@@ -187,7 +187,7 @@ def record_only_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, n, n >= 2 AS deleted, n >= 3 AS moved FROM u)
-SELECT doc_id, 2 + CAST(n >= 3 AS INTEGER) AS touched, 1 + CAST(n >= 2 AS INTEGER) + CAST(n >= 3 AS INTEGER) AS shown, 1 - CAST(n >= 2 AS INTEGER) AS withheld FROM v""")
+SELECT doc_id, CAST(2 + CAST(n >= 3 AS INTEGER) AS BIGINT) AS touched, CAST(1 + CAST(n >= 2 AS INTEGER) + CAST(n >= 3 AS INTEGER) AS BIGINT) AS shown, CAST(1 - CAST(n >= 2 AS INTEGER) AS BIGINT) AS withheld FROM v""")
 def consolidated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions applied to every document's units: the units they touch are shown, or withheld where refused, and the balance holds."""
     from strandline.operators import amend

@@ -149,7 +149,7 @@ def moving_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", F.avg("value").over(rows).alias("moving"), F.count(F.lit(1)).over(span).alias("near"))
 
 
-@query("""SELECT * FROM (SELECT s_suppkey AS id, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN 0 WHEN s_suppkey % 3 = 1 THEN 1 ELSE 2 END, s_suppkey % 50, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'a' END, s_suppkey) AS pos FROM supplier)""")
+@query("""SELECT id, CAST(pos AS INTEGER) AS pos FROM (SELECT s_suppkey AS id, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN 0 WHEN s_suppkey % 3 = 1 THEN 1 ELSE 2 END, s_suppkey % 50, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'a' END, s_suppkey) AS pos FROM supplier)""")
 def designation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units in the order a law prints them: articles, paragraphs, annexes, each by number and then letter."""
     k = F.col("s_suppkey")
@@ -157,7 +157,7 @@ def designation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("pos", F.row_number().over(Window.orderBy("kind", *text.natural_order(F.col("designation")), "id"))).select("id", "pos")
 
 
-@query("""SELECT sort, id, pos FROM (
+@query("""SELECT sort, id, CAST(pos AS INTEGER) AS pos FROM (
   SELECT 'newest' AS sort, s_suppkey AS id, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 30 END DESC NULLS LAST, s_suppkey) AS pos FROM supplier UNION ALL
   SELECT 'name', s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN s_name END ASC NULLS LAST, s_suppkey) FROM supplier UNION ALL
   SELECT 'support', s_suppkey, row_number() OVER (ORDER BY s_suppkey % 11 DESC, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 30 END DESC NULLS LAST, s_suppkey) FROM supplier) WHERE pos <= 25""")
@@ -281,7 +281,7 @@ def pending_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT 1 AS one), w AS (SELECT doc_id, lower(text) AS low, source FROM documents), m AS (SELECT doc_id, CASE WHEN regexp_matches(low, '(^|[^\\p{L}\\p{N}])the([^\\p{L}\\p{N}]|$)') AND regexp_matches(low, '(^|[^\\p{L}\\p{N}])th[\\p{L}\\p{N}]*([^\\p{L}\\p{N}]|$)') THEN 0
   WHEN contains(low, 'the') AND contains(low, 'th') THEN 1 ELSE 2 END AS class FROM w)
-SELECT class, doc_id, pos FROM (SELECT class, doc_id, row_number() OVER (ORDER BY class, doc_id) AS pos FROM m WHERE class < 2) WHERE pos <= 60""")
+SELECT class, doc_id, CAST(pos AS INTEGER) AS pos FROM (SELECT class, doc_id, row_number() OVER (ORDER BY class, doc_id) AS pos FROM m WHERE class < 2) WHERE pos <= 60""")
 def evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search parsed into terms and answered in classes: whole words (or word beginnings, with a star) before loose hits, input order inside."""
     terms = spark.range(1).select(citations.search_terms(F.lit('  „the"  TH* t the ')).alias("t")).first()["t"]
