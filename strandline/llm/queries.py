@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import langid, licenses, linededup, mixing, neardup, orderminhash, packing, pii, quality, warc
+from strandline.llm import langid, licenses, linededup, mixing, neardup, orderminhash, packing, pii, quality, resampling, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_order_minhash, op3_personal_data, op4_minhash_near_dedup, op5_best_fit_packing, op6_warc, op7_language_id, op8_quality_rules, op9_line_dedup, op10_license_scan]
+    found = [
+        op1_mix_sources, op2_order_minhash, op3_personal_data, op4_minhash_near_dedup, op5_best_fit_packing, op6_warc, op7_language_id, op8_quality_rules, op9_line_dedup, op10_license_scan,
+        op11_importance_resampling,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": neardup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL}
+    return {"op4_minhash_near_dedup": neardup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL}
