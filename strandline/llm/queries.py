@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import langid, licenses, linededup, mixing, neardup, orderminhash, packing, pii, quality, resampling, spelling, warc
+from strandline.llm import embeddup, langid, licenses, linededup, mixing, neardup, orderminhash, packing, pii, quality, resampling, spelling, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +61,17 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_mix_sources, op2_order_minhash, op3_personal_data, op4_minhash_near_dedup, op5_best_fit_packing, op6_warc, op7_language_id, op8_quality_rules, op9_line_dedup, op10_license_scan,
-        op11_importance_resampling, op12_spelling_variants,
+        op11_importance_resampling, op12_spelling_variants, op13_embedding_near_dedup,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": neardup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL}
+    return {"op4_minhash_near_dedup": neardup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL, "op13_embedding_near_dedup": embeddup.ORACLE_SQL}
