@@ -28,9 +28,9 @@ PERCENT = 5
 SEED = 42
 LEAST_WORDS = 20
 #: Bytes of text that DuckDB is given at once; a longer document is given alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: DuckDB's memory in a task; beyond it, it spills to the task's temporary folder.
-MEMORY = "400MB"
+MEMORY = "256MB"
 #: Fixed value: what separates words, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -44,9 +44,10 @@ followed AS (SELECT row, a, ' ' || lead(a, 1) OVER w AS b, ' ' || lead(a, 2) OVE
 one AS (SELECT row, b, c, crc32(a, 0::UINTEGER) AS x FROM followed),
 two AS (SELECT row, c, x, crc32(b, x) AS y FROM one),
 three AS (SELECT row, x, y, crc32(c, coalesce(y, 0::UINTEGER)) AS z FROM two),
-hashed AS (SELECT row, unnest([x, y, z]) % $buckets AS bucket, x IS NOT NULL AS word FROM three),
-counted AS (SELECT row, bucket, count(*) AS n FROM hashed WHERE bucket IS NOT NULL GROUP BY row, bucket)
-SELECT row, list(bucket ORDER BY bucket)::INTEGER[] AS buckets, list(n ORDER BY bucket)::BIGINT[] AS counts FROM counted GROUP BY row
+hashed AS (SELECT row, unnest([x, y, z]) % $buckets AS bucket FROM three),
+counted AS (SELECT row, bucket, count(*) AS n FROM hashed WHERE bucket IS NOT NULL GROUP BY row, bucket),
+lists AS (SELECT row, sum(n) AS n_features, list(bucket)::INTEGER[] AS buckets, list(n)::BIGINT[] AS counts FROM counted GROUP BY row)
+SELECT coalesce(n_features, 0)::BIGINT AS n_features, coalesce(buckets, []) AS buckets, coalesce(counts, []) AS counts FROM batch LEFT JOIN lists USING (row) ORDER BY row
 """
 
 
@@ -72,6 +73,11 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield begun, len(texts)
 
 
+def words_of(features: np.ndarray) -> pa.Array:
+    """How many words have so many runs of one to three."""
+    return pa.array(np.where(features < 2, features, features // 3 + 1), pa.int64())
+
+
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Bucket counts of every row of ``docs`` (doc_id, text): doc_id, n_words, n_features, buckets, counts, total.
 
@@ -92,17 +98,11 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 for begun, end in slices(batch.column(1)):
                     ids, texts = batch.column(0).slice(begun, end - begun), batch.column(1).slice(begun, end - begun)
                     con.register("batch", pa.table({"row": pa.array(range(end - begun), pa.int32()), "text": texts}))
-                    got = con.execute(_COUNTS, {"buckets": buckets}).fetchnumpy()
-                    words = dict(con.execute(f"SELECT row, len(words) FROM ({_WORDS})").fetchall())
+                    got = con.sql(_COUNTS, params={"buckets": buckets}).to_arrow_table().combine_chunks()
                     con.unregister("batch")
-                    of = {int(r): (b, c) for r, b, c in zip(got["row"], got["buckets"], got["counts"], strict=True)}
-                    none = (np.zeros(0, np.int32), np.zeros(0, np.int64))
-                    lists = [of.get(i, none) for i in range(end - begun)]
-                    for b, c in lists:
-                        sums[b] += c
-                    made = [ids, pa.array([words[i] for i in range(end - begun)], pa.int64()), pa.array([int(c.sum()) for _, c in lists], pa.int64())]
-                    made += [pa.array([b for b, _ in lists], pa.list_(pa.int32())), pa.array([c for _, c in lists], pa.list_(pa.int64())), pa.array([False] * (end - begun))]
-                    yield pa.RecordBatch.from_arrays(made, names=names)
+                    features, held, n = (got.column(c).chunk(0) for c in range(3))
+                    np.add.at(sums, held.flatten().to_numpy(), n.flatten().to_numpy())
+                    yield pa.RecordBatch.from_arrays([ids, words_of(features.to_numpy()), features, held, n, pa.array([False] * len(ids))], names=names)
             if sums.any():
                 at = np.flatnonzero(sums)
                 made = [pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.array([int(sums.sum())], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([sums[at]], pa.list_(pa.int64())), pa.array([True])]
@@ -163,20 +163,18 @@ def drawn(scored: DataFrame, percent: int = PERCENT) -> DataFrame:
     over ranges of scores; only the ranges' sizes, a row each, pass through one task.
     """
     columns = scored.columns
+    order = [F.desc("eligible"), F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "weight"]
     groups = scored.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    order = [F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "weight"]
-    groups = materialize(groups.where("eligible").repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).unionByName(groups.where("NOT eligible").withColumn("_range", F.lit(None).cast("int"))), "groups")
-    ranges = groups.where("eligible").groupBy("_range").agg(F.sum("_copies").alias("_n"))
+    groups = materialize(groups.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "groups")
+    ranges = groups.groupBy("_range").agg(F.sum("_copies").alias("_n"), F.sum(F.when(F.col("eligible"), F.col("_copies"))).alias("_of"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    most = F.floor(F.coalesce(ranges.agg(F.sum("_n")).scalar(), F.lit(0)) * percent / 100)
+    most = F.floor(F.coalesce(ranges.agg(F.sum("_of")).scalar(), F.lit(0)) * percent / 100)
     within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = groups.where("eligible").withColumn("_upto", F.sum("_copies").over(within)).join(F.broadcast(offsets), "_range")
+    placed = groups.withColumn("_upto", F.sum("_copies").over(within)).join(F.broadcast(offsets), "_range")
     first = F.col("_from") + F.col("_upto") - F.col("_copies")
     ranked = placed.select(*columns, F.explode(F.sequence(first + 1, first + F.col("_copies"))).alias("_rank"))
-    others = groups.where("NOT eligible").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_rank"))
-    ranked = ranked.select(*columns, F.when(F.col("_rank") <= most, F.col("_rank")).cast("long").alias("rank"))
-    return ranked.unionByName(others.select(*columns, F.lit(None).cast("long").alias("rank")))
+    return ranked.select(*columns, F.when(F.col("eligible") & (F.col("_rank") <= most), F.col("_rank")).cast("long").alias("rank"))
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
