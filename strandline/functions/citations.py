@@ -11,33 +11,41 @@ from strandline.functions.text import roman
 PARTS_SINCE = 1997
 
 
-def organ_parts(organ: Column) -> Column:
-    """Struct (series, part) of an organ such as ``BGBl. I Nr.``; the marker at its end says nothing."""
-    tokens = F.filter(F.split(F.lower(organ), r"[^a-zäöüß0-9]+"), lambda t: t != "")
-    bare = F.when((F.size(tokens) > 1) & F.element_at(tokens, -1).isin("nr", "s"), F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens)
-    has_part = (F.size(bare) > 1) & F.element_at(bare, -1).rlike("^i{1,3}$")
-    return F.struct(F.array_join(F.when(has_part, F.slice(bare, 1, F.size(bare) - 1)).otherwise(bare), "").alias("series"), F.when(has_part, F.element_at(bare, -1)).alias("part"))
+#: An organ's series, its part, and the number with its year, out of ``BGBl. I Nr. 84/2001`` and the like.
+_CITATION = r"(?i)^\s*(\p{L}+)\D*?(?:\s(I{1,3})\b\D*)?(\d+)(?:/(\d{4}))?\s*$"
+
+
+def citation(organ: Column, number: Column) -> Column:
+    """Struct (series, part, number, year) of a citation, its part and year null where it has none."""
+    field = lambda i: F.nullif(F.regexp_extract(F.concat_ws(" ", organ, number), _CITATION, i), F.lit(""))
+    return F.struct(F.lower(field(1)).alias("series"), F.lower(field(2)).alias("part"), field(3).alias("number"), field(4).try_cast("int").alias("year"))
+
+
+def dated(cited: Column) -> Column:
+    """A citation with the part that its year implies: the gazette's first part where it was left out, none before it had parts."""
+    implied = F.when(cited["year"] >= PARTS_SINCE, F.coalesce(cited["part"], F.lit("i")))
+    return cited.withField("part", F.when((cited["series"] == "bgbl") & cited["year"].isNotNull(), implied).otherwise(cited["part"]))
+
+
+def same(x: Column, y: Column) -> Column:
+    """Whether two structs of ``citation`` are one citation; what is none is equal to nothing."""
+    return x.eqNullSafe(y) & x["number"].isNotNull()
 
 
 def same_exact(a: Column, a_number: Column, b: Column, b_number: Column) -> Column:
-    """Same organ and number: the strictest rule."""
-    x, y = organ_parts(a), organ_parts(b)
-    return (x["series"] == y["series"]) & x["part"].eqNullSafe(y["part"]) & (a_number == b_number)
+    """Same series, part, number and year: the strictest rule."""
+    return same(citation(a, a_number), citation(b, b_number))
 
 
 def same_stored(stored: Column, stored_number: Column, cited: Column, cited_number: Column) -> Column:
-    """A citation against a stored one that names its part exactly: the cited part follows from the year where it was left out."""
-    r, c = organ_parts(stored), organ_parts(cited)
-    year = F.regexp_extract(cited_number, r"/(\d{4})$", 1).try_cast("int")
-    part = F.when(year < PARTS_SINCE, F.lit(None).cast("string")).otherwise(F.coalesce(c["part"], F.lit("i")))
-    expected = F.when((c["series"] != "bgbl") | year.isNull(), c["part"]).otherwise(part)
-    return (stored_number == cited_number) & (r["series"] == c["series"]) & r["part"].eqNullSafe(expected)
+    """A citation against a stored one that names its part exactly."""
+    return same(citation(stored, stored_number), dated(citation(cited, cited_number)))
 
 
 def same_cited(a: Column, a_number: Column, b: Column, b_number: Column) -> Column:
-    """Two texts' citations: a part that one side left out contradicts nothing."""
-    x, y = organ_parts(a), organ_parts(b)
-    return (a_number == b_number) & (x["series"] == y["series"]) & (x["part"].eqNullSafe(y["part"]) | x["part"].isNull() | y["part"].isNull())
+    """Two texts' citations, each completed by the part that the other names."""
+    x, y = citation(a, a_number), citation(b, b_number)
+    return same(x.withField("part", F.coalesce(x["part"], y["part"])), y.withField("part", F.coalesce(y["part"], x["part"])))
 
 
 def expanded(span: Column) -> Column:
@@ -114,14 +122,16 @@ def fnv1a64(text: Column) -> Column:
     return F.concat(half(hashed["hi"]), half(hashed["lo"]))
 
 
-def search_terms(raw: Column, most: int = 6, least: int = 2) -> Column:
-    """Terms (text, prefix) of a search: quotation marks dropped, a star at the end asks for words that begin so, the first ``most`` distinct texts of ``least`` characters or more."""
-    words = F.split(F.trim(F.regexp_replace(raw, r"\s+", " ")), " ")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, "[\"'„“”‚‘’»«›‹]", ""))
-    terms = F.transform(bare, lambda w: F.struct(F.lower(F.regexp_replace(w, r"\*$", "")).alias("text"), w.endswith("*").alias("prefix")))
-    long = F.filter(terms, lambda t: F.length(t["text"]) >= least)
-    texts = F.transform(long, lambda t: t["text"])
-    return F.slice(F.filter(long, lambda t, i: F.array_position(texts, t["text"]) == i + 1), 1, most)
+#: Quotation marks, which no search honours.
+QUOTES = "\"'„“”‚‘’»«›‹"
+
+
+def search_terms(raw: Column, most: int = 6) -> Column:
+    """Terms (text, prefix) of a search: the first ``most`` different words of two characters or more; a star at the end asks for words that begin so."""
+    asked = F.regexp_extract_all(F.translate(F.lower(raw), QUOTES, ""), F.lit(r"(?<!\S)\S*[^\s*]{2}\*?(?!\S)"), F.lit(0))
+    texts = F.transform(asked, lambda w: F.regexp_extract(w, r"^(.*?)\*?$", 1))
+    first = F.transform(F.array_distinct(texts), lambda t: F.element_at(asked, F.array_position(texts, t).cast("int")))
+    return F.slice(F.transform(first, lambda w: F.struct(F.regexp_extract(w, r"^(.*?)\*?$", 1).alias("text"), w.endswith("*").alias("prefix"))), 1, most)
 
 
 def within_caps(raw: Column, chars: int = 1000, words: int = 100) -> Column:

@@ -13,23 +13,33 @@ LEAST_JUDGED = 3
 LAW_SHARE = 0.7
 #: Characters that may stand in front of an elision as a heading.
 HEADING = 80
+#: What is no wording: notes, designations of units, marks of omission.
+_NOTE = r"\(anm\.\s*:[^)]*\)|\[\s*kommentar\s*:[^\]]*\]"
 _DESIGNATION = r"§+\s*\d+[a-z]*\.?|\(\d+[a-z]*\)|(?<![\p{L}\p{N}])\d+[a-z]?\.(?!\d)"
 _MARK = r"\.\.\.|…"
+#: One scan: what is no wording is consumed, what remains of three characters or more is a word.
+_SCAN = f"{_NOTE}|{_DESIGNATION}|{_MARK}|([\\p{{L}}\\p{{N}}§\u00AD\u2011-]{{3,}})"
+#: A cell that says nothing but what it leaves out.
+_NOTATION = f"(?i)(?:{_DESIGNATION}|{_MARK}|\\b(?:bis|und)\\b|[\\s,.;–-])+"
 
 
-def comparable_tokens(text: Column) -> Column:
-    """Lower-case words of more than two characters, without notes, designations, elisions and quotation marks."""
-    bare = F.regexp_replace(text, r"\(Anm\.\s*:[^)]*\)|\[\s*Kommentar\s*:[^\]]*\]", " ")
-    bare = F.regexp_replace(bare, f"{_DESIGNATION}|{_MARK}", " ")
-    bare = F.regexp_replace(F.lower(bare), "[„“”\"'‚‘’]", "")
-    return F.filter(F.split(F.regexp_replace(bare, "[\\u00AD\\u2011]", "-"), r"[^\p{L}\p{N}§-]+"), lambda w: F.length(w) > 2)
+def wording(text: Column) -> Column:
+    """The words of a text that count when two texts are compared, in order."""
+    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(_SCAN), F.lit(1)), lambda w: w != "")
+    return F.transform(found, lambda w: F.translate(w, "\u00AD\u2011", "--"))
 
 
-def coverage(column: Column, standing: Column) -> Column:
-    """Struct (comparable, missing, ratio, prose) of a column's words against a standing text: a bag test, order is no evidence."""
-    want, have = comparable_tokens(column), comparable_tokens(standing)
-    n, missing = F.size(want), F.size(F.filter(want, lambda w: ~F.array_contains(have, w)))
-    return F.struct(n.alias("comparable"), missing.alias("missing"), F.when(n == 0, 1.0).otherwise(1 - missing / n).alias("ratio"), (n >= PROSE).alias("prose"))
+def coverage(units: DataFrame, key: list[str], column: str, standing: str) -> DataFrame:
+    """Per unit, how many of a column's words a standing text lacks: key, comparable, missing, ratio, prose.
+
+    Words are counted per unit and word on both sides at once, so a unit's length costs no more than its words.
+    """
+    of = lambda c, n: units.select(*key, F.explode_outer(wording(F.col(c))).alias("_word"), F.lit(n).alias("_own"))
+    words = of(column, 1).unionByName(of(standing, 0)).groupBy(*key, "_word").agg(F.sum("_own").alias("n"), F.min("_own").alias("least"))
+    own = F.when(F.col("_word").isNotNull(), F.col("n")).otherwise(0)
+    counted = words.groupBy(*key).agg(F.sum(own).cast("int").alias("comparable"), F.sum(F.when(F.col("least") == 1, own).otherwise(0)).cast("int").alias("missing"))
+    ratio = F.when(F.col("comparable") == 0, 1.0).otherwise(1 - F.col("missing") / F.col("comparable"))
+    return counted.withColumn("ratio", ratio).withColumn("prose", F.col("comparable") >= PROSE)
 
 
 def law_verdicts(units: DataFrame, law: str) -> DataFrame:
@@ -43,14 +53,14 @@ def law_verdicts(units: DataFrame, law: str) -> DataFrame:
 def elision(current: Column, proposed: Column) -> Column:
     """elided (both columns only say that text is left out), range (only how far it is differs) or null.
 
-    A heading may stand in front if both print it alike; digits that differ are never elided.
+    Cells are notation throughout, with the same digits; or alike, with no more than a heading beside the notation.
     """
-    rest = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, f"{_DESIGNATION}|{_MARK}", " "), r"(?:\bbis\b|\bund\b|[\s,.;–-])+", " "))
-    digits = lambda t: F.regexp_replace(t, r"\D", "")
     marked = current.rlike(_MARK) & proposed.rlike(_MARK)
-    bare = (rest(current) == "") & (rest(proposed) == "")
-    same = digits(current) == digits(proposed)
-    return F.when(marked & bare & same, "elided").when(marked & bare, "range").when(marked & (current == proposed) & (F.length(rest(current)) <= HEADING), "elided")
+    bare = current.rlike(f"^{_NOTATION}$") & proposed.rlike(f"^{_NOTATION}$")
+    digits = lambda t: F.regexp_extract_all(t, F.lit(r"\d"), F.lit(0))
+    heading = F.trim(F.regexp_replace(current, _NOTATION, " "))
+    alike = (current == proposed) & (F.length(heading) <= HEADING)
+    return F.when(marked, F.when(bare, F.when(digits(current) == digits(proposed), "elided").otherwise("range")).when(alike, "elided"))
 
 
 def segmented(blocks: DataFrame, key: list[str], pos: str, text: str, opens: Column) -> DataFrame:

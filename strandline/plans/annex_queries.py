@@ -12,9 +12,9 @@ from strandline.plans.base import registry, table
 QUERIES, SQL, query = registry()
 
 #: A turn is the column that a unit prints, the turn before it the standing text; a conversation is the law.
-_COVER_SQL = r"""c AS (SELECT conv_id AS law, turn AS unit, text AS column_text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS standing FROM conversations),
-w AS (SELECT law, unit, list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(column_text, '§+\s*\d+[a-z]*\.?|\(\d+[a-z]*\)|(^|[^\p{L}\p{N}])\d+[a-z]?\.(?:(\D)|$)|\.\.\.|…', '\1 \2', 'g')), '[„“”"''‚‘’]', '', 'g'), '[^\p{L}\p{N}§-]+'), lambda x: length(x) > 2) AS want,
-  list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(standing, '§+\s*\d+[a-z]*\.?|\(\d+[a-z]*\)|(^|[^\p{L}\p{N}])\d+[a-z]?\.(?:(\D)|$)|\.\.\.|…', '\1 \2', 'g')), '[„“”"''‚‘’]', '', 'g'), '[^\p{L}\p{N}§-]+'), lambda x: length(x) > 2) AS have FROM c WHERE standing IS NOT NULL AND column_text IS NOT NULL),
+_WORDS = r"list_filter(regexp_extract_all(lower({}), '\(anm\.\s*:[^)]*\)|\[\s*kommentar\s*:[^\]]*\]|§+\s*\d+[a-z]*\.?|\(\d+[a-z]*\)|\d+[a-z]?\.|\.\.\.|…|([\p{{L}}\p{{N}}§-]{{3,}})', 1), lambda x: x <> '')"
+_COVER_SQL = f"""c AS (SELECT conv_id AS law, turn AS unit, text AS column_text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS standing FROM conversations),
+w AS (SELECT law, unit, {_WORDS.format("column_text")} AS want, {_WORDS.format("standing")} AS have FROM c WHERE standing IS NOT NULL AND column_text IS NOT NULL),
 v AS (SELECT law, unit, len(want) AS comparable, len(list_filter(want, lambda x: NOT list_contains(have, x))) AS missing FROM w)"""
 
 
@@ -22,7 +22,7 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("law"), F.col("turn").alias("unit"), F.col("text").alias("column_text"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("standing"))
-    return c.where("standing IS NOT NULL AND column_text IS NOT NULL").select("law", "unit", annex.coverage(F.col("column_text"), F.col("standing")).alias("c")).select("law", "unit", "c.*")
+    return annex.coverage(c.where("standing IS NOT NULL AND column_text IS NOT NULL"), ["law", "unit"], "column_text", "standing")
 
 
 @query(f"WITH {_COVER_SQL} SELECT law, unit, CAST(comparable AS INTEGER) AS comparable, CAST(missing AS INTEGER) AS missing, CASE WHEN comparable = 0 THEN 1 ELSE 1 - missing / comparable END AS ratio, comparable >= 5 AS prose FROM v")
