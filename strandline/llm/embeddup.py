@@ -113,13 +113,24 @@ def angle(a: str, b: str) -> Column:
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, h1, h2, v) with ``v`` of length one; null where the vector is null, empty, zero or holds null or non-finite components."""
-    e = F.col("embedding").cast("array<double>")
-    fit = (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select("vec_id", F.when(F.coalesce(fit, F.lit(False)), e).alias("e"))
-    # Scaled by the largest component first, so that no square overflows or vanishes.
-    rows = rows.withColumn("_most", F.array_max(F.transform("e", F.abs))).select("vec_id", F.xxhash64("e").alias("h1"), F.xxhash64(F.lit("second"), "e").alias("h2"), F.transform("e", lambda x: x / F.col("_most")).alias("e"))
-    rows = rows.withColumn("_length", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))
-    return rows.select("vec_id", "h1", "h2", F.transform("e", lambda x: x / F.col("_length")).alias("v"))
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes, flat = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            found: list[np.ndarray | None] = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                x = flat[a:b].astype(np.float64)
+                # Scaled by the largest component first, so that no square overflows or vanishes.
+                most = np.abs(x).max() if b > a else 0.0
+                fit = np.isfinite(most) and most > 0
+                found.append((x / most) / np.linalg.norm(x / most) + 0.0 if fit else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["vec_id", "v"])
+
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(scale, f"vec_id {kind}, v array<double>")
+    return rows.select("vec_id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("second"), "v").alias("h2"), "v")
 
 
 def balls_of(classes: DataFrame, keys: DataFrame, least: int, cosine: float) -> DataFrame:
@@ -182,7 +193,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     are kept. Vectors of any dimension count whole; an empty table gives no rows;
     other columns are ignored.
     """
-    rows = unit_vectors(vectors)
+    rows = materialize(unit_vectors(vectors), "vectors")
     fit = rows.where("v IS NOT NULL")
     classes = materialize(fit.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     directions = directions_for(classes.count())
