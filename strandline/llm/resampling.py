@@ -28,9 +28,9 @@ PERCENT = 5
 SEED = 42
 LEAST_WORDS = 20
 #: Bytes of text that DuckDB is given at once; a longer document is given alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: DuckDB's memory in a task; beyond it, it spills to the task's temporary folder.
-MEMORY = "256MB"
+MEMORY = "160MB"
 #: Fixed value: what separates words, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
