@@ -216,8 +216,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     labelled = size.select("ball", "members").join(joined.withColumnRenamed("node", "ball"), "ball", "left").join(beside, "ball", "left").select("ball", "members", F.coalesce("component", "ball").alias("component"), F.coalesce("beside", F.lit(0)).alias("beside"))
     several = some.groupBy("cid").agg(F.sum("n").alias("several"))
     placed_in = materialize(balls.select("cid", "ball", "rep").join(labelled, "ball"), "labelled")
-    least_id = placed_in.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = placed_in.join(least_id, "component").join(several, "cid", "left").select("cid", "component_id", (F.col("members") - 1 + F.col("beside") + F.coalesce("several", F.lit(0))).cast("long").alias("n_links"))
+    least_id = placed_in.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("held"))
+    found = joined_spread(placed_in, least_id, ["component"], "held").join(several, "cid", "left").select("cid", "component_id", (F.col("members") - 1 + F.col("beside") + F.coalesce("several", F.lit(0))).cast("long").alias("n_links"))
     of_class = materialize(classes.select("cid", "h1", "h2", "copies").join(found, "cid"), "found")
     linked = joined_spread(fit.select("vec_id", "h1", "h2"), of_class, ["h1", "h2"], "copies").select("vec_id", "n_links", "component_id")
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
