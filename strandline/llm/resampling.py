@@ -73,23 +73,38 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield begun, len(texts)
 
 
+_SUM = pa.struct([("bucket", pa.int32()), ("n", pa.int64())])
+
+
+def packed(lists: pa.ListArray, kind: type) -> pa.Array:
+    """Lists of numbers as the bytes of numpy's ``kind``; a count beyond it fails."""
+    flat = lists.flatten().to_numpy()
+    if len(flat) and flat.max() > np.iinfo(kind).max:
+        raise OverflowError("a document has more features of one bucket than its counter holds")
+    ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.astype(kind))])
+
+
 def words_of(features: np.ndarray) -> pa.Array:
     """How many words have so many runs of one to three."""
     return pa.array(np.where(features < 2, features, features // 3 + 1), pa.int64())
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Bucket counts of every row of ``docs`` (doc_id, text): doc_id, n_words, n_features, buckets, counts, total.
+    """Bucket counts of every row of ``docs`` (doc_id, text): doc_id, n_words, n_features, buckets, counts, totals.
 
-    ``total`` marks one further row per partition with the partition's sums.
-    Buckets without a feature are left out, so a document of any length has at
-    most ``buckets`` of them.
+    ``buckets`` and ``counts`` are packed little-endian numbers of 2 and 4 bytes;
+    buckets without a feature are left out, so a document of any length has at
+    most ``buckets`` of them (65,536 at most). One further row per partition has
+    the partition's sums in ``totals``, which is null in a document's row.
     """
+    if buckets > 1 << 16:
+        raise ValueError("a bucket is packed in two bytes")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        names = ["doc_id", "n_words", "n_features", "buckets", "counts", "total"]
+        names = ["doc_id", "n_words", "n_features", "buckets", "counts", "totals"]
         sums, id_type = np.zeros(buckets, np.int64), None
         with tempfile.TemporaryDirectory() as spill, contextlib.closing(duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill})) as con:
             con.create_function("crc32", crc32, ["VARCHAR", "UINTEGER"], "UINTEGER", type="arrow", null_handling="special")
@@ -102,20 +117,21 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                     con.unregister("batch")
                     features, held, n = (got.column(c).chunk(0) for c in range(3))
                     np.add.at(sums, held.flatten().to_numpy(), n.flatten().to_numpy())
-                    yield pa.RecordBatch.from_arrays([ids, words_of(features.to_numpy()), features, held, n, pa.array([False] * len(ids))], names=names)
+                    yield pa.RecordBatch.from_arrays([ids, words_of(features.to_numpy()), features, packed(held, np.uint16), packed(n, np.uint32), pa.nulls(len(ids), pa.list_(_SUM))], names=names)
             if sums.any():
                 at = np.flatnonzero(sums)
-                made = [pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.array([int(sums.sum())], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([sums[at]], pa.list_(pa.int64())), pa.array([True])]
+                total = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], names=["bucket", "n"]))
+                made = [pa.nulls(1, id_type), pa.array([0], pa.int64()), pa.array([int(sums.sum())], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), total]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_words long, n_features long, buckets array<int>, counts array<long>, total boolean")
+    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_words long, n_features long, buckets binary, counts binary, totals array<struct<bucket: int, n: long>>")
 
 
 def merged(counts: DataFrame) -> DataFrame:
     """The partitions' totals summed: bucket, n."""
-    pairs = counts.where("total").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x"))
-    return pairs.groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
+    pairs = counts.select(F.explode("totals").alias("x"))
+    return pairs.groupBy("x.bucket").agg(F.sum("x.n").alias("n"))
 
 
 def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -138,14 +154,11 @@ def weighed(counts: DataFrame, found: DataFrame) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets, counts = batch.column(3), batch.column(4)
-            sums = np.concatenate([[0], np.cumsum(gain[buckets.flatten().to_numpy()] * counts.flatten().to_numpy())])
-            ends = np.cumsum(pc.list_value_length(buckets).to_numpy())
-            weights = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+            weights = [int(gain[np.frombuffer(b, np.uint16)] @ np.frombuffer(c, np.uint32)) for b, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weights, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
 
     kind = counts.schema["doc_id"].dataType.simpleString()
-    return counts.where("NOT total").select("doc_id", "n_words", "n_features", "buckets", "counts").mapInArrow(weigh, f"doc_id {kind}, n_words long, n_features long, weight long")
+    return counts.where("totals IS NULL").select("doc_id", "n_words", "n_features", "buckets", "counts").mapInArrow(weigh, f"doc_id {kind}, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:
@@ -189,7 +202,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     weights against a flat distribution. Other columns are ignored.
     """
     counts = materialize(bucket_counts(docs, buckets), "buckets")
-    wanted = materialize(bucket_counts(target.select(F.lit(0).alias("doc_id"), "text"), buckets).where("total"), "target")
+    wanted = materialize(bucket_counts(target.select(F.lit(0).alias("doc_id"), "text"), buckets).where("totals IS NOT NULL"), "target")
     found = materialize(gains(merged(counts), merged(wanted), buckets), "gains")
     scored = weighed(counts, found).select("*", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score"), (F.col("n_words") >= least_words).alias("eligible"))
     return drawn(scored, percent).select("doc_id", "n_words", "n_features", "weight", "score", "rank")
