@@ -26,7 +26,9 @@ LEAST = 0.6
 #: A file is a licence file if its matching sentences hold this share of its words, or its name says so.
 FILE_SHARE = 0.5
 
-#: Notices and opening sentences of common licences.
+#: What stands beside many licences; it says something only where nothing else does.
+RESERVED = "All rights reserved."
+#: Notices, headings and opening sentences of common licences.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
@@ -49,7 +51,19 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work: CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("proprietary", "All rights reserved."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("proprietary", RESERVED),
 ]
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
@@ -76,6 +90,14 @@ FILE_TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."),
 ]
+#: The notice's other versions and licences.
+_GNU = dict(FILE_TEMPLATES)["GPL-3.0"]
+FILE_TEMPLATES += [
+    ("GPL-2.0", _GNU.replace("version 3", "version 2")),
+    ("LGPL-2.1", _GNU.replace("version 3", "version 2.1").replace("General Public", "Lesser General Public")),
+    ("LGPL-3.0", _GNU.replace("General Public", "Lesser General Public")),
+    ("AGPL-3.0", _GNU.replace("General Public", "Affero General Public")),
+]
 #: Names of licence files, without their extension.
 FILE_NAMES = ["license", "licence", "copying", "copyright", "unlicense", "notice"]
 
@@ -151,10 +173,22 @@ def pattern(words: list[str]) -> str:
     return r"\b(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in initials) + r")\b"
 
 
+#: What opens a comment's line, and where joined lines end a sentence.
+_COMMENT = r"(?m)^[ \t]*(?://+|#+|/?\*+/?|--+|;+|%+|<!--)[ \t]?"
+_END = r"(?<=[.!?])\s+(?=[\p{Lu}\"'(])"
+
+
 def sentences(text: Column) -> Column:
+    """The pieces of a text's lines, as they stand."""
     return F.split(text, r"\n|(?<=[.!?;:]) ")
 
 
+def joined_sentences(text: Column) -> Column:
+    """The sentences of a text's paragraphs: comment marks dropped, wrapped lines joined."""
+    paragraphs = F.split(F.regexp_replace(text, _COMMENT, ""), r"\n[ \t\r]*\n")
+    return F.flatten(F.transform(paragraphs, lambda p: F.split(F.trim(F.regexp_replace(p, r"\s+", " ")), _END)))
+
+
 def term_counts(text: Column) -> Column:
     """(term, n) of a text's terms with their damped counts: sorted, then cut where the term changes."""
     words = F.array_sort(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""))
@@ -194,23 +228,31 @@ def detect(files: DataFrame) -> DataFrame:
     """Add to every row of ``files`` (path, text): license, score, file_share.
 
     ``license`` is that of the licence nearest to the whole text or, if none is
-    within ``LEAST``, of the notice nearest to any sentence (null if none is), ``score`` its cosine (0 if none),
+    within ``LEAST``, of the notice or heading nearest to any sentence, as its
+    lines stand and as wrapped lines read without comment marks (null if none is;
+    reserved rights only if no licence is), ``score`` its cosine (0 if none),
     ``file_share`` the share of words in matching sentences, 1 if the whole text
     is a licence. Null and empty texts have none; texts are read whole. Columns
     of these names are replaced, others pass through.
     """
     anchor = pattern(anchors())
-    hits = F.filter(sentences(F.col("text")), lambda x: F.lower(x).rlike(anchor))
-    hits = F.when(F.lower("text").rlike(anchor), hits).otherwise(F.array().cast("array<string>"))
-    found = F.filter(F.transform(hits, lambda x: F.struct(best_match(x, TEMPLATES).alias("m"), F.regexp_count(x, F.lit(WORD)).alias("words"))), lambda x: x["m"]["score"] >= LEAST)
+
+    def matched(parts: Column) -> Column:
+        hits = F.when(F.lower("text").rlike(anchor), F.filter(parts, lambda x: F.lower(x).rlike(anchor))).otherwise(F.array().cast("array<string>"))
+        found = F.filter(F.transform(hits, lambda x: F.struct(best_match(x, TEMPLATES).alias("m"), F.regexp_count(x, F.lit(WORD)).alias("words"))), lambda x: x["m"]["score"] >= LEAST)
+        return F.coalesce(found, F.array().cast(found_type()))
+
     named = F.regexp_count(F.lower("text"), F.lit(pattern(anchors(whole=True)))) >= FILE_ANCHORS
     nothing = F.lit(None).cast("struct<score:double,license:string>")
     whole = F.when(named, best_match(F.col("text"), FILE_TEMPLATES)).otherwise(nothing)
-    files = files.withColumn("_found", F.coalesce(found, F.array().cast(found_type()))).withColumn("_whole", F.when(whole["score"] >= LEAST, whole))
-    # A sentence may stand in several licences; the whole text tells them apart.
-    best = F.coalesce(F.col("_whole"), F.array_max(F.transform("_found", lambda x: x["m"])))
-    share = F.when(F.col("_whole").isNotNull(), F.lit(1.0)).when(F.size("_found") == 0, F.lit(0.0)).otherwise(F.aggregate("_found", F.lit(0), lambda n, x: n + x["words"]) / F.greatest(F.regexp_count("text", F.lit(WORD)), F.lit(1)))
-    return files.withColumn("license", best["license"]).withColumn("score", F.coalesce(best["score"], F.lit(0.0))).withColumn("file_share", share).drop("_found", "_whole")
+    wrapped = F.col("text").contains("\n")
+    files = files.withColumn("_lines", matched(sentences(F.col("text")))).withColumn("_joined", F.when(wrapped, matched(joined_sentences(F.col("text")))).otherwise(F.array().cast(found_type()))).withColumn("_whole", F.when(whole["score"] >= LEAST, whole))
+    # A sentence may stand in several licences; the whole text tells them apart. Reserved rights count where nothing else is found.
+    every = F.transform(F.concat("_lines", "_joined"), lambda x: x["m"])
+    best = F.coalesce(F.col("_whole"), F.array_max(F.filter(every, lambda m: m["license"] != "proprietary")), F.array_max(every))
+    said = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["words"])
+    share = F.when(F.col("_whole").isNotNull(), F.lit(1.0)).otherwise(F.coalesce(F.greatest(said("_lines"), said("_joined")) / F.greatest(F.regexp_count("text", F.lit(WORD)), F.lit(1)), F.lit(0.0)))
+    return files.withColumn("license", best["license"]).withColumn("score", F.coalesce(best["score"], F.lit(0.0))).withColumn("file_share", share).drop("_lines", "_joined", "_whole")
 
 
 def found_type() -> str:
