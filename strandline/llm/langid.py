@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ PROFILE = 20000
 PROBES = 3
 #: A language keeps a trigram only if its rate there is this share of the highest rate anywhere.
 SHARE = 0.25
+#: Share of a text's trigrams that one language has to contain for the text to be in it, judged from so many trigrams on.
+KNOWN = 2 / 3
+JUDGED = 50
 #: Characters handled by one numpy pass at most (whole texts; a longer text is a pass of its own).
 PASS_CHARS = 2_000_000
 
@@ -110,23 +114,29 @@ class Filter:
             out &= self.slices[:, self.slots(grams, p)]
         return out
 
-    def decide(self, texts: list[str]) -> list[tuple[str, float]]:
+    def tally(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many trigrams of each text each language contains, false positives taken off, and how many each text has."""
         n = len(texts)
         grams, text_no = trigrams(texts)
         text_no = text_no.astype(np.int64)
         total = np.bincount(text_no, minlength=n).astype(float)
-        if not self.languages:
-            return [("und", 0.0)] * n
-        masks = self.masks(grams)
         counts = np.zeros((len(self.languages), n))
-        for k in range(len(self.languages)):
-            hit = ((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
-            counts[k] = np.bincount(text_no[hit], minlength=n)
-        fp = self.false_rate[:, None]
-        counts = np.maximum(0.0, (counts - fp * total) / np.maximum(1e-9, 1 - fp))
+        if self.languages:
+            masks = self.masks(grams)
+            for k in range(len(self.languages)):
+                hit = ((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
+                counts[k] = np.bincount(text_no[hit], minlength=n)
+            fp = self.false_rate[:, None]
+            counts = np.maximum(0.0, (counts - fp * total) / np.maximum(1e-9, 1 - fp))
+        return counts, total
+
+    def named(self, counts: np.ndarray, total: np.ndarray) -> list[tuple[str, float]]:
+        """Language and score of each text from its tally."""
+        if not self.languages:
+            return [("und", 0.0)] * len(total)
         best, sums = counts.argmax(axis=0), counts.sum(axis=0)
         out = []
-        for i in range(n):
+        for i in range(len(total)):
             if not total[i]:
                 out.append(("und", 0.0))
             elif not sums[i]:
@@ -135,6 +145,9 @@ class Filter:
                 out.append((self.languages[best[i]], float(counts[best[i], i] / sums[i])))
         return out
 
+    def decide(self, texts: list[str]) -> list[tuple[str, float]]:
+        return self.named(*self.tally(texts))
+
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, profile: int = PROFILE) -> Filter:
     """Learn a filter from ``labelled`` (text, lang), a bounded sample of whole texts per language.
@@ -232,19 +245,31 @@ def predict_documents(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in a language, with the columns they have: rows that get ``und`` (null texts, texts without a letter) go.
+def keep_identified(docs: DataFrame, known: float = KNOWN, least: int = JUDGED) -> DataFrame:
+    """The documents in one learned language, with the columns they have.
 
-    Repeated rows stay or go together; no documents give no rows.
+    Rows that get ``und`` go (null texts, texts without a letter), and so do texts
+    of at least ``least`` trigrams whose best language contains less than
+    ``known`` of them: texts in languages that were not learned, in several at
+    once, or in none. A row without a ``lang`` gets the predicted one. Whole
+    texts are read, however long. Repeated rows stay or go together; no
+    documents give no rows; other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out(F.col("doc_id")))))
-    at = docs.columns.index("text")
+    at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[bool] = []
+            stays: list[bool] = []
+            langs: list[str] = []
             for _, run in passes(batch.column(at).to_pylist()):
-                found += [lang != "und" for lang, _ in shared.value.decide(run)]
-            yield batch.filter(pa.array(found, pa.bool_()))
+                counts, total = shared.value.tally(run)
+                best = counts.max(axis=0) if len(counts) else np.zeros(len(run))
+                names = [lang for lang, _ in shared.value.named(counts, total)]
+                stays += [lang != "und" and (n < least or b >= known * n) for lang, n, b in zip(names, total, best, strict=True)]
+                langs += names
+            told = pc.coalesce(batch.column(lang_at), pa.array(langs, batch.schema.field(lang_at).type))
+            columns = [told if i == lang_at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
