@@ -171,6 +171,16 @@ def roman(text: Column) -> Column:
     return F.when(text.rlike("^(?=.)M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"), total)
 
 
+#: How a decimal digit is written in each place.
+_ROMAN = (["", "M", "MM", "MMM"], ["", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"], ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"], ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"])
+
+
+def to_roman(number: Column) -> Column:
+    """Roman numeral of a whole number from 1 to 3999; null for anything else."""
+    digit = lambda place, power: F.element_at(F.array(*map(F.lit, place)), (F.floor(number / power) % 10 + 1).cast("int"))
+    return F.when(number.between(1, 3999), F.concat(*[digit(place, 10 ** (3 - i)) for i, place in enumerate(_ROMAN)]))
+
+
 def citations(text: Column) -> Column:
     """Cited numbers of the form ``12/1999`` or ``2011/92``, distinct, in order."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(\d{1,4}/\d{2,4})\b"), 1))

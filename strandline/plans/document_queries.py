@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text
 from strandline.operators import amend, diffs, ordered, privacy
 from strandline.plans.base import DRAFTS_SQL, drafts, registry, table
-from strandline.sources import scans, sinks
+from strandline.sources import pages, scans, sinks
 from strandline.streaming import usage
 
 QUERIES, SQL, query = registry()
@@ -192,18 +191,25 @@ def drifting_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", *scans.drifting(F.col("props"), {"k": ("$.k", "long")}), F.size(scans.one_or_many(F.col("props"), "$.k", "long")).alias("many"))
 
 
-@query("""SELECT * FROM (VALUES ('http://x/1', '31'), ('http://x/2', NULL)) t(act, n)""")
+@query("""SELECT 'http://register.example/act/' || c_custkey AS act, CASE WHEN c_acctbal >= 0 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) END AS n, c_name AS label FROM customer""")
 def result_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bindings of a graph query's answer as rows."""
-    answer = {"head": {"vars": ["act", "n"]}, "results": {"bindings": [{"act": {"type": "uri", "value": "http://x/1"}, "n": {"type": "literal", "value": "31"}}, {"act": {"type": "uri", "value": "http://x/2"}}]}}
-    raw = spark.createDataFrame([(json.dumps(answer),)], "j string").select(scans.strict_json(F.col("j"), scans.BINDINGS_SCHEMA).alias("d")).select("d.*")
-    return scans.bindings(raw, ["act", "n"])
-
-
-@query("""SELECT page, count(*) AS n, min(pos) AS first_pos FROM (SELECT CAST(i // 40 AS INTEGER) AS page, i AS pos FROM range(0, 190) t(i)) GROUP BY 1""")
+    """Bindings of a graph query's answers, a hundred to an answer, as rows; a variable may be unbound."""
+    c = table(spark, sf_dir, "customer")
+    node = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    act = F.concat(F.lit("http://register.example/act/"), F.col("c_custkey").cast("string"))
+    bound = F.struct(node("uri", act).alias("act"), F.when(F.col("c_acctbal") >= 0, node("literal", F.floor("c_acctbal").cast("string"))).alias("n"), node("literal", F.col("c_name")).alias("label"))
+    answers = c.groupBy(F.floor(F.col("c_custkey") / 100)).agg(F.struct(F.collect_list(bound).alias("bindings")).alias("results"))
+    head = F.struct(F.array(*map(F.lit, ("act", "n", "label"))).alias("vars"))
+    raw = answers.select(F.to_json(F.struct(head.alias("head"), "results")).alias("j")).select(scans.strict_json(F.col("j"), scans.BINDINGS_SCHEMA).alias("d")).select("d.*")
+    return scans.bindings(raw, ["act", "n", "label"])
+
+
+@query("""SELECT page, count(*) AS n, min(o_orderkey) AS first_key, max(number) AS last_number FROM (SELECT *, file_row_number // 1000 AS page, (SELECT count(*) FROM orders) - 1 - file_row_number AS number FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS file_row_number FROM orders)) WHERE o_orderkey >= 200 AND o_totalprice < 400000 GROUP BY 1""")
 def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A connector with one partition per page."""
-    return scans.paged(spark, 190, 40).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+    """Orders through a connector with a partition per page and pushed filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    orders = pages.listed(spark, f"{sf_dir}/orders.parquet", 1000).where("o_orderkey >= 200 AND o_totalprice < 400000")
+    return orders.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("number").alias("last_number"))
 
 
 @query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders""")

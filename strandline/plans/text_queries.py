@@ -93,17 +93,21 @@ def parsed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("id", F.col("day").cast("string").alias("day"), dates.deadline_class(F.col("day"), F.date_add("day", (F.col("id") % 60).cast("int"))).alias("class"))
 
 
-@query("""SELECT n, v FROM (VALUES ('I', 1), ('IV', 4), ('XIV', 14), ('XL', 40), ('XCIX', 99), ('CD', 400), ('MCMXCIV', 1994), ('IIII', NULL), ('', NULL), ('ABC', NULL)) t(n, v)""")
+@query("""SELECT p_partkey AS id, CASE WHEN n > 0 THEN repeat('M', n // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] END AS numeral,
+  CASE WHEN n > 0 AND n % 7 > 0 THEN n END AS value FROM (SELECT p_partkey, CAST(p_partkey * 7919 % 4000 AS INTEGER) AS n FROM part)""")
 def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of Roman numerals; malformed ones have none."""
-    names = ["I", "IV", "XIV", "XL", "XCIX", "CD", "MCMXCIV", "IIII", "", "ABC"]
-    return spark.createDataFrame([(n,) for n in names], "n string").select("n", text.roman(F.col("n")).alias("v"))
+    """Numbers as Roman numerals and back; every seventh numeral is spoilt by four equal letters, which no number has."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 4000).cast("int").alias("n"))
+    numeral = text.to_roman(F.col("n"))
+    spoilt = F.when(F.col("n") % 7 == 0, F.concat(numeral, F.lit("IIII"))).otherwise(numeral)
+    return p.select("id", numeral.alias("numeral"), text.roman(spoilt).alias("value"))
 
 
-@query("""SELECT n, v FROM (VALUES ('', 2166136261), ('a', 3826002220), ('foobar', 3214735720)) t(n, v)""")
+@query("""SELECT p_partkey AS id, list_reduce(list_prepend(2166136261, list_transform(range(1, octet_length(encode(name)) + 1), lambda i: CAST(('0x' || substr(hex(encode(name)), 2 * i - 1, 2)) AS BIGINT))), lambda h, b: xor(h, b) * 16777619 % 4294967296) AS hash FROM (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_partkey AS name FROM part)""")
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FNV-1a of a few strings, exact in 32 bits."""
-    return spark.createDataFrame([("",), ("a",), ("foobar",)], "n string").select("n", text.fnv1a32(F.col("n")).alias("v"))
+    """FNV-1a of every part's name, exact in 32 bits."""
+    name = F.concat_ws(" ", "p_name", "p_type", F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.fnv1a32(name).alias("hash"))
 
 
 @query("""SELECT conv_id, turn, NOT regexp_matches(text, '[A-Za-z]') AS no_words, CASE WHEN regexp_matches(lower(text), 'thank|please') THEN 'polite' WHEN contains(text, '?') THEN 'question' ELSE 'other' END AS kind FROM conversations""")

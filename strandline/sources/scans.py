@@ -1,16 +1,13 @@
-"""Scans: positional list rows, drifting JSON, result bindings, documents as blocks, paged reads with repair."""
+"""Scans: positional list rows, drifting JSON, result bindings, documents as blocks, repair of paged reads."""
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LIST_SCHEMA = "header array<string>, rows array<array<string>>"
 BINDINGS_SCHEMA = "head struct<vars: array<string>>, results struct<bindings: array<map<string, struct<type: string, value: string>>>>"
@@ -79,39 +76,6 @@ def repaired(pages: DataFrame, key: str, day: str, total: int, reread) -> tuple[
     return every, every.agg(F.count(F.lit(1)).alias("rows"), (F.lit(total) - F.count(F.lit(1))).alias("missing"))
 
 
-class PageReader(DataSourceReader):
-    """A partition per page; how many pages there are is asked once, on the driver."""
-
-    def __init__(self, schema: T.StructType, options: dict):
-        self.schema, self.total, self.size = schema, int(options.get("total", 0)), int(options.get("pagesize", 100))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(page) for page in range(-(-self.total // self.size))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for number in range(partition.value * self.size, min(self.total, (partition.value + 1) * self.size)):
-            yield (partition.value, number, f"record {number}")
-
-
-class PagedSource(DataSource):
-    """The shape of a connector to a paged interface; ``read`` of the reader is what a real one overrides."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "strandline_pages"
-
-    def schema(self) -> str:
-        return "page int, pos long, text string"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return PageReader(schema, self.options)
-
-
-def paged(spark: SparkSession, total: int, size: int) -> DataFrame:
-    spark.dataSource.register(PagedSource)
-    return spark.read.format("strandline_pages").option("total", total).option("pagesize", size).load()
-
-
 _BLOCK = re.compile(r"(?is)<(h[1-6]|p|li|td|th)\b([^>]*)>(.*?)(?=</\1\s*>|<(?:h[1-6]|p|li|td|th)\b|\Z)")
 _CLASS = re.compile(r"""(?i)class\s*=\s*["']?([^"'\s>]+)""")
 
