@@ -50,3 +50,18 @@ def merged_timeline(a: DataFrame, b: DataFrame, group: list[str], day: str, pos:
     """Two lists as one by day; an undated row takes the day of the row before it; rows of ``a`` first on ties."""
     both = carried(a.withColumn("side", F.lit(0)), group, [pos], day, "at").unionByName(carried(b.withColumn("side", F.lit(1)), group, [pos], day, "at"))
     return both.withColumn("line", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("at").asc_nulls_first(), "side", pos)))
+
+
+def positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """Number all rows from 1 in ``order``, which should be total, without putting them into one task.
+
+    Rows are dealt over ranges of the order and written; each range is numbered
+    by itself, from the sum of the ranges before it. Only the ranges' sizes, a row each, pass through one task.
+    """
+    from strandline.sources.shared import written
+
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return placed.join(F.broadcast(sizes), "_range").select(*df.columns, (F.col("_from") + F.col("_at")).alias(name))

@@ -257,7 +257,8 @@ def title_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cores (here whole passages) that occur in documents.
 
     The longest run of three whole words of a core is looked up by equality among the documents' three-word runs, then the
-    whole core is confirmed. Cores of fewer than five words have no such run and are sought in every document.
+    whole core is confirmed. Cores of fewer than five words have no such run: they are looked up by three of their characters,
+    and those of fewer characters, which cannot be many, in every document.
     """
     # A core may begin or end inside a word; the words between are whole.
     cores = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.lower("text").alias("core")).withColumn("w", F.split("core", r"\s"))
@@ -270,8 +271,14 @@ def title_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = words.where(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("run"))
     asked = runs.join(keyed, "run").select(F.col("doc_id").alias("_id"), "item_id", "core").distinct()
     met = asked.join(docs, F.col("doc_id").eqNullSafe(F.col("_id")) & F.contains("low", F.col("core"))).select("item_id", "doc_id")
-    short = docs.join(F.broadcast(cores.where(F.size("w") < 5)), F.contains("low", F.col("core"))).select("item_id", "doc_id")
-    return met.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+    few = cores.where("size(w) < 5").select("item_id", "core")
+    triples = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    by_three = few.where(F.length("core") >= 3).select("item_id", "core", F.array_max(triples("core")).alias("three"))
+    held = docs.where(F.length("low") >= 3).select("doc_id", "low", F.explode(triples("low")).alias("three")).join(by_three.select("three").distinct(), "three", "left_semi")
+    short = held.join(by_three, "three").where(F.contains("low", F.col("core"))).select("item_id", "doc_id")
+    tiny = few.where(F.length("core") < 3).groupBy("core").agg(F.collect_list("item_id").alias("items"))
+    least = docs.join(F.broadcast(tiny), F.contains("low", F.col("core"))).select(F.explode("items").alias("item_id"), "doc_id")
+    return met.unionByName(short).unionByName(least).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""SELECT region, k, CAST(rank AS INTEGER) AS rank FROM (SELECT r_name AS region, o_orderkey AS k, row_number() OVER (PARTITION BY r_name ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) WHERE rank <= 5""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import citations, dates, similarity, text
-from strandline.operators import lists
+from strandline.operators import lists, ordered
 from strandline.plans.base import DRAFTS_SQL, drafts, registry, table
 
 QUERIES, SQL, query = registry()
@@ -149,12 +149,12 @@ def moving_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", F.avg("value").over(rows).alias("moving"), F.count(F.lit(1)).over(span).alias("near"))
 
 
-@query("""SELECT id, CAST(pos AS INTEGER) AS pos FROM (SELECT s_suppkey AS id, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN 0 WHEN s_suppkey % 3 = 1 THEN 1 ELSE 2 END, s_suppkey % 50, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'a' END, s_suppkey) AS pos FROM supplier)""")
+@query("""SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_custkey % 3, o_orderkey % 997, CASE WHEN o_orderstatus = 'F' THEN '' ELSE lower(o_orderstatus) END, o_orderkey) AS pos FROM orders""")
 def designation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units in the order a law prints them: articles, paragraphs, annexes, each by number and then letter."""
-    k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").select(k.alias("id"), F.when(k % 3 == 0, 0).when(k % 3 == 1, 1).otherwise(2).alias("kind"), F.concat((k % 50).cast("string"), F.when(k % 2 == 0, "").otherwise("a")).alias("designation"))
-    return s.withColumn("pos", F.row_number().over(Window.orderBy("kind", *text.natural_order(F.col("designation")), "id"))).select("id", "pos")
+    letter = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.lower("o_orderstatus"))
+    units = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3).alias("kind"), F.concat((F.col("o_orderkey") % 997).cast("string"), letter).alias("designation"))
+    return ordered.positions(units, [F.col("kind"), *text.natural_order(F.col("designation")), F.col("id")]).select("id", "pos")
 
 
 @query("""SELECT sort, id, CAST(pos AS INTEGER) AS pos FROM (

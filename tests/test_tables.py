@@ -124,3 +124,25 @@ def test_sentences_cover_their_documents(spark, small):
         assert all(re.search(r"[.!?][\"'”»)]*$", s) for s in found[:-1])
         if got[k].quote is not None:
             assert "license" in got[k].quote.lower() or got[k].quote.endswith("…")
+
+
+def test_positions_number_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import ordered
+
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 3).alias("g"))
+    got = ordered.positions(rows, [F.col("g"), F.desc("k")]).collect()
+    assert [(r.g, r.k) for r in sorted(got, key=lambda r: r.pos)] == sorted(((r.g, r.k) for r in got), key=lambda x: (x[0], -x[1])) and sorted(r.pos for r in got) == list(range(1, 5001))
+    assert ordered.positions(rows.limit(0), [F.col("k")]).count() == 0
+
+
+def test_short_titles_in_texts(spark, tmp_path):
+    from strandline.plans import document_queries
+
+    docs = {1: "The Water Act of old", 2: "nothing waters here", 3: "a b", 4: None, 5: "one two three four five six"}
+    cores = {1: "water act", 2: "water", 3: "b", 4: "two three four five six", 5: None, 6: "absent", 7: "wo three f"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(cores.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {k: [d for d, t in docs.items() if t and c in t.lower()] for k, c in cores.items() if c}
+    assert {r.item_id: (r.docs, r.first_doc) for r in document_queries.title_in_text(spark, str(tmp_path)).collect()} == {k: (len(v), v[0]) for k, v in want.items() if v}
