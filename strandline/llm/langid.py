@@ -27,7 +27,7 @@ PROBES = 3
 #: A language keeps a trigram only if its rate there is this share of the highest rate anywhere.
 SHARE = 0.25
 #: Share of a text's trigrams that one language has to contain for the text to be in it, judged from so many trigrams on.
-KNOWN = 2 / 3
+KNOWN = 1 / 2
 JUDGED = 50
 #: Characters handled by one numpy pass at most (whole texts; a longer text is a pass of its own).
 PASS_CHARS = 2_000_000

@@ -104,7 +104,7 @@ def test_language_stage_decides(spark):
     rng = random.Random(4)
     said = lambda lang, n: " ".join(rng.choices(words[lang].split(), k=n))
     rows = [(k, said(lang, 40), lang, "a", 1) for k, lang in enumerate(["en", "fr"] * 40)]
-    rows += [(1000, said("en", 40), None, "a", 1), (1001, said("ru", 40), None, "a", 1), (1002, said("ru", 3), None, "a", 1), (1003, "12 34", "en", "a", 1), (1004, None, None, None, None), (1005, said("en", 20) + " " + said("ru", 30), None, "a", 1)]
+    rows += [(1000, said("en", 40), None, "a", 1), (1001, said("ru", 40), None, "a", 1), (1002, said("ru", 3), None, "a", 1), (1003, "12 34", "en", "a", 1), (1004, None, None, None, None), (1005, said("en", 15) + " " + said("ru", 45), None, "a", 1)]
     kept = {r.doc_id: r.lang for r in langid.keep_identified(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert kept == {k: lang for k, _, lang, _, _ in rows[:80]} | {1000: "en", 1002: kept[1002]}
 
