@@ -3,6 +3,7 @@
 import random
 
 from strandline.operators import links
+from strandline.plans import boundary_queries
 
 
 def test_shared_words_by_sets(spark):
@@ -19,3 +20,16 @@ def test_shared_words_by_sets(spark):
     # Rows of one set are joined once: pairs do not grow with the rows.
     plan = links.shared_words(df.union(df.select(df.id + 1000, "words")), df.union(df.select(df.id + 1000, "words")), "id", "words")
     assert {r.id % 1000: r.most for r in plan.collect()} == {i: len(w) for i, w in rows if w}
+
+
+def test_a_package_of_more_articles_than_numerals(spark, tmp_path):
+    # Roman numerals end at XX; an article behind it has none (package 7 numbers so, 13 prints so).
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_linenumber int, l_tax double, l_discount double, l_returnflag string"
+    spark.createDataFrame([(k, i, 1, 1.0, 20.0, 1, 0.05, 0.0, "N") for k in (7, 13) for i in range(23)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"w{i} x{i}", "SMALL") for i in range(23)], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    articles, _ = boundary_queries.packages(spark, str(tmp_path))
+    numerals = {r["index"]: r.numeral for r in articles.where("package = 7").collect()}
+    assert (numerals[0], numerals[19], numerals[20], numerals[22]) == ("I", "XX", None, None)
+    for query in ("law_boundaries", "package_verdicts", "rows_of_laws"):
+        rows = getattr(boundary_queries, query)(spark, str(tmp_path)).collect()
+        assert {r.package for r in rows} == {7, 13}, query
