@@ -3,8 +3,9 @@
 Units are rows (key..., pos, part, id, address, cited, words): the place in the
 text, the law of the package, the number, the place that an instruction edits
 (null where it names none), the sorted designations that it cites, and the words
-that are compared. Every pass is a join on what the pass compares; it pairs only
-what stands alone on both sides among the units that are still free.
+that are compared. Every pass is a window over what the pass compares; it pairs
+only what stands alone on both sides among the units that are still free. The
+units of a key are shuffled once, together, as text.
 """
 
 from __future__ import annotations
@@ -21,37 +22,24 @@ SAME_PLACE_CONTAINED = 0.8
 READDRESSED = 0.8
 
 
-def alone(units: DataFrame, by: list[str]) -> DataFrame:
-    """Units that are the only one of theirs under ``by``; a null in it names nothing."""
-    named = units
-    for c in by:
-        named = named.where(F.col(c).isNotNull())
-    return named.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("pos")).where("_n = 1").drop("_n")
+def _said(units: DataFrame) -> Column:
+    return F.array_join("words", " ")
 
 
-def candidates(old: DataFrame, new: DataFrame, by: list[str], key: list[str]) -> DataFrame:
-    """Pairs (key, old_pos, new_pos) of units that are alone under ``by`` on both sides."""
-    a, b = alone(old, by).withColumnRenamed("pos", "old_pos"), alone(new, by).withColumnRenamed("pos", "new_pos")
-    return a.join(b, by).select(*key, "old_pos", "new_pos")
+def _listed(said: Column) -> Column:
+    """The words of a text made by ``_said``."""
+    return F.when(said == "", F.array().cast("array<string>")).otherwise(F.split(said, " "))
 
 
-def likeness(pairs: DataFrame, old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``pairs`` with ``alike`` (2 * common words / all) and ``contained`` (common words / the fewer), words counted as often as they stand.
-
-    The words of paired units only are counted, each unit's once.
-    """
-
-    def bags(units: DataFrame, pos: str, n: str) -> DataFrame:
-        some = units.withColumnRenamed("pos", pos).join(pairs.select(*key, pos).distinct(), [*key, pos])
-        return some.select(*key, pos, F.explode("words").alias("_w")).groupBy(*key, pos, "_w").agg(F.count(F.lit(1)).alias(n))
-
-    sized = lambda units, pos, n: units.select(*key, F.col("pos").alias(pos), F.size("words").alias(n))
-    common = pairs.join(bags(old, "old_pos", "_n"), [*key, "old_pos"]).join(bags(new, "new_pos", "_m"), [*key, "new_pos", "_w"])
-    common = common.groupBy(*key, "old_pos", "new_pos").agg(F.sum(F.least("_n", "_m")).alias("_c"))
-    found = pairs.join(sized(old, "old_pos", "_a"), [*key, "old_pos"]).join(sized(new, "new_pos", "_b"), [*key, "new_pos"]).join(common, [*key, "old_pos", "new_pos"], "left")
-    c, fewer = F.coalesce("_c", F.lit(0)), F.least("_a", "_b")
-    alike = F.when(F.col("_a") + F.col("_b") > 0, 2 * c / (F.col("_a") + F.col("_b"))).otherwise(1.0)
-    return found.select(*pairs.columns, alike.alias("alike"), F.when(fewer > 0, c / fewer).otherwise(0.0).alias("contained"))
+def likeness(rows: DataFrame, where: Column, a: str, b: str) -> DataFrame:
+    """``rows`` with ``_alike`` (2 * common words / all) and ``_contained`` (common words / the fewer) of the texts ``a`` and ``b``, words counted as often as they stand; null unless ``where``."""
+    # A word's repetitions are numbered, so that common ones count in common.
+    numbered = lambda c: F.transform(c, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(c, w)).cast("string")))
+    rows = rows.withColumns({"_x": F.when(where, F.sort_array(_listed(F.col(a)))), "_y": F.when(where, F.sort_array(_listed(F.col(b))))})
+    rows = rows.withColumn("_c", F.size(F.array_intersect(numbered("_x"), numbered("_y"))))
+    n, m = F.size("_x"), F.size("_y")
+    alike, contained = F.when(n + m > 0, 2 * F.col("_c") / (n + m)).otherwise(1.0), F.when(F.least(n, m) > 0, F.col("_c") / F.least(n, m)).otherwise(0.0)
+    return rows.withColumns({"_alike": F.when(where, alike), "_contained": F.when(where, contained)}).drop("_x", "_y", "_c")
 
 
 def only_ones(pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -77,28 +65,39 @@ def paired(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     both sides have one such candidate and no two such pairs cross. A unit that
     no pass pairs is removed or inserted (``changes``).
     """
-    old, new = (u.withColumn("_said", F.array_join("words", " ")) for u in (old, new))
     place = [*key, "part"]
-    score = lambda found, a, b: likeness(found, a, b, key)
-
-    def same_citations(a: DataFrame, b: DataFrame) -> DataFrame:
-        side = lambda u, pos: u.where(F.size("cited") > 0).select(*place, "cited", F.col("pos").alias(pos))
-        met = side(a, "old_pos").join(side(b, "new_pos"), [*place, "cited"])
-        near = score(met.select(*key, "part", "old_pos", "new_pos"), a, b).where(F.col("alike") >= READDRESSED)
-        return uncrossed(only_ones(near, key), place).select(*key, "old_pos", "new_pos", "alike")
-
+    side = lambda units, new: units.select(*place, F.lit(new).alias("_new"), F.col("pos").cast("long").alias("pos"), "id", "address", "cited", _said(units).alias("_said"))
+    rows = side(old, False).unionByName(side(new, True)).repartition(*key)
+    rows = rows.withColumns({"_with": F.lit(None).cast("long"), "via": F.lit(None).cast("string"), "alike": F.lit(None).cast("double")})
     passes = [
-        ("same words", lambda a, b: candidates(a, b, [*place, "_said"], key).withColumn("alike", F.lit(1.0))),
-        ("same id", lambda a, b: score(candidates(a, b, [*place, "id"], key), a, b).where(F.col("alike") >= SAME_ID)),
-        ("same place", lambda a, b: score(candidates(a, b, [*place, "address"], key), a, b).where((F.col("alike") >= SAME_PLACE) | (F.col("contained") >= SAME_PLACE_CONTAINED))),
-        ("readdressed", same_citations),
+        ("same words", "_said", lambda alike, contained: F.lit(True)),
+        ("same id", "id", lambda alike, contained: alike >= SAME_ID),
+        ("same place", "address", lambda alike, contained: (alike >= SAME_PLACE) | (contained >= SAME_PLACE_CONTAINED)),
     ]
-    found: DataFrame | None = None
-    for via, rule in passes:
-        free = lambda u, pos: u if found is None else u.join(found.select(*key, F.col(pos).alias("pos")), [*key, "pos"], "left_anti")  # noqa: B023, E731
-        pairs = rule(free(old, "old_pos"), free(new, "new_pos")).select(*key, "old_pos", "new_pos", F.lit(via).alias("via"), "alike")
-        found = written(pairs if found is None else found.unionByName(pairs), "paired")
-    return found
+    for via, by, rule in passes:
+        free = F.col("_with").isNull()
+        w = Window.partitionBy(*place, by, free)
+        of = lambda new, c: F.max(F.when(F.col("_new") == new, F.col(c))).over(w)  # noqa: B023, E731
+        other = lambda c: F.when(F.col("_new"), of(False, c)).otherwise(of(True, c))  # noqa: B023, E731
+        rows = rows.withColumns({"_met": other("pos"), "_olds": F.count_if(~F.col("_new")).over(w), "_news": F.count_if("_new").over(w)} | ({"_other": other("_said")} if by != "_said" else {}))
+        once = free & F.col("part").isNotNull() & F.col(by).isNotNull() & (F.col("_olds") == 1) & (F.col("_news") == 1)
+        for k in key:
+            once = once & F.col(k).isNotNull()
+        # Equal texts have equal words; the others are compared word by word.
+        rows = likeness(rows, once, "_said", "_other") if by != "_said" else rows.withColumns({"_alike": F.lit(1.0), "_contained": F.lit(1.0)})
+        paired_now = F.coalesce(once & rule(F.col("_alike"), F.col("_contained")), F.lit(False))
+        rows = rows.withColumns({"_with": F.when(paired_now, F.col("_met")).otherwise(F.col("_with")), "via": F.when(paired_now, via).otherwise(F.col("via")), "alike": F.when(paired_now, F.col("_alike")).otherwise(F.col("alike"))})
+        rows = rows.drop("_met", "_olds", "_news", "_other", "_alike", "_contained")
+    # A new unit that is paired is told by its old one; words are needed of free units alone.
+    rows = rows.where(~F.col("_new") | F.col("_with").isNull())
+    rows = written(rows.select(*place, "_new", "pos", "_with", "via", "alike", F.when(F.col("_with").isNull(), F.col("cited")).alias("cited"), F.when(F.col("_with").isNull(), F.col("_said")).alias("_said")), "paired")
+    found = rows.where("_with IS NOT NULL").select(*key, F.col("pos").alias("old_pos"), F.col("_with").alias("new_pos"), "via", "alike")
+    left = rows.where((F.col("_with").isNull()) & (F.size("cited") > 0))
+    one = lambda new, pos, said: left.where(F.col("_new") == new).select(*place, "cited", F.col("pos").alias(pos), F.col("_said").alias(said))
+    near = likeness(one(False, "old_pos", "_old").join(one(True, "new_pos", "_now"), [*place, "cited"]), F.lit(True), "_old", "_now").where(F.col("_alike") >= READDRESSED)
+    near = uncrossed(only_ones(near.select(*place, "old_pos", "new_pos", F.col("_alike").alias("alike")), key), place)
+    found = found.unionByName(near.select(*key, "old_pos", "new_pos", F.lit("readdressed").alias("via"), "alike"))
+    return written(found.withColumns({"old_pos": F.col("old_pos").cast(old.schema["pos"].dataType), "new_pos": F.col("new_pos").cast(new.schema["pos"].dataType)}), "paired")
 
 
 def changes(old: DataFrame, new: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -141,11 +140,16 @@ def scoped(first: DataFrame, second: DataFrame, parts: tuple[DataFrame, DataFram
 
 def pair_parts(old: DataFrame, new: DataFrame, key: list[str], least: Column | float = 0.5) -> DataFrame:
     """Parts paired by their units' words: key, old_part, new_part; the best of each side, at ``least`` of 2 * common words / all, alone at its score."""
-    bag = lambda u, part, n: u.select(*key, F.col("part").alias(part), F.explode("words").alias("_w")).groupBy(*key, part, "_w").agg(F.count(F.lit(1)).alias(n))
-    a, b = bag(old, "old_part", "_n"), bag(new, "new_part", "_m")
-    size = lambda u, part, n: u.groupBy(*key, F.col("part").alias(part)).agg(F.sum(F.size("words")).alias(n))
-    common = a.join(b, [*key, "_w"]).groupBy(*key, "old_part", "new_part").agg(F.sum(F.least("_n", "_m")).alias("_c"))
-    scores = common.join(size(old, "old_part", "_a"), [*key, "old_part"]).join(size(new, "new_part", "_b"), [*key, "new_part"]).withColumn("alike", 2 * F.col("_c") / (F.col("_a") + F.col("_b")))
+    side = lambda u, new: u.select(*key, "part", F.lit(new).alias("_new"), _said(u).alias("_said"))
+    units = side(old, False).unionByName(side(new, True)).repartition(*key)
+    # All that follows is grouped by the key and more, where the key's units lie.
+    bags = units.select(*key, "part", "_new", F.explode(_listed(F.col("_said"))).alias("_w")).groupBy(*key, "part", "_new", "_w").agg(F.count(F.lit(1)).alias("_n"))
+    bags = bags.withColumn("_size", F.sum("_n").over(Window.partitionBy(*key, "part", "_new")))
+    listed = lambda new: F.collect_list(F.when(F.col("_new") == new, F.struct("part", "_n", "_size")))
+    met = bags.groupBy(*key, "_w").agg(listed(False).alias("_o"), listed(True).alias("_p")).where((F.size("_o") > 0) & (F.size("_p") > 0))
+    met = met.select(*key, F.explode("_o").alias("_o"), "_p").select(*key, "_o", F.explode("_p").alias("_p"))
+    common = met.groupBy(*key, F.col("_o.part").alias("old_part"), F.col("_p.part").alias("new_part"), F.col("_o._size").alias("_a"), F.col("_p._size").alias("_b")).agg(F.sum(F.least("_o._n", "_p._n")).alias("_c"))
+    scores = common.withColumn("alike", 2 * F.col("_c") / (F.col("_a") + F.col("_b")))
     scores = scores.where(F.col("alike") >= least)
     best = lambda c: (F.rank().over(Window.partitionBy(*key, c).orderBy(F.desc("alike"))) == 1)
     tops = scores.withColumn("_l", best("old_part")).withColumn("_r", best("new_part")).where("_l AND _r")

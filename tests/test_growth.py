@@ -1,8 +1,9 @@
 """Queries on rows that grow past what the smallest tables hold: long packages, common words, long documents."""
 
 import random
+from collections import Counter
 
-from strandline.operators import links
+from strandline.operators import links, versions
 from strandline.plans import boundary_queries
 
 
@@ -33,3 +34,41 @@ def test_a_package_of_more_articles_than_numerals(spark, tmp_path):
     for query in ("law_boundaries", "package_verdicts", "rows_of_laws"):
         rows = getattr(boundary_queries, query)(spark, str(tmp_path)).collect()
         assert {r.package for r in rows} == {7, 13}, query
+
+
+def unit_rows(rng, n):
+    return [(1, p, str(p // 3), str(p), f"§ {p % 4}", [f"§ {p % 4}"], [rng.choice("aabbbcdefgh") for _ in range(rng.randrange(0, 9))]) for p in range(n)]
+
+
+UNITS = "doc int, pos int, part string, id string, address string, cited array<string>, words array<string>"
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_parts_are_paired_with_one_shuffle(spark):
+    rng = random.Random(3)
+    old = unit_rows(rng, 40)
+    new = [(*r[:6], r[6][1:] + ["x"] if i % 5 == 0 else r[6]) for i, r in enumerate(old)]
+    bags = [{}, {}]
+    for units, bag in zip((old, new), bags, strict=True):
+        for r in units:
+            bag.setdefault(r[2], Counter()).update(r[6])
+    alike = {(a, b): 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values())) for a, x in bags[0].items() for b, y in bags[1].items() if x & y}
+    alike = {k: v for k, v in alike.items() if v >= 0.5}
+    top = [(a, b) for (a, b), v in alike.items() if v == max(w for k, w in alike.items() if k[0] == a) == max(w for k, w in alike.items() if k[1] == b)]
+    want = {(a, b) for a, b in top if sum(k[0] == a for k in top) == sum(k[1] == b for k in top) == 1}
+    found = versions.pair_parts(spark.createDataFrame(old, UNITS), spark.createDataFrame(new, UNITS), ["doc"])
+    assert exchanges(found) == 1
+    assert {(r.old_part, r.new_part) for r in found.collect()} == want and want
+
+
+def test_likeness_counts_repeated_words(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("aab") for _ in range(rng.randrange(0, 6))), " ".join(rng.choice("abbc") for _ in range(rng.randrange(0, 6)))) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in versions.likeness(df, df.a.isNotNull(), "a", "b").collect():
+        a, b = Counter(r.a.split()), Counter(r.b.split())
+        c, n, m = (a & b).total(), a.total(), b.total()
+        assert abs(r._alike - (2 * c / (n + m) if n + m else 1.0)) < 1e-12 and abs(r._contained - (c / min(n, m) if min(n, m) else 0.0)) < 1e-12
