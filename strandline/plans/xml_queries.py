@@ -33,7 +33,7 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE h % 4 WHEN 1 THEN '(' || (h % 9 + 1) || ')' WHEN 2 THEN (h % 9 + 1) || '.' ELSE '' END AS designation, md5(said) AS text_md5, h % 4 = 3 AS in_table FROM h""")
 def xml_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks of XML documents in reading order, without page footers."""
-    found = xml_documents(spark, sf_dir).select("doc_id", F.explode(xml_blocks.xml_blocks(F.col("xml"))).alias("b")).select("doc_id", "b.*")
+    found = xml_blocks.block_rows(xml_documents(spark, sf_dir), "doc_id", "xml")
     return found.select("doc_id", "pos", "kind", "cls", "designation", F.md5("text").alias("text_md5"), F.col("tbl").isNotNull().alias("in_table"))
 
 
@@ -41,6 +41,6 @@ def xml_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, tbl, 0 AS row, md5(said) AS current_md5, CASE WHEN h % 2 = 0 THEN md5('new text') ELSE md5(said) END AS proposed_md5 FROM t UNION ALL SELECT doc_id, tbl, 1, md5('a'), md5('b-c') FROM t""")
 def xml_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of two-column tables in XML documents; a cell over both columns stands on both sides."""
-    cells = xml_documents(spark, sf_dir).select("doc_id", F.explode(xml_blocks.xml_cells(F.col("xml"))).alias("c")).select("doc_id", "c.*")
+    cells = xml_blocks.cell_rows(xml_documents(spark, sf_dir), "doc_id", "xml")
     found = xml_blocks.two_sides(cells, ["doc_id"])
     return found.select("doc_id", "tbl", "row", F.md5("current").alias("current_md5"), F.md5("proposed").alias("proposed_md5"))
