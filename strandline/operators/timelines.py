@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 
 
 def histories(versions: DataFrame, unit: str) -> DataFrame:
-    """One row per unit: unit, history (array of version, since, until, amended, repeal, recorded; until null while in force)."""
-    return versions.groupBy(unit).agg(F.collect_list(F.struct("version", "since", "until", "amended", "repeal", "recorded")).alias("history"))
+    """One row per unit: unit, history (array of version, since, until, amended, repeal, recorded, replaced; until null while in force).
+
+    ``replaced``: the day on which the next version for the same beginning was
+    recorded, null if none was. Versions without a day of record are never known.
+    """
+    w = Window.partitionBy(unit, "since").orderBy("recorded", "version")
+    rows = versions.where("recorded IS NOT NULL").withColumn("replaced", F.when(F.col("since").isNotNull(), F.lead("recorded").over(w)))
+    return rows.groupBy(unit).agg(F.collect_list(F.struct("version", "since", "until", "amended", "repeal", "recorded", "replaced")).alias("history"))
 
 
 def known_on(history: Column, known: Column) -> Column:
     """The versions recorded by a day; of several recorded for one beginning, the last (a correction replaces what it corrects)."""
-    recorded = F.filter(history, lambda v: v["recorded"] <= known)
-    return F.filter(recorded, lambda v: ~F.exists(recorded, lambda o: (o["since"] == v["since"]) & ((o["recorded"] > v["recorded"]) | (o["recorded"] == v["recorded"]) & (o["version"] > v["version"]))))
+    return F.filter(history, lambda v: (v["recorded"] <= known) & (v["replaced"].isNull() | (v["replaced"] > known)))
 
 
 def _first(found: Column, by: str, ascending: bool) -> Column:

@@ -2,8 +2,9 @@
 
 import random
 from collections import Counter
+from datetime import date, timedelta
 
-from strandline.operators import links, versions
+from strandline.operators import links, timelines, versions
 from strandline.plans import boundary_queries
 
 
@@ -72,3 +73,20 @@ def test_likeness_counts_repeated_words(spark):
         a, b = Counter(r.a.split()), Counter(r.b.split())
         c, n, m = (a & b).total(), a.total(), b.total()
         assert abs(r._alike - (2 * c / (n + m) if n + m else 1.0)) < 1e-12 and abs(r._contained - (c / min(n, m) if min(n, m) else 0.0)) < 1e-12
+
+
+def test_a_version_is_replaced_by_the_next_one_for_its_beginning(spark):
+    day = lambda n: date(2020, 1, 1) + timedelta(days=n)
+    rng = random.Random(7)
+    rows = [(u, v, day(rng.randrange(6)), None, 2020, False, day(rng.randrange(6))) for u in range(6) for v in range(9)]
+    # A version without a beginning hides no other, one without a day of record is never known.
+    rows += [(0, 90, None, None, 2020, False, day(5)), (1, 91, day(0), None, 2020, False, None)]
+    asked = [(u * 10 + k, u, day(5), day(k)) for u in range(6) for k in range(6)]
+    want = {}
+    for i, u, at, known in asked:
+        seen = [r for r in rows if r[0] == u and r[6] is not None and r[6] <= known]
+        last = [r for r in seen if r[2] is not None and r[2] <= at and not any(o[2] == r[2] and (o[6], o[1]) > (r[6], r[1]) for o in seen)]
+        want[i] = max(last, key=lambda r: (r[2], r[1]))[1] if last else None
+    versions_ = spark.createDataFrame(rows, "unit int, version long, since date, until date, amended int, repeal boolean, recorded date")
+    questions = spark.createDataFrame(asked, "id int, unit int, day date, known date")
+    assert {r.id: r.version for r in timelines.as_of(questions, versions_, "unit").collect()} == want
