@@ -14,8 +14,9 @@ def _soft_count(a: Column, b: Column) -> Column:
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix of two strings."""
-    most = F.least(F.length(a), F.length(b))
-    return F.size(F.filter(F.sequence(F.lit(0), most), lambda n: (n > 0) & (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))))
+    letters = lambda s: F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+    differs = F.array_position(F.zip_with(letters(a), letters(b), lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(a.isNull() | b.isNull(), 0).when(differs > 0, differs - 1).otherwise(F.length(a)).cast("int")
 
 
 def title_components(a: Column, b: Column) -> Column:

@@ -4,8 +4,9 @@ import random
 from collections import Counter
 from datetime import date, timedelta
 
+from strandline.functions import similarity
 from strandline.operators import links, timelines, versions
-from strandline.plans import boundary_queries
+from strandline.plans import boundary_queries, link_queries
 
 
 def test_shared_words_by_sets(spark):
@@ -90,3 +91,11 @@ def test_a_version_is_replaced_by_the_next_one_for_its_beginning(spark):
     versions_ = spark.createDataFrame(rows, "unit int, version long, since date, until date, amended int, repeal boolean, recorded date")
     questions = spark.createDataFrame(asked, "id int, unit int, day date, known date")
     assert {r.id: r.version for r in timelines.as_of(questions, versions_, "unit").collect()} == want
+
+
+def test_title_tokens_are_made_once_a_row(spark, small):
+    plan = link_queries.title_similarity(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") + plan.count("split(") < 12 and "RepartitionByExpression" in plan
+    rows = [("abc", "abd"), ("abc", "abcd"), ("", "a"), ("x", "x"), ("ä𝒳b", "ä𝒳c"), ("ab", "ba"), (None, "a")]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    assert [r.n for r in got.select("i", similarity.common_prefix(got.a, got.b).alias("n")).sort("i").collect()] == [2, 3, 0, 1, 2, 0, 0]
