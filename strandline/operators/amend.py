@@ -8,6 +8,7 @@ text. What the grammar does not know is refused with a reason, never guessed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,14 +97,20 @@ def apply_instructions(trees: DataFrame, instructions: DataFrame, key: str) -> D
     """
     kind = trees.schema[key].dataType.simpleString()
 
-    def run(group: tuple, tree: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        todo = list(lines.sort_values("pos")["line"]) if len(lines) else []
-        after, verdicts = apply(dict(zip(tree["path"], tree["text"], strict=True)) if len(tree) else {}, [parse(x) for x in todo])
-        rows = [(group[0], p, after[p], "applied", None) for p in sorted(after, key=natural)]
-        rows += [(group[0], None, line, "refused", why) for line, why in zip(todo, verdicts, strict=True) if why]
-        return pd.DataFrame(rows, columns=[key, "path", "text", "state", "reason"])
-
-    return trees.groupBy(key).cogroup(instructions.groupBy(key)).applyInPandas(run, f"{key} {kind}, path string, text string, state string, reason string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, nodes, lines in zip(batch[key], batch["_tree"], batch["_lines"], strict=True):
+                todo = [x["line"] for x in lines]
+                after, verdicts = apply({x["path"]: x["text"] for x in nodes}, [parse(x) for x in todo])
+                rows += [(k, p, after[p], "applied", None) for p in sorted(after, key=natural)]
+                rows += [(k, None, line, "refused", why) for line, why in zip(todo, verdicts, strict=True) if why]
+            yield pd.DataFrame(rows, columns=[key, "path", "text", "state", "reason"])
+
+    # A document is a row of arrays, and many are handed over at a time; a frame for each costs more than its fold.
+    node, line = trees.select(key, F.struct("path", "text").alias("_node"), F.lit(None).alias("_line")), instructions.select(key, F.lit(None).alias("_node"), F.struct("pos", "line").alias("_line"))
+    both = node.unionByName(line).groupBy(key).agg(F.collect_list("_node").alias("_tree"), F.array_sort(F.collect_list("_line")).alias("_lines"))
+    return both.mapInPandas(run, f"{key} {kind}, path string, text string, state string, reason string")
 
 
 def plausible(before: Column, after: Column, added: Column, gone: Column, tolerance: int = 4) -> Column:

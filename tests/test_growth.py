@@ -5,7 +5,7 @@ from collections import Counter
 from datetime import date, timedelta
 
 from strandline.functions import similarity
-from strandline.operators import links, timelines, versions
+from strandline.operators import amend, links, timelines, versions
 from strandline.plans import boundary_queries, link_queries
 
 
@@ -99,3 +99,17 @@ def test_title_tokens_are_made_once_a_row(spark, small):
     rows = [("abc", "abd"), ("abc", "abcd"), ("", "a"), ("x", "x"), ("ä𝒳b", "ä𝒳c"), ("ab", "ba"), (None, "a")]
     got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
     assert [r.n for r in got.select("i", similarity.common_prefix(got.a, got.b).alias("n")).sort("i").collect()] == [2, 3, 0, 1, 2, 0, 0]
+
+
+def test_instructions_need_no_frame_per_document(spark):
+    trees = spark.createDataFrame([(k, str(p), f"t{p}") for k in range(50) for p in range(1, 4)] + [(None, "1", "x")], "doc int, path string, text string")
+    lines = spark.createDataFrame([(k, i, line) for k in range(60) for i, line in enumerate(["Delete 2.", "Delete 9."])], "doc int, pos int, line string")
+    found = amend.apply_instructions(trees, lines, "doc")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInPandas" in plan
+    got = Counter((r.doc, r.path, r.state, r.reason) for r in found.collect())
+    want = Counter({(None, "1", "applied", None): 1})
+    for k in range(60):
+        want.update([(k, "1", "applied", None), (k, "3", "applied", None)] if k < 50 else [(k, None, "refused", "no such place")])
+        want.update([(k, None, "refused", "no such place")])
+    assert got == want
