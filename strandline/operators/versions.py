@@ -3,16 +3,22 @@
 Units are rows (key..., pos, part, id, address, cited, words): the place in the
 text, the law of the package, the number, the place that an instruction edits
 (null where it names none), the sorted designations that it cites, and the words
-that are compared. Every pass is a window over what the pass compares; it pairs
-only what stands alone on both sides among the units that are still free. The
-units of a key are shuffled once, together, as text.
+that are compared. Every pass pairs only what stands alone on both sides among the
+units that are still free. The units of a key travel as one row of arrays, so
+their texts are never sorted; many rows are handed to Python at a time.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from strandline.operators.diffs import similar_units
 from strandline.sources.shared import written
 
 #: Likeness that a pair of equal numbers, of an equal place, and of a readdressed instruction needs.
@@ -56,6 +62,106 @@ def uncrossed(pairs: DataFrame, key: list[str]) -> DataFrame:
     return found.where((F.col("_b").isNull() | (F.col("_b") < F.col("new_pos"))) & (F.col("_f").isNull() | (F.col("_f") > F.col("new_pos")))).drop("_b", "_f")
 
 
+#: The passes after that for equal words: what both sides have once, and the likeness and containment that suffice.
+PASSES = [("same id", "id", SAME_ID, None), ("same place", "address", SAME_PLACE, SAME_PLACE_CONTAINED)]
+#: What a unit holds, in the order of the columns that go to Python, and how many rows of these become Python objects at a time.
+FIELDS = ("pos", "part", "id", "address", "cited", "said")
+ROWS = 128
+
+
+def pair_units(old: list[tuple], new: list[tuple]) -> list[tuple[int, int, str, float]]:
+    """Pairs (i, j, via, alike) of two lists of ``FIELDS`` by the passes of ``paired``; units without a place in the text or a part have none."""
+    free = [{i for i, u in enumerate(side) if u[0] is not None and u[1] is not None and u[5] is not None} for side in (old, new)]
+    out: list[tuple[int, int, str, float]] = []
+    bags: dict[str, Counter] = {}
+
+    def bag(said: str) -> Counter:
+        if said not in bags:
+            bags[said] = Counter(said.split(" ")) if said else Counter()
+        return bags[said]
+
+    def at(field: int) -> Iterator[tuple[list[int], list[int]]]:
+        """Free units of both sides that have one part and one value of the field."""
+        seen: dict = {}
+        for s, side in enumerate((old, new)):
+            for i in free[s]:
+                value = side[i][field]
+                if value is not None:
+                    seen.setdefault((side[i][1], tuple(value) if field == 4 else value), ([], []))[s].append(i)
+        return ((a, b) for a, b in seen.values() if a and b)
+
+    def take(pairs: list[tuple[int, int, str, float]]) -> None:
+        out.extend(pairs)
+        free[0].difference_update(p[0] for p in pairs)
+        free[1].difference_update(p[1] for p in pairs)
+
+    # A missing text is compared with nothing, but its unit counts where others have to stand alone.
+    mute = [{i for i, u in enumerate(side) if u[0] is not None and u[1] is not None and u[5] is None} for side in (old, new)]
+    take([(a[0], b[0], "same words", 1.0) for a, b in at(5) if len(a) == len(b) == 1])
+    for via, name, least, contained in PASSES:
+        now = []
+        free = [f | m for f, m in zip(free, mute, strict=True)]
+        for a, b in at(FIELDS.index(name)):
+            if len(a) == len(b) == 1 and old[a[0]][5] is not None and new[b[0]][5] is not None:
+                x, y = bag(old[a[0]][5]), bag(new[b[0]][5])
+                c, n, m = (x & y).total(), x.total(), y.total()
+                alike = 2 * c / (n + m) if n + m else 1.0
+                if alike >= least or contained is not None and min(n, m) and c / min(n, m) >= contained:
+                    now.append((a[0], b[0], via, alike))
+        take(now)
+    free = [f - m for f, m in zip(free, mute, strict=True)]
+    near = []
+    for a, b in at(4):
+        if len(old[a[0]][4]):
+            x, y = [bag(old[i][5]) for i in a], [bag(new[j][5]) for j in b]
+            near += [(a[i], b[j], alike) for alike, i, j in similar_units(x, y, READDRESSED)]
+            near += [(i, j, 1.0) for i in a if not old[i][5] for j in b if not new[j][5]]
+    olds, news = Counter(i for i, _, _ in near), Counter(j for _, j, _ in near)
+    in_part = defaultdict(list)
+    for i, j, alike in near:
+        if olds[i] == news[j] == 1:
+            in_part[old[i][1]].append((old[i][0], new[j][0], i, j, alike))
+    for pairs in in_part.values():
+        pairs.sort()
+        behind = [float("inf")] * len(pairs)
+        for k in range(len(pairs) - 1, 0, -1):
+            behind[k - 1] = min(behind[k], pairs[k][1])
+        most = float("-inf")
+        for (_, place, i, j, alike), least_behind in zip(pairs, behind, strict=True):
+            if most < place < least_behind:
+                out.append((i, j, "readdressed", alike))
+            most = max(most, place)
+    return out
+
+
+def met(laws: DataFrame, key: list[str]) -> DataFrame:
+    """Every unit of ``laws`` (key, the arrays old and new of ``FIELDS``) once: key, part, old_pos, new_pos, old_id, new_id, via, alike; a unit that no pass pairs has neither via nor other side."""
+    schema = StructType([laws.schema[k] for k in key] + [StructField("part", StringType())] + [StructField(c, LongType()) for c in ("old_pos", "new_pos")] + [StructField(c, StringType()) for c in ("old_id", "new_id", "via")] + [StructField("alike", DoubleType())])
+    columns = [f"_{side}_{c}" for side in ("old", "new") for c in FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                some = batch.slice(first, ROWS)
+                lists = [some.column(c).to_pylist() for c in columns]
+                at, rows = [], []
+                for row, fields in enumerate(zip(*lists, strict=True)):
+                    old, new = (list(zip(*[f or () for f in fields[s : s + len(FIELDS)]], strict=True)) for s in (0, len(FIELDS)))
+                    pairs = pair_units(old, new)
+                    found = [(old[i][1], old[i][0], new[j][0], old[i][2], new[j][2], via, alike) for i, j, via, alike in pairs]
+                    found += [(old[i][1], old[i][0], None, old[i][2], None, None, None) for i in sorted(set(range(len(old))).difference(p[0] for p in pairs))]
+                    found += [(new[j][1], None, new[j][0], None, new[j][2], None, None) for j in sorted(set(range(len(new))).difference(p[1] for p in pairs))]
+                    at += [row] * len(found)
+                    rows += found
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
+                told = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+                keys = [some.column(k).take(pa.array(at, pa.int64())) for k in key]
+                yield pa.RecordBatch.from_arrays(keys + told, names=schema.names)
+
+    flat = laws.select(*key, *[F.col(f"{side}.{c}").alias(f"_{side}_{c}") for side in ("old", "new") for c in FIELDS])
+    return flat.mapInArrow(run, schema)
+
+
 def paired(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Pair the units of two versions: key, old_pos, new_pos, via, alike.
 
@@ -65,47 +171,30 @@ def paired(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     both sides have one such candidate and no two such pairs cross. A unit that
     no pass pairs is removed or inserted (``changes``).
     """
-    place = [*key, "part"]
-    side = lambda units, new: units.select(*place, F.lit(new).alias("_new"), F.col("pos").cast("long").alias("pos"), "id", "address", "cited", _said(units).alias("_said"))
-    rows = side(old, False).unionByName(side(new, True)).repartition(*key)
-    rows = rows.withColumns({"_with": F.lit(None).cast("long"), "via": F.lit(None).cast("string"), "alike": F.lit(None).cast("double")})
-    passes = [
-        ("same words", "_said", lambda alike, contained: F.lit(True)),
-        ("same id", "id", lambda alike, contained: alike >= SAME_ID),
-        ("same place", "address", lambda alike, contained: (alike >= SAME_PLACE) | (contained >= SAME_PLACE_CONTAINED)),
-    ]
-    for via, by, rule in passes:
-        free = F.col("_with").isNull()
-        w = Window.partitionBy(*place, by, free)
-        of = lambda new, c: F.max(F.when(F.col("_new") == new, F.col(c))).over(w)  # noqa: B023, E731
-        other = lambda c: F.when(F.col("_new"), of(False, c)).otherwise(of(True, c))  # noqa: B023, E731
-        rows = rows.withColumns({"_met": other("pos"), "_olds": F.count_if(~F.col("_new")).over(w), "_news": F.count_if("_new").over(w)} | ({"_other": other("_said")} if by != "_said" else {}))
-        once = free & F.col("part").isNotNull() & F.col(by).isNotNull() & (F.col("_olds") == 1) & (F.col("_news") == 1)
-        for k in key:
-            once = once & F.col(k).isNotNull()
-        # Equal texts have equal words; the others are compared word by word.
-        rows = likeness(rows, once, "_said", "_other") if by != "_said" else rows.withColumns({"_alike": F.lit(1.0), "_contained": F.lit(1.0)})
-        paired_now = F.coalesce(once & rule(F.col("_alike"), F.col("_contained")), F.lit(False))
-        rows = rows.withColumns({"_with": F.when(paired_now, F.col("_met")).otherwise(F.col("_with")), "via": F.when(paired_now, via).otherwise(F.col("via")), "alike": F.when(paired_now, F.col("_alike")).otherwise(F.col("alike"))})
-        rows = rows.drop("_met", "_olds", "_news", "_other", "_alike", "_contained")
-    # A new unit that is paired is told by its old one; words are needed of free units alone.
-    rows = rows.where(~F.col("_new") | F.col("_with").isNull())
-    rows = written(rows.select(*place, "_new", "pos", "_with", "via", "alike", F.when(F.col("_with").isNull(), F.col("cited")).alias("cited"), F.when(F.col("_with").isNull(), F.col("_said")).alias("_said")), "paired")
-    found = rows.where("_with IS NOT NULL").select(*key, F.col("pos").alias("old_pos"), F.col("_with").alias("new_pos"), "via", "alike")
-    left = rows.where((F.col("_with").isNull()) & (F.size("cited") > 0))
-    one = lambda new, pos, said: left.where(F.col("_new") == new).select(*place, "cited", F.col("pos").alias(pos), F.col("_said").alias(said))
-    near = likeness(one(False, "old_pos", "_old").join(one(True, "new_pos", "_now"), [*place, "cited"]), F.lit(True), "_old", "_now").where(F.col("_alike") >= READDRESSED)
-    near = uncrossed(only_ones(near.select(*place, "old_pos", "new_pos", F.col("_alike").alias("alike")), key), place)
-    found = found.unionByName(near.select(*key, "old_pos", "new_pos", F.lit("readdressed").alias("via"), "alike"))
-    return written(found.withColumns({"old_pos": F.col("old_pos").cast(old.schema["pos"].dataType), "new_pos": F.col("new_pos").cast(new.schema["pos"].dataType)}), "paired")
+    unit = lambda units: F.struct(F.col("pos").cast("long").alias("pos"), F.col("part").cast("string").alias("part"), "id", "address", "cited", _said(units).alias("said"))
+    none = F.lit(None)
+    rows = old.select(*key, unit(old).alias("old"), none.alias("new")).unionByName(new.select(*key, none.alias("old"), unit(new).alias("new")))
+    for k in key:
+        rows = rows.where(F.col(k).isNotNull())
+    laws = rows.groupBy(*key).agg(F.collect_list("old").alias("old"), F.collect_list("new").alias("new"))
+    found = met(laws, key).where("via IS NOT NULL")
+    return written(found.select(*key, F.col("old_pos").cast(old.schema["pos"].dataType).alias("old_pos"), F.col("new_pos").cast(new.schema["pos"].dataType).alias("new_pos"), "via", "alike"), "paired")
+
+
+def _kind() -> Column:
+    return F.when(F.col("via") == "same words", "unchanged").when(F.col("via") == "readdressed", "readdressed").otherwise("changed")
+
+
+def kinds(found: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of ``met`` as ``changes`` gives them: key, old_pos, new_pos, change."""
+    return found.select(*key, "old_pos", "new_pos", F.when(F.col("new_pos").isNull(), "removed").when(F.col("old_pos").isNull(), "inserted").otherwise(_kind()).alias("change"))
 
 
 def changes(old: DataFrame, new: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
     """Every unit once: key, old_pos, new_pos, change (unchanged, changed, readdressed, removed or inserted)."""
-    kind = F.when(F.col("via") == "same words", "unchanged").when(F.col("via") == "readdressed", "readdressed").otherwise("changed")
     rest = lambda u, pos: u.select(*key, F.col("pos").alias(pos)).join(pairs, [*key, pos], "left_anti")
     none = F.lit(None).cast("long")
-    both = pairs.select(*key, F.col("old_pos").cast("long"), F.col("new_pos").cast("long"), kind.alias("change"))
+    both = pairs.select(*key, F.col("old_pos").cast("long"), F.col("new_pos").cast("long"), _kind().alias("change"))
     gone = rest(old, "old_pos").select(*key, F.col("old_pos").cast("long"), none.alias("new_pos"), F.lit("removed").alias("change"))
     come = rest(new, "new_pos").select(*key, none.alias("old_pos"), F.col("new_pos").cast("long"), F.lit("inserted").alias("change"))
     return both.unionByName(gone).unionByName(come)

@@ -4,9 +4,11 @@ import random
 from collections import Counter
 from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
 from strandline.functions import similarity
 from strandline.operators import amend, links, timelines, versions
-from strandline.plans import boundary_queries, link_queries
+from strandline.plans import boundary_queries, link_queries, version_queries
 
 
 def test_shared_words_by_sets(spark):
@@ -113,3 +115,23 @@ def test_instructions_need_no_frame_per_document(spark):
         want.update([(k, "1", "applied", None), (k, "3", "applied", None)] if k < 50 else [(k, None, "refused", "no such place")])
         want.update([(k, None, "refused", "no such place")])
     assert got == want
+
+
+def test_units_are_paired_without_sorting_their_texts(spark, small):
+    for name in ("repaired_units", "renumbered_units", "followed_units"):
+        df = getattr(version_queries, name)(spark, small)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "collect_list(struct(pos" not in plan, name
+        # What is sorted or windowed, if anything, is what pairing left: numbers, no texts.
+        above = plan.split("MapInArrow")[0]
+        assert "said" not in above and "cited" not in above, name
+    assert not any(r.n > 1 for r in version_queries.version_units(spark, small).groupBy("doc_id", "version", "part", "id").agg(F.count("*").alias("n")).collect())
+
+
+def test_passes_of_units_without_words_or_part():
+    unit = lambda pos, part, i, address, said, cited=("c",): (pos, part, i, address, list(cited), said)
+    old = [unit(1, "I", "1", "a", "x y"), unit(2, None, "2", "b", "same"), unit(3, "I", "3", "c", None), unit(4, "I", "4", "d", ""), unit(5, "I", "5", "e", "p q r s t")]
+    new = [unit(1, "I", "1", "a", "x z"), unit(2, None, "2", "b", "same"), unit(3, "I", "3", "c", "w"), unit(4, "I", "9", "q", ""), unit(5, "I", "8", "r", "p q r s u"), unit(6, "I", "5", "e", "v")]
+    assert {(old[i][0], new[j][0], via) for i, j, via, _ in versions.pair_units(old, new)} == {(1, 1, "same id"), (4, 4, "same words"), (5, 5, "readdressed")}
+    # A unit whose words are missing still keeps its number from being the only one.
+    assert versions.pair_units([unit(1, "I", "1", "a", "x y"), unit(2, "I", "1", "b", None)], [unit(1, "I", "1", "q", "x y z", ())]) == []
