@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SEGMENTS = "array<struct<type: string, text: string>>"
 DIFF = f"struct<similarity: double, segments: {SEGMENTS}>"
+#: How many rows of arrays become Python objects at a time.
+ROWS = 128
 
 
 def bag_similarity(a: list[str], b: list[str]) -> float:
@@ -205,22 +210,28 @@ def align(old: list[dict], new: list[dict], same_id: float = 0.5, greedy: float
 
 def aligned_units(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Units (key..., pos, heading, id, text) of two versions aligned per key: line, old_pos, new_pos, kind, old_text, new_text."""
-    fields = ", ".join(f"{k} {old.schema[k].dataType.simpleString()}" for k in key)
-
-    def run(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (d.sort_values("pos").to_dict("records") if len(d) else [] for d in (a, b))
-        rows = []
-        for line, (i, j) in enumerate(align(x, y)):
-            before, after = x[i]["text"] if i is not None else None, y[j]["text"] if j is not None else None
-            kind = "inserted" if i is None else "removed" if j is None else "unchanged" if before == after else "changed"
-            rows.append((*group, line, x[i]["pos"] if i is not None else None, y[j]["pos"] if j is not None else None, kind, before, after))
-        out = pd.DataFrame(rows, columns=[*key, "line", "old_pos", "new_pos", "kind", "old_text", "new_text"])
-        return out.astype({"old_pos": "Int64", "new_pos": "Int64"})
-
-    # Two cuts of one table share column ids, which a cogroup would confuse.
-    new = new.select(*[F.col(c).alias(c) for c in new.columns])
-    return old.groupBy(*key).cogroup(new.groupBy(*key)).applyInPandas(run, f"{fields}, line long, old_pos long, new_pos long, kind string, old_text string, new_text string")
-
+    schema = StructType([old.schema[k] for k in key] + [StructField(c, LongType()) for c in ("line", "old_pos", "new_pos")] + [StructField(c, StringType()) for c in ("kind", "old_text", "new_text")])
+    types = [pa.int64()] * 3 + [pa.string()] * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                some = batch.slice(first, ROWS)
+                at, rows = [], []
+                for row, (x, y) in enumerate(zip(some.column("_olds").to_pylist(), some.column("_news").to_pylist(), strict=True)):
+                    for line, (i, j) in enumerate(align(x, y)):
+                        before, after = x[i]["text"] if i is not None else None, y[j]["text"] if j is not None else None
+                        kind = "inserted" if i is None else "removed" if j is None else "unchanged" if before == after else "changed"
+                        at.append(row)
+                        rows.append((line, x[i]["pos"] if i is not None else None, y[j]["pos"] if j is not None else None, kind, before, after))
+                told = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([some.column(k).take(pa.array(at, pa.int64())) for k in key] + told, names=schema.names)
+
+    # A key's two versions are a row of arrays, and many rows are handed over at a time; frames for each key cost more than its alignment.
+    unit, none = F.struct("pos", "heading", "id", "text"), F.lit(None)
+    both = old.select(*key, unit.alias("_old"), none.alias("_new")).unionByName(new.select(*key, none.alias("_old"), unit.alias("_new")))
+    listed = both.groupBy(*key).agg(*[F.array_sort(F.collect_list(c)).alias(f"{c}s") for c in ("_old", "_new")])
+    return listed.mapInArrow(run, schema)
 
 
 #: The pairing rules in order: each pairs what is unique on both sides and still free.

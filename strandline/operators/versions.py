@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from strandline.operators.diffs import similar_units
+from strandline.operators.diffs import ROWS, similar_units
 from strandline.sources.shared import written
 
 #: Likeness that a pair of equal numbers, of an equal place, and of a readdressed instruction needs.
@@ -64,9 +64,8 @@ def uncrossed(pairs: DataFrame, key: list[str]) -> DataFrame:
 
 #: The passes after that for equal words: what both sides have once, and the likeness and containment that suffice.
 PASSES = [("same id", "id", SAME_ID, None), ("same place", "address", SAME_PLACE, SAME_PLACE_CONTAINED)]
-#: What a unit holds, in the order of the columns that go to Python, and how many rows of these become Python objects at a time.
+#: What a unit holds, in the order of the columns that go to Python.
 FIELDS = ("pos", "part", "id", "address", "cited", "said")
-ROWS = 128
 
 
 def pair_units(old: list[tuple], new: list[tuple]) -> list[tuple[int, int, str, float]]:

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from strandline.functions import similarity
-from strandline.operators import amend, links, timelines, versions
+from strandline.operators import amend, diffs, links, timelines, versions
 from strandline.plans import boundary_queries, link_queries, version_queries
 
 
@@ -135,3 +135,18 @@ def test_passes_of_units_without_words_or_part():
     assert {(old[i][0], new[j][0], via) for i, j, via, _ in versions.pair_units(old, new)} == {(1, 1, "same id"), (4, 4, "same words"), (5, 5, "readdressed")}
     # A unit whose words are missing still keeps its number from being the only one.
     assert versions.pair_units([unit(1, "I", "1", "a", "x y"), unit(2, "I", "1", "b", None)], [unit(1, "I", "1", "q", "x y z", ())]) == []
+
+
+def test_units_need_no_frame_per_key(spark):
+    columns = "law string, turn int, pos int, heading string, id string, text string"
+    old = spark.createDataFrame([(k, t, p, None, str(p), f"{k} {t} words {p}") for k in "abc" for t in range(40) for p in (2, 0, 1)] + [(None, 1, 0, None, "0", "x")], columns)
+    new = spark.createDataFrame([(k, t, p, None, str(p), f"{k} {t} words {p}" if p else None) for k in "bcd" for t in range(40) for p in (1, 0)], columns)
+    found = diffs.aligned_units(old, new, ["law", "turn"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan
+    got = Counter((r.law, r.line, r.old_pos, r.new_pos, r.kind, r.new_text is None) for r in found.collect())
+    want = Counter({(None, 0, 0, None, "removed", True): 1})
+    for k in "bc":
+        want.update({(k, 0, None, 0, "inserted", True): 40, (k, 1, 0, None, "removed", True): 40, (k, 2, 1, 1, "unchanged", False): 40, (k, 3, 2, None, "removed", True): 40})
+    want.update({("a", p, p, None, "removed", True): 40 for p in range(3)} | {("d", 0, None, 0, "inserted", True): 40, ("d", 1, None, 1, "inserted", False): 40})
+    assert got == want
