@@ -29,13 +29,16 @@ def column_border(runs: DataFrame, key: list[str], width: float) -> DataFrame:
     low, high = int(width * STRIP[0]), -int(-width * STRIP[1] // 1)
     text = runs.where(F.trim("text") != "")
     a, b = F.greatest(F.lit(low), F.floor("x").cast("int")), F.least(F.lit(high), F.ceil(F.col("x") + F.col("width")).cast("int"))
-    crossing = text.select(*key, a.alias("a"), b.alias("b")).where("a <= b")
-    edges = crossing.select(*key, F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    every = text.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("at"))
-    turns = edges.where(f"e.at <= {high}").groupBy(*key, "e.at").agg(F.sum("e.d").alias("d"))
-    w = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    inked = every.join(turns, [*key, "at"], "left").select(*key, "at", F.sum(F.coalesce("d", F.lit(0))).over(w).alias("ink"))
-    best = inked.groupBy(*key).agg(F.min(F.struct("ink", F.abs(F.col("at") - width / 2).alias("off"), "at")).alias("m"))
+    turn = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    # Every run tells where the strip begins, so documents without ink have a row; ink is the same from one turn to the next.
+    turns = F.when(a <= b, F.array(turn(F.lit(low), 0), turn(a, 1), turn(b + 1, -1))).otherwise(F.array(turn(F.lit(low), 0)))
+    counted = text.select(*key, F.explode(turns).alias("e")).where(f"e.at <= {high}").groupBy(*key, "e.at").agg(F.sum("e.d").alias("d"))
+    w = Window.partitionBy(*key).orderBy("at")
+    until = F.coalesce(F.lead("at").over(w) - 1, F.lit(high))
+    inked = counted.select(*key, "at", until.alias("to"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("ink"))
+    near = lambda middle: F.least(F.greatest(F.lit(int(middle)), "at"), "to")
+    of = lambda at: F.struct("ink", F.abs(at - width / 2).alias("off"), at.alias("at"))
+    best = inked.groupBy(*key).agg(F.min(F.least(of(near(width / 2 // 1)), of(near(-(-width / 2 // 1))))).alias("m"))
     return best.select(*key, F.col("m.at").alias("border"), F.col("m.ink").alias("ink"))
 
 
@@ -48,8 +51,8 @@ def visual_lines(runs: DataFrame, key: list[str], page: list[str]) -> DataFrame:
 
 def _joined(side: str) -> Column:
     """The texts of a side's runs from left to right."""
-    told = F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("x", "text"))))
-    return F.trim(F.regexp_replace(F.array_join(F.transform(told, lambda r: r["text"]), " "), r"\s+", " "))
+    told = F.transform(F.filter("_runs", lambda r: r["side"] == side), lambda r: r["text"])
+    return F.trim(F.regexp_replace(F.array_join(told, " "), r"\s+", " "))
 
 
 def two_columns(runs: DataFrame, key: list[str], page: list[str], width: float) -> DataFrame:
@@ -58,10 +61,12 @@ def two_columns(runs: DataFrame, key: list[str], page: list[str], width: float)
     A run belongs to the side its middle is on; one that begins left of the
     border and reaches over it spans both.
     """
-    lines = visual_lines(runs.where(F.trim("text") != ""), key, page).join(column_border(runs, key, width), key)
+    # Dealt by the key once: its pages, its border and its lines are met there.
+    lines = visual_lines(runs.where(F.trim("text") != "").repartition(*key), key, page).join(column_border(runs, key, width), key)
     end = F.col("x") + F.col("width")
     side = F.when((F.col("x") < F.col("border")) & (end > F.col("border") + TOLERANCE), "spanning").when(F.col("x") + F.col("width") / 2 < F.col("border"), "left").otherwise("right")
-    return lines.withColumn("side", side).groupBy(*key, *page, "line").agg(*[_joined(s).alias(s) for s in ("left", "right", "spanning")])
+    listed = lines.withColumn("side", side).groupBy(*key, *page, "line").agg(F.sort_array(F.collect_list(F.struct("x", "text", "side"))).alias("_runs"))
+    return listed.select(*key, *page, "line", *[_joined(s).alias(s) for s in ("left", "right", "spanning")])
 
 
 def table_rows(lines: DataFrame, key: list[str], page: list[str]) -> DataFrame:

@@ -39,11 +39,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = lambda i: F.when((F.col("h") % 5 == 0) & i.isin(0, 6), F.concat(F.lit("("), (F.col("h") % 9 + 1).cast("string"), F.lit(") "))).otherwise("")
     words = F.transform(F.slice("ws", 1, 12), lambda w, i: F.concat(mark(i), w))
     # Where a word stands: the letters of its column's words before it, each with a blank.
-    before = lambda t, i: F.aggregate(F.slice(t, F.when(i < 6, 1).otherwise(7), F.when(i < 6, i).otherwise(i - 6)), F.lit(0), lambda s, w: s + F.length(w) + 1)
-    placed = F.transform("t", lambda w, i: F.struct((F.when(i < 6, 40).otherwise(F.col("gutter") + 4) + before(F.col("t"), i) * 3.0).cast("double").alias("x"), (top + (F.col("h") + i) % 3 * 0.4).cast("double").alias("y"), (F.length(w) * 3.0).cast("double").alias("width"), w.alias("text")))
-    two = lines.where("h % 11 > 0").withColumn("t", words).select("doc_id", page.alias("page"), F.explode(placed).alias("r")).select("doc_id", "page", "r.*")
-    one = lines.where("h % 11 = 0 AND size(ws) > 0").select("doc_id", page.alias("page"), F.lit(300.0).alias("x"), top.cast("double").alias("y"), F.lit(240.0).alias("width"), F.array_join(F.slice("ws", 1, 4), " ").alias("text"))
-    return two.unionByName(one)
+    letters = lambda t, first, n: F.when(n > 0, F.length(F.array_join(F.slice(t, first, n), " ")) + 1).otherwise(0)
+    before = lambda t, i: F.when(i < 6, letters(t, F.lit(1), i)).otherwise(letters(t, F.lit(7), i - 6))
+    run = lambda x, y, width, text: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), width.cast("double").alias("width"), text.alias("text"))
+    two = F.transform("t", lambda w, i: run(F.when(i < 6, 40).otherwise(F.col("gutter") + 4) + before(F.col("t"), i) * 3.0, top + (F.col("h") + i) % 3 * 0.4, F.length(w) * 3.0, w))
+    one = F.array(run(F.lit(300.0), top, F.lit(240.0), F.array_join(F.slice("ws", 1, 4), " ")))
+    placed = F.when(F.col("h") % 11 > 0, two).when(F.size("ws") > 0, one)
+    return lines.withColumn("t", words).select("doc_id", page.alias("page"), F.explode(placed).alias("r")).select("doc_id", "page", "r.*")
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, CAST(border AS INTEGER) AS border, ink FROM c")

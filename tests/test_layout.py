@@ -1,5 +1,8 @@
 """Two-column pages put together again from runs."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from strandline.operators import layout
@@ -31,3 +34,27 @@ def test_border_and_lines(spark):
     got = {(r.doc, r.line): (r.left, r.right, r.spanning) for r in layout.two_columns(runs, ["doc"], ["page"], 842.0).collect()}
     assert got == {(1, 0): ("left", "right", ""), (1, 1): ("left", "", ""), (1, 2): ("", "", "across"), (2, 0): ("only", "", "")}
     assert layout.two_columns(runs.where(F.lit(False)), ["doc"], ["page"], 842.0).count() == 0
+
+
+def test_border_is_where_every_position_tells(spark):
+    rng = random.Random(8)
+    rows = [(k, 0, float(rng.randrange(350, 460)) + rng.choice([0, 0.5]), 700.0, rng.choice([3.0, 20.5, 60.0, 200.0]), "w") for k in range(60) for _ in range(rng.randrange(1, 12))]
+    runs = spark.createDataFrame(rows, "doc int, page int, x double, y double, width double, text string")
+    for width in (842.0, 841.0, 777.0):
+        low, high = int(width * 0.45), math.ceil(width * 0.55)
+        want = {}
+        for k in range(60):
+            spans = [(math.floor(x), math.ceil(x + w)) for d, _, x, _, w, _ in rows if d == k]
+            ink, _, at = min((sum(a <= p <= b for a, b in spans), abs(p - width / 2), p) for p in range(low, high + 1))
+            want[k] = (at, ink)
+        found = layout.column_border(runs, ["doc"], width)
+        assert {r.doc: (r.border, r.ink) for r in found.collect()} == want
+        # No row per position of the strip is made, and runs are read once.
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and "Join" not in plan
+
+
+def test_runs_are_dealt_once(spark, small):
+    plan = plans.two_column_lines(spark, small)._jdf.queryExecution().executedPlan().toString()
+    # Runs are dealt once for the pages; the others deal counts of the border. Documents are cut up once for each.
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("REPARTITION_BY_COL") == 1 and plan.count("FileScan") == 2
