@@ -1,8 +1,8 @@
 """Amending instructions read into operations and applied to units, as joins and windows instead of a loop over a text.
 
 Inside an epoch an instruction changes the unit that it addresses and no other,
-so what stands at an address when an instruction comes follows from the last
-insertion or deletion there before it: a window by address. Renumberings that
+so what stands at an address when an instruction comes follows from the
+insertions and deletions there before it: a group by address. Renumberings that
 follow each other are one step, done at once for all of them, and end an epoch;
 so jobs grow with the renumbering steps of a law, not with its instructions.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.trees import maxima_before
 from strandline.sources.shared import written
 
 _PLACE = r"(?:§\s*(\d+[a-z]?))?\s*(?:Abs\.\s*(\d+[a-z]?))?"
@@ -37,12 +36,15 @@ def parsed(lines: DataFrame, key: list[str], seq: str, line: str) -> DataFrame:
     A place without a paragraph is one of the paragraph that the last line before named; without any, its address is null.
     """
     said = F.trim(F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\s+", " "))
-    kind = F.coalesce(*[F.when(said.rlike(form), k) for k, form in FORMS.items()], F.lit(None))
+    kind = F.coalesce(*[F.when(F.col("said").rlike(form), k) for k, form in FORMS.items()], F.lit(None))
     group = lambda i: F.coalesce(*[F.when(F.col("kind") == k, F.regexp_extract("said", form, i)) for k, form in FORMS.items() if form.count("(") - form.count("(?:") >= i], F.lit(""))
-    rows = lines.select(*key, F.col(seq).alias("seq"), said.alias("said"), kind.alias("kind"))
-    rows = rows.select("*", group(1).alias("p"), group(2).alias("s"), group(3).alias("a"), group(4).alias("b"))
-    rows = maxima_before(rows.withColumn("named", F.when(F.col("p") != "", F.struct("seq", "p"))), key, "seq", ["named"])
-    paragraph = F.when(F.col("p") != "", F.col("p")).otherwise(F.col("_named.p"))
+    # A step each, so that a line is folded once, not once for each form.
+    rows = lines.select(*key, F.col(seq).alias("seq"), said.alias("said")).withColumn("kind", kind)
+    rows = rows.select(*key, "seq", "kind", group(1).alias("p"), group(2).alias("s"), group(3).alias("a"), group(4).alias("b"))
+    # The window of ``_epochs``: a key's lines are dealt and sorted once for both.
+    named = F.last(F.when(F.col("p") != "", F.col("p")), ignorenulls=True).over(Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("named", named)
+    paragraph = F.when(F.col("p") != "", F.col("p")).otherwise(F.col("named"))
     of = lambda p, s: F.when(p.isNotNull() & (p != ""), _address(p, s))
     target = F.when(F.col("kind") == "renumber", of(F.when(F.col("a") != "", F.col("a")).otherwise(paragraph), F.col("b")))
     old, new = F.when(F.col("kind") == "phrase", F.col("a")), F.when(F.col("kind").isin("replace", "insert"), F.col("a")).when(F.col("kind") == "phrase", F.col("b"))
@@ -63,21 +65,18 @@ def _edited(units: DataFrame, steps: DataFrame, key: list[str]) -> tuple[DataFra
     place = [*key, "address"]
     first = units.select(*place, F.lit(-1).cast("long").alias("seq"), F.lit("unit").alias("kind"), F.lit(None).cast("string").alias("old"), F.col("text").alias("new"))
     every = first.unionByName(steps.where("address IS NOT NULL AND kind IS NOT NULL").select(*place, F.col("seq").cast("long"), "kind", "old", "new"))
-    w = Window.partitionBy(*place).orderBy("seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    turns = F.when(F.col("kind").isin("unit", "insert"), True).when(F.col("kind") == "delete", False)
-    stood = F.coalesce(F.last(turns, ignorenulls=True).over(before), F.lit(False))
-    # Phrases need the text as it is then, so an address's own few edits are walked in order.
-    listed = every.withColumn("_stood", stood).groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "old", "new", "_stood"))).alias("_l"))
-    begin = F.struct(F.lit(None).cast("string").alias("text"), F.array().cast("array<struct<seq:bigint,refusal:string>>").alias("out"))
+    # What stands at an address, and its text, follow from its own few edits, walked in order.
+    listed = every.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "old", "new"))).alias("_l"))
+    begin = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("stands"), F.array().cast("array<struct<seq:bigint,refusal:string>>").alias("out"))
 
     def walk(a: Column, e: Column) -> Column:
-        missing = ~e["_stood"] & e["kind"].isin("replace", "delete", "phrase")
-        absent = (e["kind"] == "phrase") & e["_stood"] & ~F.coalesce(F.contains(a["text"], e["old"]), F.lit(False))
-        refusal = F.when((e["kind"] == "insert") & e["_stood"], "already there").when(missing, "not there").when(absent, "no such words")
+        missing = ~a["stands"] & e["kind"].isin("replace", "delete", "phrase")
+        absent = (e["kind"] == "phrase") & a["stands"] & ~F.coalesce(F.contains(a["text"], e["old"]), F.lit(False))
+        refusal = F.when((e["kind"] == "insert") & a["stands"], "already there").when(missing, "not there").when(absent, "no such words")
         text = F.when(refusal.isNotNull(), a["text"]).when(e["kind"] == "delete", F.lit(None)).when(e["kind"] == "phrase", F.replace(a["text"], e["old"], e["new"])).otherwise(e["new"])
+        stands = F.when(e["kind"].isin("unit", "insert"), True).when(e["kind"] == "delete", False).otherwise(a["stands"])
         told = F.when(e["kind"] == "unit", a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(e["seq"].alias("seq"), refusal.alias("refusal")))))
-        return F.struct(text.alias("text"), told.alias("out"))
+        return F.struct(text.alias("text"), stands.alias("stands"), told.alias("out"))
 
     walked = written(listed.select(*place, F.aggregate("_l", begin, walk).alias("r")), "edited")
     units = walked.where("r.text IS NOT NULL").select(*place, "r.text")
@@ -113,10 +112,13 @@ def applied(units: DataFrame, instructions: DataFrame, key: list[str]) -> tuple[
     """
     steps = written(_epochs(instructions, key), "instructions")
     told = steps.where("kind IS NULL OR address IS NULL OR (kind = 'renumber' AND target IS NULL)").select(*key, F.col("seq").cast("long"), F.when(F.col("kind").isNull(), "unread").otherwise("no place").alias("refusal"))
-    last = steps.agg(F.max("epoch")).first()[0]
-    for epoch in range((last if last is not None else -1) + 1):
+    # An epoch that ends with the lines may have no renumbering; then the units stay as edited.
+    ends = {r["epoch"]: r["moves"] for r in steps.groupBy("epoch").agg(F.max(F.coalesce(F.col("kind") == "renumber", F.lit(False))).alias("moves")).collect()}
+    for epoch in sorted(ends):
         now = steps.where(F.col("epoch") == epoch)
         units, edits = _edited(units, now.where("kind <> 'renumber'"), key)
-        units, moves = _renumbered(units, now.where("kind = 'renumber'"), key)
-        told = told.unionByName(edits).unionByName(moves)
+        told = told.unionByName(edits)
+        if ends[epoch]:
+            units, moves = _renumbered(units, now.where("kind = 'renumber'"), key)
+            told = told.unionByName(moves)
     return units, told

@@ -106,3 +106,27 @@ def test_instructions_over_the_table(spark, small):
     assert {tuple(r) for r in plans.amended_units(spark, small).collect()} == want_units
     assert {(r.doc_id, r.seq, r.refusal) for r in plans.instruction_verdicts(spark, small).collect()} == want
     assert {None, "unread", "not there", "already there", "numbers collide"} <= set(Counter(x[2] for x in want))
+
+
+def test_lines_are_folded_and_dealt_once(spark):
+    lines = spark.createDataFrame([(1, 0, "§ 1  lautet: „a  b“"), (1, 1, "Abs. 2 entfällt."), (1, 2, None), (1, 3, "In § 3 wird „a“ durch „b“ ersetzt."), (2, 0, "Abs. 1 entfällt.")], "law int, seq long, line string")
+    found = novelle._epochs(novelle.parsed(lines, ["law"], "seq", "line"), ["law"])
+    plan = found._jdf.queryExecution()
+    # Once each in the plan: folding of white space, the shuffle by the key, the sort by place.
+    assert plan.optimizedPlan().toString().count("regexp_replace(") == 1
+    physical = plan.executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1 and physical.count("Sort [") == 1
+    got = {(r.law, r.seq): (r.kind, r.address, r.old, r.new) for r in found.collect()}
+    assert got == {(1, 0): ("replace", "§1", None, "a b"), (1, 1): ("delete", "§1/2", None, None), (1, 2): (None, None, None, None), (1, 3): ("phrase", "§3", "a", "b"), (2, 0): ("delete", None, None, None)}
+
+
+def test_units_are_moved_only_where_an_epoch_renumbers(spark, monkeypatch):
+    calls = []
+    real = novelle._renumbered
+    monkeypatch.setattr(novelle, "_renumbered", lambda *a: calls.append(1) or real(*a))
+    units = spark.createDataFrame([(1, "§1", "a"), (1, "§3", "c"), (2, "§1", "d")], "law int, address string, text string")
+    lines = [(1, 0, "§ 3 entfällt."), (1, 1, "§ 1 erhält die Bezeichnung „§ 2“."), (1, 2, "§ 2 lautet: „b“"), (2, 0, "§ 1 entfällt.")]
+    instructions = novelle.parsed(spark.createDataFrame(lines, "law int, seq long, line string"), ["law"], "seq", "line")
+    after, told = novelle.applied(units, instructions, ["law"])
+    assert {tuple(r) for r in after.select("law", "address", "text").collect()} == {(1, "§2", "b")}
+    assert {(r.law, r.seq, r.refusal) for r in told.collect()} == {(1, 0, None), (1, 1, None), (1, 2, None), (2, 0, None)} and len(calls) == 1
