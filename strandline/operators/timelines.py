@@ -68,6 +68,12 @@ def coalesced(versions: DataFrame, unit: str, text: str) -> DataFrame:
     open_end = F.to_date(F.lit("9999-12-31"))
     ended = F.max(F.coalesce("until", open_end)).over(earlier)
     opens = ended.isNull() | ~F.lag(text).over(w).eqNullSafe(F.col(text)) | (F.datediff("since", ended) > 1)
-    runs = versions.withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max(F.coalesce("until", open_end))
-    return runs.groupBy(unit, "_run").agg(F.any_value(text).alias(text), F.min("since").alias("since"), F.when(last < open_end, last).alias("until"), F.count(F.lit(1)).alias("versions")).drop("_run")
+    w_so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    opened = versions.select(unit, text, "since", "version", F.coalesce("until", open_end).alias("_until"), opens.cast("int").alias("_opens"), F.row_number().over(w).alias("_at"))
+    runs = opened.withColumn("_run", F.sum("_opens").over(w_so_far))
+    # Runs rise in the order of the window, so the greatest (run, value) so far is of the row's own run: its last row tells of it, without a table of runs.
+    so_far = lambda c: F.max(F.struct("_run", c.alias("x"))).over(w_so_far)["x"]
+    first = F.date_sub(open_end, so_far(F.datediff(open_end, F.col("since"))))
+    begun = F.max(F.when(F.col("_opens") == 1, F.col("_at"))).over(w_so_far)
+    told = runs.select(unit, text, first.alias("since"), so_far(F.col("_until")).alias("_last"), (F.col("_at") - begun + 1).cast("long").alias("versions"), F.coalesce(F.lead("_run").over(w) > F.col("_run"), F.lit(True)).alias("_ends"))
+    return told.where("_ends").select(unit, text, "since", F.when(F.col("_last") < open_end, F.col("_last")).alias("until"), "versions")

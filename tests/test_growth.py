@@ -150,3 +150,24 @@ def test_units_need_no_frame_per_key(spark):
         want.update({(k, 0, None, 0, "inserted", True): 40, (k, 1, 0, None, "removed", True): 40, (k, 2, 1, 1, "unchanged", False): 40, (k, 3, 2, None, "removed", True): 40})
     want.update({("a", p, p, None, "removed", True): 40 for p in range(3)} | {("d", 0, None, 0, "inserted", True): 40, ("d", 1, None, 1, "inserted", False): 40})
     assert got == want
+
+
+def test_periods_need_one_sort_and_no_table_of_runs(spark):
+    day = lambda n: date(2020, 1, 1) + timedelta(days=n)
+    rng = random.Random(10)
+    rows = [(rng.choice([1, 2, 3, None]), v, rng.choice([None] + [day(n) for n in range(12)]), rng.choice([None, *[day(n) for n in range(2, 16)]]), rng.choice(["a", "b", None])) for v in range(120)]
+    found = timelines.coalesced(spark.createDataFrame(rows, "unit int, version long, since date, until date, text string"), "unit", "text")
+    want = Counter()
+    for unit in (1, 2, 3, None):
+        runs, ended, said = [], None, None
+        for _, _, since, until, text in sorted((r for r in rows if r[0] == unit), key=lambda r: (r[2] is not None, r[2] or day(0), r[1])):
+            if ended is None or said != text or since is not None and (since - ended).days > 1:
+                runs.append((text, [], []))
+            runs[-1][1].append(since)
+            runs[-1][2].append(until or date(9999, 12, 31))
+            ended, said = max(ended or date.min, until or date(9999, 12, 31)), text
+        for text, sinces, untils in runs:
+            want[unit, text, min((s for s in sinces if s), default=None), max(untils) if max(untils) < date(9999, 12, 31) else None, len(sinces)] += 1
+    assert Counter(tuple(r) for r in found.select("unit", "text", "since", "until", "versions").collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
