@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -226,20 +227,80 @@ def scoped(first: DataFrame, second: DataFrame, parts: tuple[DataFrame, DataFram
     return mid_scope.unionByName(last_scope)
 
 
-def pair_parts(old: DataFrame, new: DataFrame, key: list[str], least: Column | float = 0.5) -> DataFrame:
-    """Parts paired by their units' words: key, old_part, new_part; the best of each side, at ``least`` of 2 * common words / all, alone at its score."""
-    side = lambda u, new: u.select(*key, "part", F.lit(new).alias("_new"), _said(u).alias("_said"))
-    units = side(old, False).unionByName(side(new, True)).repartition(*key)
-    # All that follows is grouped by the key and more, where the key's units lie.
-    bags = units.select(*key, "part", "_new", F.explode(_listed(F.col("_said"))).alias("_w")).groupBy(*key, "part", "_new", "_w").agg(F.count(F.lit(1)).alias("_n"))
-    bags = bags.withColumn("_size", F.sum("_n").over(Window.partitionBy(*key, "part", "_new")))
-    listed = lambda new: F.collect_list(F.when(F.col("_new") == new, F.struct("part", "_n", "_size")))
-    met = bags.groupBy(*key, "_w").agg(listed(False).alias("_o"), listed(True).alias("_p")).where((F.size("_o") > 0) & (F.size("_p") > 0))
-    met = met.select(*key, F.explode("_o").alias("_o"), "_p").select(*key, "_o", F.explode("_p").alias("_p"))
-    common = met.groupBy(*key, F.col("_o.part").alias("old_part"), F.col("_p.part").alias("new_part"), F.col("_o._size").alias("_a"), F.col("_p._size").alias("_b")).agg(F.sum(F.least("_o._n", "_p._n")).alias("_c"))
-    scores = common.withColumn("alike", 2 * F.col("_c") / (F.col("_a") + F.col("_b")))
-    scores = scores.where(F.col("alike") >= least)
-    best = lambda c: (F.rank().over(Window.partitionBy(*key, c).orderBy(F.desc("alike"))) == 1)
-    tops = scores.withColumn("_l", best("old_part")).withColumn("_r", best("new_part")).where("_l AND _r")
-    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(*key, c))
-    return tops.withColumn("_l", n("old_part")).withColumn("_r", n("new_part")).where("_l = 1 AND _r = 1").select(*key, "old_part", "new_part", "alike")
+#: Lists of so many parts that have a word are added up by numpy, shorter ones one by one. It changes no result.
+LONG_LIST = 64
+
+
+def best_parts(old: dict[str, Counter], new: dict[str, Counter], least: float) -> dict[str, tuple[str, float]]:
+    """The part of ``new`` and the likeness that each part of ``old`` pairs with: the best of each side, at ``least`` of 2 * common words / all, alone at its score."""
+    sides = [[(part, bag) for part, bag in side.items() if bag] for side in (old, new)]
+    under: dict[str, list[tuple[int, int]]] = {}
+    for j, (_, bag) in enumerate(sides[1]):
+        for w, m in bag.items():
+            under.setdefault(w, []).append((j, m))
+    lists = {w: tuple(np.array(held).T) for w, held in under.items() if len(held) >= LONG_LIST}
+    sizes = [bag.total() for _, bag in sides[1]]
+    scores = []
+    for i, (_, bag) in enumerate(sides[0]):
+        common, often = [0] * len(sizes), np.zeros(len(sizes) if lists else 0, np.int64)
+        for w, n in bag.items():
+            if w in lists:
+                often[lists[w][0]] += np.minimum(lists[w][1], n)
+            else:
+                for j, m in under.get(w, ()):
+                    common[j] += n if n < m else m
+        for j in often.nonzero()[0].tolist():
+            common[j] += int(often[j])
+        size = bag.total()
+        scores += [(2 * c / (size + m), i, j) for j, (c, m) in enumerate(zip(common, sizes, strict=True)) if c and 2 * c / (size + m) >= least]
+    best: list[dict[int, float]] = [{}, {}]
+    for alike, *ends in scores:
+        for side, end in zip(best, ends, strict=True):
+            side[end] = max(alike, side.get(end, 0.0))
+    tops = [(alike, i, j) for alike, i, j in scores if alike == best[0][i] == best[1][j]]
+    olds, news = Counter(i for _, i, _ in tops), Counter(j for _, _, j in tops)
+    return {sides[0][i][0]: (sides[1][j][0], alike) for alike, i, j in tops if olds[i] == news[j] == 1}
+
+
+def followed_parts(laws: DataFrame, key: list[str], names: list[str], least: float = 0.5) -> DataFrame:
+    """Every part of every version once: key, version (from 1, in the order of ``names``), part, next and alike: the part of the next version that it pairs with by ``best_parts``, if any.
+
+    The columns ``names`` are arrays of units (part, said). Versions travel as one row, and a part's words are counted once for both its neighbours.
+    """
+    schema = StructType([laws.schema[k] for k in key] + [StructField("version", LongType()), StructField("part", StringType()), StructField("next", StringType()), StructField("alike", DoubleType())])
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.float64()]
+
+    def bags(parts: list[str] | None, said: list[str | None] | None) -> dict[str, Counter]:
+        found: dict[str, Counter] = {}
+        for part, text in zip(parts or (), said or (), strict=True):
+            bag = found.setdefault(part, Counter())
+            if text:
+                bag.update(text.split(" "))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                some = batch.slice(first, ROWS)
+                at, rows = [], []
+                for row, lists in enumerate(zip(*[some.column(f"_{name}_{c}").to_pylist() for name in names for c in ("part", "said")], strict=True)):
+                    each = [bags(*lists[v : v + 2]) for v in range(0, len(lists), 2)]
+                    for version, (of, behind) in enumerate(zip(each, [*each[1:], {}], strict=True), 1):
+                        pairs = best_parts(of, behind, least)
+                        rows += [(version, part, *pairs.get(part, (None, None))) for part in of]
+                        at += [row] * len(of)
+                told = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+                keys = [some.column(k).take(pa.array(at, pa.int64())) for k in key]
+                yield pa.RecordBatch.from_arrays(keys + told, names=schema.names)
+
+    return laws.select(*key, *[F.col(f"{name}.{c}").alias(f"_{name}_{c}") for name in names for c in ("part", "said")]).mapInArrow(run, schema)
+
+
+def pair_parts(old: DataFrame, new: DataFrame, key: list[str], least: float = 0.5) -> DataFrame:
+    """Parts of two versions, given as rows, that pair by ``best_parts``: key, old_part, new_part, alike."""
+    unit = lambda units: F.struct(F.col("part").cast("string").alias("part"), _said(units).alias("said"))
+    none = F.lit(None)
+    rows = old.select(*key, unit(old).alias("old"), none.alias("new")).unionByName(new.select(*key, none.alias("old"), unit(new).alias("new")))
+    laws = rows.groupBy(*key).agg(F.collect_list("old").alias("old"), F.collect_list("new").alias("new"))
+    found = followed_parts(laws, key, ["old", "new"], least).where("version = 1 AND next IS NOT NULL")
+    return found.select(*key, F.col("part").cast(old.schema["part"].dataType).alias("old_part"), F.col("next").cast(new.schema["part"].dataType).alias("new_part"), "alike")

@@ -68,6 +68,27 @@ def test_parts_are_paired_with_one_shuffle(spark):
     assert {(r.old_part, r.new_part) for r in found.collect()} == want and want
 
 
+def test_a_document_s_parts_are_paired_within_its_row(spark, small, monkeypatch):
+    rng = random.Random(8)
+    bag = lambda: Counter({w: rng.randrange(1, 4) for w in rng.sample("abcdefgh", rng.randrange(0, 6))})
+    for n in (0, 1, 6, 150):
+        old, new = ({str(p): bag() for p in range(n)} for _ in range(2))
+        alike = {(a, b): 2 * (x & y).total() / (x.total() + y.total()) for a, x in old.items() for b, y in new.items() if x & y and 2 * (x & y).total() / (x.total() + y.total()) >= 0.5}
+        best = [{}, {}]
+        for ends, v in alike.items():
+            for side, end in zip(best, ends, strict=True):
+                side.setdefault(end, []).append(v)
+        top = {(a, b): v for (a, b), v in alike.items() if v == max(best[0][a]) == max(best[1][b])}
+        ends = [Counter(k[side] for k in top) for side in (0, 1)]
+        assert versions.best_parts(old, new, 0.5) == {a: (b, v) for (a, b), v in top.items() if ends[0][a] == ends[1][b] == 1}
+    tables = []
+    monkeypatch.setattr(version_queries, "written", lambda frame, name: tables.append(frame) or frame)
+    found = version_queries.scoped_laws(spark, small)
+    # Words are neither written nor met by joins: a row of the one table is a part.
+    assert [t.columns for t in tables] == [["doc_id", "version", "part", "next", "alike"]]
+    assert "words" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_likeness_counts_repeated_words(spark):
     rng = random.Random(4)
     rows = [(" ".join(rng.choice("aab") for _ in range(rng.randrange(0, 6))), " ".join(rng.choice("abbc") for _ in range(rng.randrange(0, 6)))) for _ in range(80)]
