@@ -9,11 +9,12 @@ package is read by one task, packages are spread.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.annex import wording
-from strandline.operators.trees import maxima_before
 from strandline.sources.shared import written
 
 #: A title is evidence from this likeness on; below the second, it contradicts the number.
@@ -86,7 +87,7 @@ def resolved(candidates: DataFrame, articles: DataFrame, key: list[str], found:
     """
     found = written(accepted(candidates, articles, key), "headings") if found is None else found
     amending = articles.where("amends").select(*key, "index")
-    marks = amending.withColumn("_amends", F.lit(1)).unionByName(found.select(*key, "index").withColumn("_amends", F.lit(0))).groupBy(*key, "index").agg(F.max("_amends").alias("_amends"), F.min("_amends").alias("_open"))
+    marks = amending.withColumn("_amends", F.lit(1)).unionByName(found.select(*key, "index").withColumn("_amends", F.lit(0))).repartition(*key).groupBy(*key, "index").agg(F.max("_amends").alias("_amends"), F.min("_amends").alias("_open"))
     # The next amending article behind each heading that stands: it has to have one itself.
     behind = Window.partitionBy(*key).orderBy("index").rowsBetween(1, Window.unboundedFollowing)
     following = F.min(F.when(F.col("_amends") == 1, F.struct("index", "_open"))).over(behind)
@@ -103,15 +104,21 @@ def resolved(candidates: DataFrame, articles: DataFrame, key: list[str], found:
 
 def assigned(rows: DataFrame, candidates: DataFrame, articles: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` (key, pos) with ``law``: the article whose heading stands at or last before them, or the package's one law; null where none is sure."""
-    found = written(accepted(candidates, articles, key), "headings")
-    verdicts = resolved(candidates, articles, key, found)
+    # What is asked of a package once its headings are known, in one table: so its lines and titles are read, joined and shuffled once.
+    # Nothing is asked of a package without a key; said of all inputs alike, so that what they share is one plan.
+    rows, candidates, articles = (functools.reduce(lambda df, c: df.where(F.col(c).isNotNull()), key, df) for df in (rows.where("pos IS NOT NULL"), candidates, articles))
+    rest = F.struct(*[c for c in rows.columns if c not in key], F.lit(True).alias("_is"))
+    every = {"heading": (accepted(candidates, articles, key), ["pos", "index"]), "article": (articles, ["index", "numeral", "amends"]), "candidate": (candidates, ["numeral"]), "row": (rows.withColumn("_row", rest), ["pos", "_row"])}
+    parts = [df.select(*key, F.lit(kind).alias("_kind"), *names) for kind, (df, names) in every.items()]
+    table = written(functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), "packages")
+    found, drafted, printed, placed = (table.where(F.col("_kind") == kind).select(*key, *names) for kind, (_, names) in every.items())
+    verdicts = resolved(printed, drafted, key, found)
     opened = found.select(*key, "pos", F.struct("pos", F.col("index").alias("law")).alias("_at"))
-    # Headings may stand where no row does.
-    places = rows.select(*key, "pos", F.lit(None).cast(opened.schema["_at"].dataType).alias("_at")).unionByName(opened).groupBy(*key, "pos").agg(F.max("_at").alias("_at"))
-    carried = maxima_before(places, key, "pos", ["_at"]).join(verdicts, key, "left")
-    law = F.coalesce(F.col("_at.law"), F.col("__at.law"))
-    found = carried.select(*key, "pos", F.when(F.col("verdict") == "divided", law).when(F.col("verdict") == "whole", F.col("whole")).alias("law"))
-    return rows.join(found, [*key, "pos"])
+    # Headings may stand where no row does, and where several do.
+    at = Window.partitionBy(*key).orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = placed.unionByName(opened, allowMissingColumns=True).withColumn("_at", F.max("_at").over(at)).where("_row IS NOT NULL").join(verdicts, key, "left")
+    law = F.when(F.col("verdict") == "divided", F.col("_at.law")).when(F.col("verdict") == "whole", F.col("whole"))
+    return carried.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in rows.columns], law.alias("law"))
 
 
 def stretches(rows: DataFrame, key: list[str], current: str, proposed: str) -> DataFrame:

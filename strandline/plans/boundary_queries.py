@@ -38,14 +38,21 @@ v AS (SELECT package, CASE WHEN laws > 0 THEN CASE WHEN skipped THEN 'skipped' E
 z AS (SELECT package, verdict, CASE WHEN verdict = 'divided' THEN laws ELSE 0 END AS laws, CASE WHEN verdict = 'whole' THEN CASE WHEN amending = 1 THEN law WHEN articles = 1 THEN first END END AS whole FROM v)"""
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table ``l`` of ``PACKAGES_SQL`` with the package's lines in order; words stay as name and type. A package is one row behind the shuffle, so all that is asked of its lines shares that shuffle."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    line = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linenumber", "l_tax", "l_discount", "l_returnflag", "p_name", "p_type")
+    return lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("l")).select(F.col("l_orderkey").alias("package"), F.posexplode("l").alias("index", "l")).select("package", "index", "l.*")
+
+
 def packages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Articles (package, index, numeral, words, amends) and headings (package, pos, numeral, words) of ``PACKAGES_SQL``."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    return _packages(_lines(spark, sf_dir))
+
+
+def _packages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("of"), (F.col("l_suppkey") % 4).cast("string")), " "))
-    # Words are split behind the shuffle.
-    placed = lines.withColumn("index", F.row_number().over(w) - 1)
-    kept = placed.select(F.col("l_orderkey").alias("package"), "index", words.alias("words"), (F.col("l_quantity") > 10).alias("amends"), F.col("l_linenumber").alias("kind"), "l_tax", "l_discount", "l_returnflag")
+    kept = lines.select("package", "index", words.alias("words"), (F.col("l_quantity") > 10).alias("amends"), F.col("l_linenumber").alias("kind"), "l_tax", "l_discount", "l_returnflag")
     package, index, kind = F.col("package"), F.col("index"), F.col("kind")
     # Past the twentieth article there is no numeral, as in the SQL.
     roman = F.get(F.array(*map(F.lit, _ROMAN)), index)
@@ -79,11 +86,10 @@ def package_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT w.package, w.pos, CAST(CASE WHEN verdict = 'divided' THEN (SELECT arg_max(a.index, a.pos) FROM a WHERE a.package = w.package AND a.pos <= w.pos) WHEN verdict = 'whole' THEN whole END AS INTEGER) AS law FROM w JOIN z ON z.package = w.package""")
 def rows_of_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of an annex with the law that the last standing heading before it opened."""
-    articles, headings = packages(spark, sf_dir)
-    n = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
-    pos = (F.row_number().over(w) - 1) * 10 + F.when(F.col("l_tax") > 0.04, 7).otherwise(0)
-    rows = n.select(F.col("l_orderkey").alias("package"), pos.cast("long").alias("pos")).distinct()
+    lines = _lines(spark, sf_dir)
+    articles, headings = _packages(lines)
+    pos = F.col("index") * 10 + F.when(F.col("l_tax") > 0.04, 7).otherwise(0)
+    rows = lines.select("package", pos.cast("long").alias("pos")).distinct()
     return boundaries.assigned(rows, headings, articles, ["package"])
 
 

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from strandline.functions import similarity
-from strandline.operators import amend, diffs, links, timelines, versions
+from strandline.operators import amend, boundaries, diffs, links, timelines, versions
 from strandline.plans import boundary_queries, link_queries, version_queries
 
 
@@ -44,6 +44,22 @@ def unit_rows(rng, n):
     return [(1, p, str(p // 3), str(p), f"§ {p % 4}", [f"§ {p % 4}"], [rng.choice("aabbbcdefgh") for _ in range(rng.randrange(0, 9))]) for p in range(n)]
 
 
+def test_lines_of_packages_are_shuffled_once(spark, small, monkeypatch):
+    # Titles are shuffled with the lines for what is written of all packages, and neither is read again behind it.
+    tables, written = [], boundaries.written
+    monkeypatch.setattr(boundaries, "written", lambda frame, name: tables.append(frame) or written(frame, name))
+    found = boundary_queries.rows_of_laws(spark, small)
+    assert "p_name" not in found._jdf.queryExecution().executedPlan().toString() and len(tables) == 1
+    tables[0].collect()
+    plan = tables[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len([line for line in plan.splitlines() if "- Exchange hashpartitioning(l_orderkey" in line]) == 1 and "ReusedExchange" in plan
+    # A row keeps what else it has; a row without a package or a place has no answer.
+    rows = spark.createDataFrame([("p", 1, "a"), ("p", 1, "b"), ("p", None, "c"), (None, 1, "d")], "package string, pos long, said string")
+    drafted = spark.createDataFrame([("p", 0, "1", ["x"], True)], "package string, index int, numeral string, words array<string>, amends boolean")
+    printed = spark.createDataFrame([("p", 0, "1", ["x"])], "package string, pos long, numeral string, words array<string>")
+    assert sorted(tuple(r) for r in boundaries.assigned(rows, printed, drafted, ["package"]).collect()) == [("p", 1, "a", 0), ("p", 1, "b", 0)]
+
+
 UNITS = "doc int, pos int, part string, id string, address string, cited array<string>, words array<string>"
 
 
